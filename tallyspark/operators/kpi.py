@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, ratio
 from ..functions.kpis import kpi_columns, measures_for
 
 
@@ -60,7 +60,7 @@ def measures_by(fact: DataFrame, grain: Sequence[str], date: str, measures: Sequ
 def reach_per_campaign(reach: DataFrame, key: str = "campaign_id", value: str = "value") -> DataFrame:
     """Reach at campaign grain: average, sum and number of rows, one row per campaign."""
     return reach.groupBy(key).agg(
-        F.avg(value).alias("avg_reach"), F.sum(value).alias("sum_reach"), F.count(F.lit(1)).alias("reach_rows")
+        ratio(F.sum(value), F.count(value)).alias("avg_reach"), F.sum(value).alias("sum_reach"), F.count(F.lit(1)).alias("reach_rows")
     )
 
 

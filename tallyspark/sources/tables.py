@@ -83,7 +83,7 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: st
 def load_metastore(spark: SparkSession, name: str, upper: Sequence[str] = ()) -> DataFrame:
     """A catalog table or view, with non-breaking and outer blanks taken out of its headings."""
     df = spark.table(name)
-    df = df.toDF(*[c.replace(" ", " ").strip() for c in df.columns])
+    df = df.toDF(*[c.replace("\u00a0", " ").strip() for c in df.columns])
     return df.withColumns({c: F.upper(c) for c in upper})
 
 

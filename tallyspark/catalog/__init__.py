@@ -1,6 +1,6 @@
 """Query catalog: one entry per operator, bound to the given tables."""
 
-from . import complete, keys, refs, scope, sources  # noqa: F401
+from . import complete, keys, refs, rules, scope, sources, text  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -63,9 +63,12 @@ def normalise_token(c: str | Column, mode: str = "strict") -> Column:
 
 
 def last_number_after(c: str | Column, marker: str, ignore_case: bool = False) -> Column:
-    """Digits behind the last ``marker`` of the text, null when there are none."""
-    flag = "(?i)" if ignore_case else ""
-    found = F.regexp_extract(col(c), f"{flag}.*{re.escape(marker)}([0-9]+)", 1)
+    """Digits behind the last ``marker`` of the first line that has one, null when there are none.
+
+    The pattern is anchored at line starts: each line is tried once, so long texts take linear time.
+    """
+    flags = "(?im)" if ignore_case else "(?m)"
+    found = F.regexp_extract(col(c), f"{flags}^.*{re.escape(marker)}([0-9]+)", 1)
     return F.nullif(found, F.lit(""))
 
 

@@ -13,7 +13,7 @@ from ..operators import kpi
 from ..operators.scope import drill
 from ..plans.bindings import MEASURES, QUARTILES, Views, with_views
 from ..sources import extracts
-from .registry import big, counts, dbl, query, rat, raw_ratio, sums, yr
+from .registry import big, counts, dbl, query, rat, raw_ratio, rounded, sums, unsigned_zero, yr
 from .sources import EXTRACT_HEADING, write_extracts
 
 MONEY = {"spend_usd", "spend_lc", "budget_usd", "budget_lc"}
@@ -272,7 +272,7 @@ BASE_SQL = f"""{with_views('perf', 'campaigns', 'channels', 'products')}, base A
 
 @query(
     "m16_creative_base",
-    BASE_SQL + f"SELECT plan_line_id, creative_id, product_id, status, tier, {dbl('score')} AS score, segment, channel_country, brand FROM base",
+    BASE_SQL + f"SELECT plan_line_id, creative_id, product_id, status, tier, {unsigned_zero('score')} AS score, segment, channel_country, brand FROM base",
 )
 def _(t: Views) -> DataFrame:
     return creative_base(t).select("plan_line_id", "creative_id", "product_id", "status", "tier", "score", "segment", "channel_country", "brand")
@@ -303,9 +303,10 @@ _passes("m18_pass_tier_brand", "tier, brand", ("delivery", "products"), _BRANDED
 
 
 def _scores(name: str, grain: str, view: str) -> None:
-    @query(name, f"{with_views(view)} SELECT {grain}, {dbl('avg(score)')} AS avg_score FROM {view} GROUP BY ALL")
+    @query(name, f"{with_views(view)} SELECT {grain}, {rounded('avg(score)')} AS avg_score FROM {view} GROUP BY ALL")
     def _(t: Views) -> DataFrame:
-        return kpi.avg_score(getattr(t, view), "score", grain.split(", "))
+        scores = kpi.avg_score(getattr(t, view), "score", grain.split(", "))
+        return scores.withColumn("avg_score", F.round("avg_score", 6))
 
 
 _scores("m19_score_status", "status", "delivery")

@@ -10,7 +10,7 @@ from ..operators import reconcile as rec
 from ..operators.kpi import sum_by
 from ..plans.bindings import Views, with_views
 from ..sources import extracts
-from .registry import big, counts, dbl, query, rat, raw_ratio, sums, yr
+from .registry import big, counts, dbl, query, rat, raw_ratio, rounded, sums, yr
 from .sources import EXTRACT_HEADING, write_extracts
 
 
@@ -362,7 +362,7 @@ def _correlation_sql() -> str:
     pairs = [(a, b) for i, a in enumerate(CORRELATED) for b in CORRELATED[i:]]
     rows = " UNION ALL ".join(
         f"""SELECT l_returnflag, '{a}' AS column_a, '{b}' AS column_b,
-            {dbl(f'covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)')} AS correlation FROM l GROUP BY 1"""
+            {rounded(f'covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)')} AS correlation FROM l GROUP BY 1"""
         for a, b in pairs
     )
     return f"WITH l AS (SELECT *, CAST(7 AS DOUBLE) AS l_constant FROM lineitem) {rows}"
@@ -370,7 +370,8 @@ def _correlation_sql() -> str:
 
 @query("x22_correlation_matrix", _correlation_sql())
 def _(t: Views) -> DataFrame:
-    return rec.correlation_matrix(t.lineitem.withColumn("l_constant", F.lit(7.0)), CORRELATED, ["l_returnflag"])
+    matrix = rec.correlation_matrix(t.lineitem.withColumn("l_constant", F.lit(7.0)), CORRELATED, ["l_returnflag"])
+    return matrix.withColumn("correlation", F.round("correlation", 6))
 
 
 @query(

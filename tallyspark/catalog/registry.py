@@ -38,23 +38,32 @@ def query(name: str, sql: str | None) -> Callable:
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, doubles to 6 digits (which also turns -0.0 into 0.0)."""
+    """Decimals as doubles, and zero without a sign."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DecimalType):
-            c = F.round(c.cast("double"), 6)
+            c = c.cast("double")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, 6)
+            c = F.when(c == 0, 0.0).otherwise(c)
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
-# SQL counterparts of ``finish`` and of the column helpers.
+# SQL counterparts of ``finish`` and of the column helpers. Sums are decimal in both engines and ratios are one
+# division of doubles, so results agree to the last digit; only sums of doubles are rounded.
 
 
 def dbl(x: str) -> str:
-    return f"(round(CAST({x} AS DOUBLE), 6) + 0.0)"
+    return f"CAST({x} AS DOUBLE)"
+
+
+def unsigned_zero(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE {x} END"
+
+
+def rounded(x: str) -> str:
+    return f"round(CAST({x} AS DOUBLE), 6)"
 
 
 def big(x: str) -> str:
@@ -81,7 +90,7 @@ def raw_ratio(a: str, b: str, scale: float = 1.0) -> str:
 
 
 def rat(a: str, b: str, scale: float = 1.0) -> str:
-    return dbl(raw_ratio(a, b, scale))
+    return f"({raw_ratio(a, b, scale)})"
 
 
 def sums(*columns: str) -> str:

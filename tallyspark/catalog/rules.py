@@ -9,12 +9,12 @@ from ..functions.columns import money
 from ..operators import rules
 from ..plans.bindings import Views, with_views
 from ..sources.tables import union_all
-from .registry import dbl, query, raw_ratio, yr
+from .registry import dbl, query, raw_ratio, unsigned_zero, yr
 
 
 @query(
     "v01_out_of_range",
-    f"SELECT l_orderkey, l_linenumber, {dbl('l_discount')} AS l_discount FROM lineitem WHERE NOT (l_discount BETWEEN 0 AND 0.05)",
+    f"SELECT l_orderkey, l_linenumber, {unsigned_zero('l_discount')} AS l_discount FROM lineitem WHERE NOT (l_discount BETWEEN 0 AND 0.05)",
 )
 def _(t: Views) -> DataFrame:
     return rules.out_of_range(t.lineitem.select("l_orderkey", "l_linenumber", "l_discount"), "l_discount", 0, 0.05)
@@ -38,7 +38,7 @@ def _(t: Views) -> DataFrame:
 
 @query(
     "v03_paired_zero",
-    f"""SELECT l_orderkey, l_linenumber, {dbl('l_tax')} AS l_tax, {dbl('l_discount')} AS l_discount,
+    f"""SELECT l_orderkey, l_linenumber, {unsigned_zero('l_tax')} AS l_tax, {unsigned_zero('l_discount')} AS l_discount,
         CASE WHEN l_tax = 0 THEN 'l_tax_zero' ELSE 'l_discount_zero' END AS reason FROM lineitem
         WHERE (l_tax = 0 AND l_discount <> 0) OR (l_discount = 0 AND l_tax <> 0)""",
 )

@@ -13,7 +13,7 @@ from ..operators import kpi
 from ..operators.scope import drill
 from ..plans.bindings import MEASURES, QUARTILES, Views, with_views
 from ..sources import extracts
-from .registry import big, counts, dbl, query, rat, raw_ratio, rounded, sums, unsigned_zero, yr
+from .registry import big, counts, dbl, query, rat, raw_ratio, sums, unsigned_zero, yr
 from .sources import EXTRACT_HEADING, write_extracts
 
 MONEY = {"spend_usd", "spend_lc", "budget_usd", "budget_lc"}
@@ -303,10 +303,9 @@ _passes("m18_pass_tier_brand", "tier, brand", ("delivery", "products"), _BRANDED
 
 
 def _scores(name: str, grain: str, view: str) -> None:
-    @query(name, f"{with_views(view)} SELECT {grain}, {rounded('avg(score)')} AS avg_score FROM {view} GROUP BY ALL")
+    @query(name, f"{with_views(view)} SELECT {grain}, {rat('sum(CAST(score AS DECIMAL(28,10)))', 'count(score)')} AS avg_score FROM {view} GROUP BY ALL")
     def _(t: Views) -> DataFrame:
-        scores = kpi.avg_score(getattr(t, view), "score", grain.split(", "))
-        return scores.withColumn("avg_score", F.round("avg_score", 6))
+        return kpi.avg_score(getattr(t, view), "score", grain.split(", "))
 
 
 _scores("m19_score_status", "status", "delivery")

@@ -91,7 +91,9 @@ def pass_counts(base: DataFrame, status: str, value: str, grain: Sequence[str],
 
 
 def avg_score(base: DataFrame, score: str, grain: Sequence[str]) -> DataFrame:
-    return base.groupBy(*grain).agg(F.avg(score).alias("avg_score"))
+    """Mean score, from a decimal sum: the result does not depend on the order in which tasks finish."""
+    exact = F.col(score).cast("decimal(28,10)")
+    return base.groupBy(*grain).agg(ratio(F.sum(exact), F.count(score)).alias("avg_score"))
 
 
 def tier_counts(base: DataFrame, creative: str | Sequence[str], grain: Sequence[str]) -> DataFrame:

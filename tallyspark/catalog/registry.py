@@ -6,8 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.bindings import Views
 
@@ -40,14 +38,14 @@ def query(name: str, sql: str | None) -> Callable:
 def finish(df: DataFrame) -> DataFrame:
     """Decimals as doubles, and zero without a sign."""
     out = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(c == 0, 0.0).otherwise(c)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    for name, kind in df.dtypes:
+        if kind.startswith("decimal"):
+            out.append(f"CAST(`{name}` AS DOUBLE) AS `{name}`")
+        elif kind == "double":
+            out.append(f"CASE WHEN `{name}` = 0 THEN 0D ELSE `{name}` END AS `{name}`")
+        else:
+            out.append(f"`{name}`")
+    return df.selectExpr(*out)
 
 
 # SQL counterparts of ``finish`` and of the column helpers. Sums are decimal in both engines and ratios are one

@@ -6,8 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
-
-from .columns import ratio
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -18,7 +17,9 @@ class Kpi:
     scale: float = 1.0
 
     def column(self) -> Column:
-        return ratio(self.numerator, self.denominator, self.scale).alias(self.name)
+        """Null when the denominator is zero."""
+        scaled = "" if self.scale == 1.0 else f"{self.scale}D * "
+        return F.expr(f"try_divide({scaled}CAST({self.numerator} AS DOUBLE), CAST({self.denominator} AS DOUBLE)) AS {self.name}")
 
 
 # KPI definitions (id, numerator, denominator, scale).

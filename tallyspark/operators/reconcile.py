@@ -231,6 +231,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     aggs = []
     for i, (a, b) in enumerate(pairs):
+        if a == b:
+            aggs.append(F.when(F.stddev_pop(F.col(a).cast("double")) > 0, 1.0).alias(f"__c{i}"))
+            continue
         # Only rows with both values count, for the covariance and for both deviations.
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))

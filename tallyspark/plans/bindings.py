@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import money
+from ..functions.columns import MONEY
 from ..operators.reconcile import fiscal_calendar
 
 # The given tables.
@@ -43,64 +43,51 @@ class Views:
 
     @cached_property
     def delivery(self) -> DataFrame:
-        q, price = F.col("l_quantity"), F.col("l_extendedprice")
-        played = F.when(F.col("l_returnflag") == "R", 0).otherwise(q * 10)
-        return self.lineitem.select(
-            F.col("l_orderkey").alias("plan_line_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("channel_id"),
-            F.col("l_linenumber").alias("creative_id"),
-            F.col("l_shipdate").cast("date").alias("date"),
-            money("l_extendedprice").alias("spend_usd"),
-            money(price * (1 + F.col("l_tax"))).alias("spend_lc"),
-            (q * 1000).cast("bigint").alias("impressions"),
-            q.cast("bigint").alias("clicks"),
-            (q * 100).cast("bigint").alias("views"),
-            played.cast("bigint").alias("fully_played"),
-            (q * 80).cast("bigint").alias("video_25"),
-            (q * 60).cast("bigint").alias("video_50"),
-            (q * 40).cast("bigint").alias("video_75"),
-            F.col("l_discount").alias("score"),
-            F.col("l_linestatus").alias("status"),
-            F.col("l_returnflag").alias("tier"),
+        return self.lineitem.selectExpr(
+            "l_orderkey AS plan_line_id",
+            "l_partkey AS product_id",
+            "l_suppkey AS channel_id",
+            "l_linenumber AS creative_id",
+            "CAST(l_shipdate AS DATE) AS date",
+            f"CAST(l_extendedprice AS {MONEY}) AS spend_usd",
+            f"CAST(l_extendedprice * (1 + l_tax) AS {MONEY}) AS spend_lc",
+            "CAST(l_quantity * 1000 AS BIGINT) AS impressions",
+            "CAST(l_quantity AS BIGINT) AS clicks",
+            "CAST(l_quantity * 100 AS BIGINT) AS views",
+            "CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity * 10 END AS BIGINT) AS fully_played",
+            "CAST(l_quantity * 80 AS BIGINT) AS video_25",
+            "CAST(l_quantity * 60 AS BIGINT) AS video_50",
+            "CAST(l_quantity * 40 AS BIGINT) AS video_75",
+            "l_discount AS score",
+            "l_linestatus AS status",
+            "l_returnflag AS tier",
         )
 
     @cached_property
     def perf(self) -> DataFrame:
-        campaign = self.orders.select(
-            F.col("o_orderkey").alias("plan_line_id"),
-            F.col("o_custkey").alias("campaign_id"),
-            F.col("o_orderdate").cast("date").alias("campaign_start_date"),
+        campaign = self.orders.selectExpr(
+            "o_orderkey AS plan_line_id", "o_custkey AS campaign_id", "CAST(o_orderdate AS DATE) AS campaign_start_date"
         )
         return self.delivery.join(campaign, "plan_line_id")
 
     @cached_property
     def campaigns(self) -> DataFrame:
-        return self.customer.select(
-            F.col("c_custkey").alias("campaign_id"),
-            F.col("c_name").alias("campaign_desc"),
-            F.col("c_nationkey").alias("country_id"),
-            F.col("c_mktsegment").alias("segment"),
+        return self.customer.selectExpr(
+            "c_custkey AS campaign_id", "c_name AS campaign_desc", "c_nationkey AS country_id", "c_mktsegment AS segment"
         )
 
     @cached_property
     def countries(self) -> DataFrame:
-        return self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-            F.col("n_nationkey").alias("country_id"), F.col("n_name").alias("country_desc"), F.col("r_name").alias("region_desc")
-        )
+        named = self.nation.join(self.region, F.expr("n_regionkey = r_regionkey"))
+        return named.selectExpr("n_nationkey AS country_id", "n_name AS country_desc", "r_name AS region_desc")
 
     @cached_property
     def products(self) -> DataFrame:
-        return self.part.select(
-            F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("product_type"),
-            F.col("p_name").alias("product"),
-        )
+        return self.part.selectExpr("p_partkey AS product_id", "p_brand AS brand", "p_type AS product_type", "p_name AS product")
 
     @cached_property
     def channels(self) -> DataFrame:
-        return self.supplier.select(
-            F.col("s_suppkey").alias("channel_id"), F.col("s_name").alias("channel_desc"), F.col("s_nationkey").alias("channel_country")
-        )
+        return self.supplier.selectExpr("s_suppkey AS channel_id", "s_name AS channel_desc", "s_nationkey AS channel_country")
 
     @cached_property
     def perf_country(self) -> DataFrame:
@@ -108,15 +95,14 @@ class Views:
 
     @cached_property
     def planned(self) -> DataFrame:
-        start = F.col("o_orderdate").cast("date")
-        return self.orders.select(
-            F.col("o_orderkey").alias("plan_line_id"),
-            F.col("o_custkey").alias("campaign_id"),
-            money("o_totalprice").alias("budget_usd"),
-            money(F.col("o_totalprice") * 1.1).alias("budget_lc"),
-            start.alias("plan_start"),
-            F.date_add(start, 30).alias("plan_end"),
-            F.col("o_orderpriority").alias("priority"),
+        return self.orders.selectExpr(
+            "o_orderkey AS plan_line_id",
+            "o_custkey AS campaign_id",
+            f"CAST(o_totalprice AS {MONEY}) AS budget_usd",
+            f"CAST(o_totalprice * 1.1D AS {MONEY}) AS budget_lc",
+            "CAST(o_orderdate AS DATE) AS plan_start",
+            "date_add(CAST(o_orderdate AS DATE), 30) AS plan_end",
+            "o_orderpriority AS priority",
         )
 
     @cached_property
@@ -125,9 +111,8 @@ class Views:
 
     @cached_property
     def reach(self) -> DataFrame:
-        return self.events.select(
-            F.col("user_id").alias("campaign_id"), F.col("event_type").alias("platform"),
-            F.col("ts").cast("date").alias("date"), money("value").alias("value"), "event_id",
+        return self.events.selectExpr(
+            "user_id AS campaign_id", "event_type AS platform", "CAST(ts AS DATE) AS date", f"CAST(value AS {MONEY}) AS value", "event_id"
         )
 
     @cached_property

@@ -37,13 +37,13 @@ DASHBOARD = ["ctr", "cpm_usd", "cpm_lc", "vcr_impressions_pct", "cpcv_usd", "cpc
 
 @query("m01_kpi_country", with_views("perf_country") + kpi_sql("country_id", SUMMARY, "perf_country"))
 def _(t: Views) -> DataFrame:
-    return kpi.kpi_rollup(t.perf_country, ["country_id"], SUMMARY)
+    dims = [(t.order_dim, "plan_line_id", "inner"), (t.country_dim, "campaign_id", "inner")]
+    return kpi.kpi_rollup(t.delivery, ["country_id"], SUMMARY, dims=dims)
 
 
 @query("m01_kpi_brand", with_views("delivery", "products") + kpi_sql("brand", SUMMARY, "delivery LEFT JOIN products USING (product_id)"))
 def _(t: Views) -> DataFrame:
-    df = kpi.join_dims(t.delivery, [(t.products.select("product_id", "brand"), "product_id", "left")])
-    return kpi.kpi_rollup(df, ["brand"], SUMMARY)
+    return kpi.kpi_rollup(t.delivery, ["brand"], SUMMARY, dims=[(t.brand_dim, "product_id", "left")])
 
 
 @query("m01_kpi_platform_channel", with_views("delivery") + kpi_sql("tier, channel_id", SUMMARY, "delivery"))
@@ -56,7 +56,7 @@ QUARTILE_KPIS = ["vcr25", "vcr50", "vcr75", "vcr_views_pct", "vtr_views", "vtr_v
 
 @query("m01_kpi_campaign", with_views("perf") + kpi_sql("campaign_id", QUARTILE_KPIS, "perf"))
 def _(t: Views) -> DataFrame:
-    return kpi.kpi_rollup(t.perf, ["campaign_id"], QUARTILE_KPIS)
+    return kpi.kpi_rollup(t.delivery, ["campaign_id"], QUARTILE_KPIS, dims=[(t.order_dim, "plan_line_id", "inner")])
 
 
 def dedup_sql(grain: str, source: str, keys: str) -> str:
@@ -87,8 +87,8 @@ def _(t: Views) -> DataFrame:
     with_views("delivery", "channels") + kpi_sql("channel_desc, tier", DASHBOARD, "delivery LEFT JOIN channels USING (channel_id)"),
 )
 def _(t: Views) -> DataFrame:
-    df = t.delivery.join(t.channels.select("channel_id", "channel_desc"), "channel_id", "left")
-    return kpi.kpi_rollup(df, ["channel_desc", "tier"], DASHBOARD)
+    dims = [(t.channels.select("channel_id", "channel_desc"), "channel_id", "left")]
+    return kpi.kpi_rollup(t.delivery, ["channel_desc", "tier"], DASHBOARD, dims=dims)
 
 
 PACING = ["ctr", "cpm_usd", "vcr_views_pct", "spend_pacing"]
@@ -144,7 +144,7 @@ def _(t: Views) -> DataFrame:
         (t.countries, "country_id", "inner"),
         (t.products.select("product_id", "brand", "product_type"), "product_id", "inner"),
     ]
-    return kpi.kpi_rollup(kpi.join_dims(t.perf, dims), REGION.split(", "), ["ctr", "cpm_usd", "cpcv_usd"])
+    return kpi.kpi_rollup(t.perf, REGION.split(", "), ["ctr", "cpm_usd", "cpcv_usd"], dims=dims)
 
 
 PERFORMANCE = ["ctr", "cpm_usd", "vcr_views_pct", "vtr_views_pct", "cpcv_usd"]
@@ -160,7 +160,7 @@ def _(t: Views) -> DataFrame:
         (t.campaigns.select("campaign_id", "campaign_desc"), "campaign_id", "inner"),
         (t.channels.select("channel_id", "channel_country"), "channel_id", "inner"),
     ]
-    return kpi.kpi_rollup(kpi.join_dims(t.perf, dims), ["campaign_desc", "channel_country", "tier", "status"], PERFORMANCE)
+    return kpi.kpi_rollup(t.perf, ["campaign_desc", "channel_country", "tier", "status"], PERFORMANCE, dims=dims)
 
 
 @query(
@@ -180,12 +180,12 @@ def _spend(name: str, grain: str, sql_source: str, views: tuple[str, ...], sourc
 
 
 _YEAR = f"(SELECT *, {yr('date')} AS year FROM %s)"
-_spend("m09_spend_country_year", "country_id, year", _YEAR % "perf_country", ("perf_country",), lambda t: t.perf_country.withColumn("year", F.year("date")))
+_spend("m09_spend_country_year", "country_id, year", _YEAR % "perf_country", ("perf_country",), lambda t: t.spend_year)
 _spend("m09_spend_channel_year", "channel_id, year", _YEAR % "delivery", ("delivery",), lambda t: t.delivery.withColumn("year", F.year("date")))
 _spend("m09_spend_platform_year", "tier, year", _YEAR % "delivery", ("delivery",), lambda t: t.delivery.withColumn("year", F.year("date")))
 _spend(
     "m09_spend_brand_year", "brand, year", f"{_YEAR % 'delivery'} JOIN products USING (product_id)", ("delivery", "products"),
-    lambda t: t.delivery.withColumn("year", F.year("date")).join(t.products.select("product_id", "brand"), "product_id"),
+    lambda t: kpi.sum_by(t.delivery.withColumn("year", F.year("date")), ["product_id", "year"], ["spend_usd", "spend_lc"]).join(t.brand_dim, "product_id"),
 )
 
 
@@ -424,8 +424,8 @@ def _(t: Views) -> DataFrame:
     f"{with_views('perf', 'campaigns')} SELECT campaign_desc, segment, {counts('impressions')} FROM perf JOIN campaigns USING (campaign_id) GROUP BY 1, 2",
 )
 def _(t: Views) -> DataFrame:
-    per_campaign = kpi.sum_by(t.perf, ["campaign_id"], ["impressions"])
-    return kpi.sum_by(per_campaign.join(t.campaigns, "campaign_id"), ["campaign_desc", "segment"], ["impressions"])
+    dims = [(t.order_dim, "plan_line_id", "inner"), (t.campaigns.select("campaign_id", "campaign_desc", "segment"), "campaign_id", "inner")]
+    return kpi.sum_through(t.delivery, dims, ["campaign_desc", "segment"], ["impressions"])
 
 
 @query(

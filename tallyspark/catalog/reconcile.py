@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import money
 from ..operators import reconcile as rec
-from ..operators.kpi import sum_by
+from ..operators.kpi import sum_by, sum_through
+from ..operators.scope import filter_years
 from ..plans.bindings import Views, with_views
 from ..sources import extracts
 from .registry import big, counts, dbl, query, rat, raw_ratio, rounded, sums, yr
@@ -34,7 +35,7 @@ FX = f"""{AMOUNTS}, {rat('spend_lc', 'spend_usd')} AS actual_ratio, {rat('budget
 
 
 def fx_ratios(t: Views, grain: list[str]) -> DataFrame:
-    return rec.fx_ratio_consistency(with_year(t.planned_country, "plan_start"), with_year(t.perf_country, "date"), grain)
+    return rec.fx_ratio_consistency(with_year(t.planned_country, "plan_start"), t.spend_year, grain)
 
 
 @query("x01_fx_ratio_country", f"{_plan_actual('country_id')} SELECT country_id, {FX} FROM a JOIN p USING (country_id)")
@@ -68,7 +69,7 @@ OUTLIER = f"({raw_ratio('spend_lc', 'budget_lc', 100)} > 110 OR {raw_ratio('spen
 
 
 def variance_inputs(t: Views) -> tuple[DataFrame, DataFrame, list[str]]:
-    return with_year(t.planned_country, "plan_start"), with_year(t.perf_country, "date"), CAMPAIGN_YEAR.split(", ")
+    return with_year(t.planned_country, "plan_start"), t.spend_year, CAMPAIGN_YEAR.split(", ")
 
 
 @query(
@@ -109,7 +110,7 @@ def _sides(grain: str) -> str:
 
 @query("x05_yearly_sides", f"{_sides('country_id, year')} SELECT country_id, year, {AMOUNTS} FROM a LEFT JOIN p USING (country_id, year)")
 def _(t: Views) -> DataFrame:
-    return rec.yearly_sides(with_year(t.planned_country, "plan_start"), with_year(t.perf_country, "date"), ["country_id", "year"])
+    return rec.yearly_sides(with_year(t.planned_country, "plan_start"), t.spend_year, ["country_id", "year"])
 
 
 @query(
@@ -118,8 +119,7 @@ def _(t: Views) -> DataFrame:
         WHERE coalesce(spend_usd, 0) = 0 OR coalesce(spend_lc, 0) = 0 OR coalesce(budget_usd, 0) = 0 OR coalesce(budget_lc, 0) = 0""",
 )
 def _(t: Views) -> DataFrame:
-    plan, actual = with_year(t.planned, "plan_start"), with_year(t.perf, "date")
-    return rec.yearly_sides(plan, actual, ["campaign_id", "year"], only_zero=True)
+    return rec.yearly_sides(with_year(t.planned, "plan_start"), t.spend_year, ["campaign_id", "year"], only_zero=True)
 
 
 @query(
@@ -135,7 +135,8 @@ def _(t: Views) -> DataFrame:
 )
 def _(t: Views) -> DataFrame:
     reach = t.reach.groupBy("campaign_id", "platform").agg(F.sum("value").alias("reach"))
-    both = reach.join(sum_by(t.perf, ["campaign_id"], ["impressions"]), "campaign_id")
+    seen = sum_through(t.delivery, [(t.order_dim, "plan_line_id", "inner")], ["campaign_id"], ["impressions"])
+    both = reach.join(seen, "campaign_id")
     stored = both.withColumn("frequency", F.round(F.try_divide(F.col("impressions").cast("double"), F.col("reach").cast("double")), 1))
     return rec.recompute_ratio(stored, "impressions", "reach", "frequency")
 
@@ -146,9 +147,7 @@ CURRENCY_SQL = ", ".join(f"{rat(a, b)} AS {n}" for n, (a, b) in CURRENCIES.items
 
 @query("x07_actual_vs_ingoing", f"{_sides('country_id, year')} SELECT country_id, year, {AMOUNTS}, {CURRENCY_SQL} FROM a LEFT JOIN p USING (country_id, year)")
 def _(t: Views) -> DataFrame:
-    return rec.compare_sums(
-        with_year(t.perf_country, "date"), with_year(t.planned_country, "plan_start"), ["country_id", "year"], CURRENCIES, "left"
-    )
+    return rec.compare_sums(t.spend_year, with_year(t.planned_country, "plan_start"), ["country_id", "year"], CURRENCIES, "left")
 
 
 @query("x08_table_vs_table_sums", f"{_sides('plan_line_id')} SELECT plan_line_id, {AMOUNTS}, {CURRENCY_SQL} FROM a JOIN p USING (plan_line_id)")
@@ -254,7 +253,7 @@ def _(t: Views) -> DataFrame:
 )
 def _(t: Views) -> DataFrame:
     return rec.composed_key_reconcile(
-        with_year(t.perf_country, "date"), with_year(t.planned_country, "plan_start"), ["year", "country_id"], ("spend_usd", "budget_usd")
+        t.spend_year, with_year(t.planned_country, "plan_start"), ["year", "country_id"], ("spend_usd", "budget_usd")
     )
 
 
@@ -290,8 +289,9 @@ def _(t: Views) -> DataFrame:
         FROM perf_country LEFT JOIN products USING (product_id) WHERE year(date) IN (1997, 1998) GROUP BY ALL""",
 )
 def _(t: Views) -> DataFrame:
-    df = with_year(t.perf_country, "date").filter("year in (1997, 1998)").join(t.products.select("product_id", "brand"), "product_id", "left")
-    return sum_by(df, ["country_id", "year", "channel_id", "brand"], ["spend_usd", "spend_lc", "clicks", "impressions"])
+    df = with_year(filter_years(t.delivery, "date", [1997, 1998]), "date")
+    dims = [(t.brand_dim, "product_id", "left"), (t.order_dim, "plan_line_id", "inner"), (t.country_dim, "campaign_id", "inner")]
+    return sum_through(df, dims, ["country_id", "year", "channel_id", "brand"], ["spend_usd", "spend_lc", "clicks", "impressions"])
 
 
 @query(
@@ -342,8 +342,8 @@ def _(t: Views) -> DataFrame:
         FROM delivery JOIN products USING (product_id) GROUP BY 1, 2""",
 )
 def _(t: Views) -> DataFrame:
-    df = t.delivery.join(t.products.select("product_id", "brand"), "product_id")
-    return rec.monthly_actual(df, "date", ["brand"], ["spend_usd", "impressions"])
+    monthly = rec.monthly_actual(t.delivery, "date", ["product_id"], ["spend_usd", "impressions"])
+    return sum_by(monthly.join(t.brand_dim, "product_id"), ["brand", "month_end"], ["spend_usd", "impressions"])
 
 
 @query(
@@ -421,22 +421,21 @@ def _(t: Views) -> DataFrame:
 
 
 def _fanout_sql() -> str:
-    joins = [
-        "FROM perf",
-        "LEFT JOIN products USING (product_id)",
-        "LEFT JOIN reach USING (campaign_id)",
-        "LEFT JOIN planned USING (campaign_id)",
-        "JOIN (SELECT channel_id AS channel FROM channels WHERE channel_country < 12) ON channel = channel_id",
+    """Each fact row weighs the product of the matches of its keys; an unmatched left join counts 1, an inner one 0."""
+    rights = [
+        ("products", "product_id", "products", 1), ("reach", "campaign_id", "reach", 1), ("planned", "campaign_id", "planned", 1),
+        ("channels", "channel_id", "channels WHERE channel_country < 12", 0),
     ]
-    names = ["products", "reach", "planned", "channels"]
-    unique = ["products GROUP BY product_id", "reach GROUP BY campaign_id", "planned GROUP BY campaign_id", "channels GROUP BY channel_id"]
-    n = ", ".join(f"n{i} AS (SELECT count(*) AS n {' '.join(joins[: i + 1])})" for i in range(5))
+    per_key = ", ".join(f"k{i} AS (SELECT {key}, count(*) AS n{i} FROM {table} GROUP BY {key})" for i, (_, key, table, _) in enumerate(rights, 1))
+    joins = " ".join(f"LEFT JOIN k{i} USING ({key})" for i, (_, key, _, _) in enumerate(rights, 1))
+    weights = ["1"] + [f"coalesce(n{i}, {missing})" for i, (_, _, _, missing) in enumerate(rights, 1)]
+    totals = ", ".join(f"{big(f'sum({chr(42).join(weights[: i + 1])})')} AS t{i}" for i in range(5))
     rows = " UNION ALL ".join(
-        f"""SELECT CAST({i} AS INTEGER) AS step, '{names[i - 1]}' AS step_name, (SELECT n FROM n{i - 1}) AS rows_before, (SELECT n FROM n{i}) AS rows_after,
-            (SELECT max(c) <= 1 FROM (SELECT count(*) AS c FROM {unique[i - 1]})) AS key_is_unique"""
-        for i in range(1, 5)
+        f"""SELECT CAST({i} AS INTEGER) AS step, '{name}' AS step_name, t{i - 1} AS rows_before, t{i} AS rows_after,
+            (SELECT max(n{i}) <= 1 FROM k{i}) AS key_is_unique FROM totals"""
+        for i, (name, _, _, _) in enumerate(rights, 1)
     )
-    return f"{with_views('perf', 'products', 'reach', 'planned', 'channels')}, {n} {rows}"
+    return f"{with_views('perf', 'products', 'reach', 'planned', 'channels')}, {per_key}, totals AS (SELECT {totals} FROM perf {joins}) {rows}"
 
 
 @query("x27_join_fanout", _fanout_sql())

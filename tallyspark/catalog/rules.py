@@ -180,8 +180,8 @@ def _(t: Views) -> DataFrame:
 
 @query(
     "v12_one_name_many_keys",
-    """SELECT p_name, count(*) AS n_keys, string_agg(p_brand, ',' ORDER BY p_brand) AS keys FROM (SELECT DISTINCT p_name, p_brand FROM part)
-       GROUP BY 1 HAVING count(*) > 1""",
+    """WITH pairs AS (SELECT DISTINCT p_name, p_brand FROM part), n AS (SELECT p_name, count(*) AS n_keys FROM pairs GROUP BY 1)
+       SELECT p_name, p_brand, n_keys FROM pairs JOIN n USING (p_name) WHERE n_keys > 1""",
 )
 def _(t: Views) -> DataFrame:
     return rules.one_name_many_keys(t.part, "p_name", "p_brand")
@@ -250,8 +250,7 @@ def _(t: Views) -> DataFrame:
         WHERE country_id IN (1, 3, 5, 7, 11) AND year >= 1999 AND spend_ratio <> 1.0""",
 )
 def _(t: Views) -> DataFrame:
-    df = t.perf_country.withColumn("year", F.year("date"))
-    return rules.parity_for_keys(df, "country_id", [1, 3, 5, 7, 11], "year", 1999, {"spend_ratio": ("spend_lc", "spend_usd")})
+    return rules.parity_for_keys(t.spend_year, "country_id", [1, 3, 5, 7, 11], "year", 1999, {"spend_ratio": ("spend_lc", "spend_usd")})
 
 
 @query(

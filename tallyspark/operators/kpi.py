@@ -26,18 +26,41 @@ def sum_by(df: DataFrame, grain: Sequence[str | Column], measures: Sequence[str]
     return df.groupBy(*[col(g) for g in grain]).agg(*[F.sum(m).alias(m) for m in measures])
 
 
+def sum_through(
+    fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str]], grain: Sequence[str], measures: Sequence[str]
+) -> DataFrame:
+    """Sums by a grain whose columns come from the fact and from a chain of dims (dim, key, how).
+
+    The fact is added up by what is still needed (the next key, grain columns, later keys) before each join. The
+    sums are combined before they are shuffled, so a key with a large part of all rows meets its dim as few rows,
+    and where only the key is needed the shuffle of the sums is also the one of the join.
+    """
+    for i, (dim, key, how) in enumerate(dims):
+        later = {k for _, k, _ in dims[i + 1 :]}
+        kept = [c for c in fact.columns if c in grain or c in later or c == key]
+        fact = sum_by(fact, kept, measures).join(dim, key, how)
+    return sum_by(fact, grain, measures)
+
+
 def kpi_rollup(
-    fact: DataFrame, grain: Sequence[str], kpis: Sequence[str], measures: Sequence[str] | None = None, dedup: Sequence[str] | None = None
+    fact: DataFrame,
+    grain: Sequence[str],
+    kpis: Sequence[str],
+    measures: Sequence[str] | None = None,
+    dedup: Sequence[str] | None = None,
+    dims: Sequence[tuple[DataFrame, str, str]] = (),
 ) -> DataFrame:
-    """Sums per grain and the KPIs on them.
+    """Sums per grain and the KPIs on them. Grain columns may come from ``dims`` (see ``sum_through``).
 
     ``dedup`` names columns on which equal rows are counted once before they are summed, as some dashboards do;
     it is off by default because it also removes genuine equal rows.
     """
     measures = list(measures or measures_for(kpis))
     if dedup is not None:
+        if dims:
+            raise ValueError("join the dims before equal rows are dropped")
         fact = fact.select(*dict.fromkeys([*grain, *measures, *dedup])).dropDuplicates()
-    return sum_by(fact, grain, measures).select("*", *kpi_columns(kpis))
+    return sum_through(fact, dims, grain, measures).select("*", *kpi_columns(kpis))
 
 
 def grand_total(rollup: DataFrame, measures: Sequence[str]) -> DataFrame:

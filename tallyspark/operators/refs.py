@@ -22,7 +22,7 @@ def _policy(df: DataFrame, key: Sequence[str], nulls: str) -> DataFrame:
 def orphans(fact: DataFrame, dim: DataFrame, key: Sequence[str], nulls: str = "report") -> DataFrame:
     """Distinct fact keys that the dimension does not hold. A null key matches nothing."""
     keys = _policy(fact.select(*key), key, nulls).distinct()
-    return keys.join(dim.select(*key), list(key), "left_anti")
+    return keys.join(dim.select(*key).distinct(), list(key), "left_anti")
 
 
 def orphan_rows(
@@ -48,7 +48,7 @@ def missing_key_counts(fact: DataFrame, dims: Mapping[str, tuple[DataFrame, Sequ
 
 def key_difference(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """Distinct keys of ``a`` that ``b`` does not have; a null equals a null."""
-    return a.select(*key).subtract(b.select(*key))
+    return a.select(*key).distinct().subtract(b.select(*key).distinct())
 
 
 def presence_matrix(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -86,7 +86,7 @@ def enrich_unmatched(
 
 def code_filter_join(dim: DataFrame, codes: DataFrame, key: str) -> DataFrame:
     """Dimension rows whose key is in a code list."""
-    return dim.join(codes.select(key), key, "left_semi")
+    return dim.join(codes.select(key).distinct(), key, "left_semi")
 
 
 def source_gap(df: DataFrame, source: str, a: str, b: str, attributes: Sequence[str]) -> DataFrame:

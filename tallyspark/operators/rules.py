@@ -71,7 +71,8 @@ def declared_vs_observed_span(
     """Declared start and end per grain against the first and last date of its data.
 
     ``any`` reports one wrong end, ``both`` only spans with two wrong ends. The fact is read once: it is reduced
-    to one row per grain and declared span before the overall first and last dates are taken.
+    to one row per grain and declared span before the overall first and last dates are taken. The list of spans
+    that a grain carries is as long as it has distinct declared dates.
     """
     if mode not in ("any", "both"):
         raise ValueError("mode must be 'any' or 'both'")
@@ -100,13 +101,10 @@ def prefix_mismatch(df: DataFrame, name: str, key: str, n: int = 2) -> DataFrame
 
 
 def one_name_many_keys(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Names that go with several keys, with the count and the sorted list of keys."""
+    """Names that go with several keys: one row per name and key, with the number of keys."""
     pairs = df.select(name, key).distinct().filter(F.col(key).isNotNull())
-    return (
-        pairs.groupBy(name)
-        .agg(F.count(key).alias("n_keys"), F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("keys"))
-        .filter(F.col("n_keys") > 1)
-    )
+    repeated = pairs.groupBy(name).agg(F.count(key).alias("n_keys")).filter(F.col("n_keys") > 1)
+    return pairs.join(repeated, name)
 
 
 def zero_metric_for_type(

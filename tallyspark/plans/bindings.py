@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY
+from ..operators.kpi import sum_through
 from ..operators.reconcile import fiscal_calendar
 
 # The given tables.
@@ -89,9 +90,31 @@ class Views:
     def channels(self) -> DataFrame:
         return self.supplier.selectExpr("s_suppkey AS channel_id", "s_name AS channel_desc", "s_nationkey AS channel_country")
 
+    @cached_property
+    def order_dim(self) -> DataFrame:
+        """plan_line_id -> campaign_id."""
+        return self.orders.selectExpr("o_orderkey AS plan_line_id", "o_custkey AS campaign_id")
+
+    @cached_property
+    def country_dim(self) -> DataFrame:
+        """campaign_id -> country_id."""
+        return self.customer.selectExpr("c_custkey AS campaign_id", "c_nationkey AS country_id")
+
+    @cached_property
+    def brand_dim(self) -> DataFrame:
+        """product_id -> brand."""
+        return self.part.selectExpr("p_partkey AS product_id", "p_brand AS brand")
+
+    @cached_property
+    def spend_year(self) -> DataFrame:
+        """Spend per country, campaign and year."""
+        yearly = self.delivery.selectExpr("plan_line_id", "year(date) AS year", "spend_usd", "spend_lc")
+        dims = [(self.order_dim, "plan_line_id", "inner"), (self.country_dim, "campaign_id", "inner")]
+        return sum_through(yearly, dims, ["country_id", "campaign_id", "year"], ["spend_usd", "spend_lc"])
+
     @cached_property
     def perf_country(self) -> DataFrame:
-        return self.perf.join(self.campaigns.select("campaign_id", "country_id"), "campaign_id")
+        return self.perf.join(self.country_dim, "campaign_id")
 
     @cached_property
     def planned(self) -> DataFrame:
@@ -107,7 +130,7 @@ class Views:
 
     @cached_property
     def planned_country(self) -> DataFrame:
-        return self.planned.join(self.campaigns.select("campaign_id", "country_id"), "campaign_id")
+        return self.planned.join(self.country_dim, "campaign_id")
 
     @cached_property
     def reach(self) -> DataFrame:

@@ -60,25 +60,24 @@ class Suite:
             scan = tables[table].agg(
                 F.count(F.lit(1)).alias("base_rows"), *[F.count_if(c.rule()).alias(f"v{i}") for i, c in enumerate(rules)]
             )
-            counted = [F.struct(F.lit(c.check_id).alias("check_id"), F.col(f"v{i}").alias("violations")) for i, c in enumerate(rules)]
-            pending = [F.struct(F.lit(c.check_id).alias("check_id"), F.lit(None).cast("bigint").alias("violations")) for c in frames]
+            counted = [_row(c, F.col(f"v{i}")) for i, c in enumerate(rules)]
+            pending = [_row(c, F.lit(None).cast("bigint")) for c in frames]
             rows = scan.select("base_rows", F.inline(F.array(*counted, *pending)))
             if frames:
                 own = union_all(
                     c.frame(tables).agg(F.count(F.lit(1)).alias("own")).select(F.lit(c.check_id).alias("check_id"), "own")
                     for c in frames
                 )
-                rows = rows.join(own, "check_id", "left").withColumn("violations", F.coalesce("violations", "own")).drop("own")
-            out.append(rows.withColumn("table_name", F.lit(table)))
-        spark = out[0].sparkSession
-        labels = spark.createDataFrame(
-            [(c.check_id, c.domain, c.severity) for c in self.checks], "check_id string, domain string, severity string"
-        )
-        return (
-            union_all(out)
-            .join(labels, "check_id")
-            .select(
-                "check_id", "domain", "severity", "table_name", "violations", "base_rows",
-                ratio("violations", "base_rows").alias("share"), (F.col("violations") == 0).alias("passed"),
-            )
+                rows = rows.join(own, "check_id", "left").withColumn("violations", F.coalesce("violations", "own"))
+            out.append(rows.withColumn("table_name", F.lit(table)).drop("own"))
+        return union_all(out).select(
+            "check_id", "domain", "severity", "table_name", "violations", "base_rows",
+            ratio("violations", "base_rows").alias("share"), (F.col("violations") == 0).alias("passed"),
         )
+
+
+def _row(check: Check, violations: Column) -> Column:
+    return F.struct(
+        F.lit(check.check_id).alias("check_id"), F.lit(check.domain).alias("domain"),
+        F.lit(check.severity).alias("severity"), violations.alias("violations"),
+    )

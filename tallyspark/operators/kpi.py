@@ -6,7 +6,7 @@ campaign), so that no join multiplies rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ def join_dims(fact: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[st
     return fact
 
 
-def sum_by(df: DataFrame, grain: Sequence[str | Column], measures: Sequence[str]) -> DataFrame:
+def sum_by(df: DataFrame, grain: Iterable[str | Column], measures: Iterable[str]) -> DataFrame:
     return df.groupBy(*[col(g) for g in grain]).agg(*[F.sum(m).alias(m) for m in measures])
 
 

@@ -85,15 +85,19 @@ def recompute_ratio(df: DataFrame, num: str, den: str, stored: str, digits: int
 def compare_sums(
     a: DataFrame, b: DataFrame, grain: Sequence[str], pairs: Mapping[str, tuple[str, str]], how: str = "inner"
 ) -> DataFrame:
-    """Sums of two tables at one grain and, per named pair, the ratio of the measure of ``a`` to that of ``b``."""
-    left = sum_by(a, grain, [p[0] for p in pairs.values()])
-    right = sum_by(b, grain, [p[1] for p in pairs.values()])
-    return left.join(right, list(grain), how).withColumns({n: ratio(x, y) for n, (x, y) in pairs.items()})
+    """Sums of two tables at one grain and, per named pair, the ratio of the measure of ``a`` to that of ``b``.
+
+    A measure of ``b`` with the name of one of ``a`` gets the suffix ``_b``.
+    """
+    left = sum_by(a, grain, dict.fromkeys(p[0] for p in pairs.values()))
+    names = {p[1]: p[1] if p[1] not in left.columns else f"{p[1]}_b" for p in pairs.values()}
+    right = sum_by(b, grain, names).withColumnsRenamed(names)
+    return left.join(right, list(grain), how).withColumns({n: ratio(x, names[y]) for n, (x, y) in pairs.items()})
 
 
 def ratio_of_ratios(df: DataFrame, grain: Sequence[str], totals: tuple[str, str], rates: tuple[str, str]) -> DataFrame:
     """Ratio of totals, ratio of daily rates, and the ratio of both."""
-    sums = sum_by(df, grain, [*totals, *rates])
+    sums = sum_by(df, grain, dict.fromkeys([*totals, *rates]))
     return sums.select(*grain, ratio(*totals).alias("total_ratio"), ratio(*rates).alias("rate_ratio")).withColumn(
         "ratio", ratio("total_ratio", "rate_ratio")
     )

@@ -231,8 +231,7 @@ def _(t: Views) -> DataFrame:
     ),
 )
 def _(t: Views) -> DataFrame:
-    dim = named(t).join(used(t).select("part_id", "region_desc").distinct(), "part_id")
-    return naming.staged_compliance(dim, codebook(t), exceptions(t), "part", ATTRIBUTES, "name", "stored_flag", ["region_desc"])
+    return naming.staged_compliance(scoped(t, ["region_desc"]), exceptions(t), "part", "name", "stored_flag", ["region_desc"])
 
 
 @query(
@@ -292,5 +291,4 @@ def _(t: Views) -> DataFrame:
 )
 def _(t: Views) -> DataFrame:
     markets = used(t).filter("region_desc = 'ASIA' AND platform = 'R'").select("part_id", "country_desc").distinct()
-    dim = naming.compliance_flag(named(t).join(markets, "part_id"), codebook(t), "part", ATTRIBUTES)
-    return naming.compliance_rollup(dim, ["country_desc"], "name", pct=True)
+    return naming.compliance_rollup(flagged(t).join(markets, "part_id"), ["country_desc"], "name", pct=True)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, normalise_token, ratio
-from ..sources.tables import union_all
 from .complete import null_counts
 
 FLAG = "calculated_flag"
@@ -117,17 +116,21 @@ def compliance_rollup(df: DataFrame, grain: Sequence[str], name: str, flag: str
 
 
 def staged_compliance(
-    dim: DataFrame, codebook, exceptions: DataFrame, entity: str, attributes: Sequence[str], name: str, stored: str,
-    grain: Sequence[str], mode: str = "strict",
+    flagged: DataFrame, exceptions: DataFrame, entity: str, name: str, stored: str, grain: Sequence[str], calculated: str = FLAG
 ) -> DataFrame:
-    """Rollups by the stored flag (stage 1), the calculated flag (2), and the calculated flag without exceptions (3)."""
-    flagged = compliance_flag(dim, codebook, entity, attributes, mode)
-    stages = [
-        compliance_rollup(flagged, grain, name, stored, pct=True),
-        compliance_rollup(flagged, grain, name, pct=True),
-        compliance_rollup(exclude_exceptions(flagged, exceptions, entity, name), grain, name, pct=True),
-    ]
-    return union_all(s.withColumn("stage", F.lit(i)) for i, s in enumerate(stages, 1))
+    """Rollups by the stored flag (stage 1), the calculated flag (2), and the calculated flag without exceptions (3).
+
+    The stages are laid out per row and rolled up together, so the dimension and its joins are run once.
+    """
+    own = exceptions.filter(F.col("entity") == entity).select(F.col("name").alias("__name")).distinct()
+    marked = flagged.join(own, F.col(name) == F.col("__name"), "left")
+    stages = F.array(
+        F.struct(F.lit(1).alias("stage"), F.col(stored).alias("__flag")),
+        F.struct(F.lit(2).alias("stage"), F.col(calculated).alias("__flag")),
+        F.struct(F.when(F.col("__name").isNull(), 3).alias("stage"), F.col(calculated).alias("__flag")),
+    )
+    rows = marked.select(*grain, name, F.inline(stages)).filter(F.col("stage").isNotNull())
+    return compliance_rollup(rows, ["stage", *grain], name, "__flag", pct=True)
 
 
 def exception_summary(

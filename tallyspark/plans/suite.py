@@ -53,29 +53,33 @@ class Suite:
         by_table: dict[str, list[Check]] = defaultdict(list)
         for c in self.checks:
             by_table[c.table].append(c)
-        out = []
+        parts = []
         for table, checks in by_table.items():
             rules = [c for c in checks if c.rule]
-            frames = [c for c in checks if c.frame]
             scan = tables[table].agg(
                 F.count(F.lit(1)).alias("base_rows"), *[F.count_if(c.rule()).alias(f"v{i}") for i, c in enumerate(rules)]
             )
-            counted = [_row(c, F.col(f"v{i}")) for i, c in enumerate(rules)]
-            pending = [_row(c, F.lit(None).cast("bigint")) for c in frames]
-            rows = scan.select("base_rows", F.inline(F.array(*counted, *pending)))
-            if frames:
-                own = union_all(
-                    c.frame(tables).agg(F.count(F.lit(1)).alias("own")).select(F.lit(c.check_id).alias("check_id"), "own")
-                    for c in frames
-                )
-                rows = rows.join(own, "check_id", "left").withColumn("violations", F.coalesce("violations", "own"))
-            out.append(rows.withColumn("table_name", F.lit(table)).drop("own"))
-        return union_all(out).select(
+            empty = F.array().cast(ROWS)
+            counted = F.array(*[_row(c, F.col(f"v{i}")) for i, c in enumerate(rules)]).cast(ROWS) if rules else empty
+            parts.append(scan.select(F.lit(table).alias("table_name"), "base_rows", counted.alias("rows")))
+            for c in checks:
+                if c.frame:
+                    own = c.frame(tables).agg(F.count(F.lit(1)).alias("n"))
+                    row = F.array(_row(c, F.col("n"))).cast(ROWS).alias("rows")
+                    parts.append(own.select(F.lit(table).alias("table_name"), F.lit(None).cast("bigint").alias("base_rows"), row))
+        # One row per part; a handful of rows meet here.
+        per_table = union_all(parts).groupBy("table_name").agg(
+            F.max("base_rows").alias("base_rows"), F.flatten(F.collect_list("rows")).alias("rows")
+        )
+        return per_table.select("table_name", "base_rows", F.inline("rows")).select(
             "check_id", "domain", "severity", "table_name", "violations", "base_rows",
             ratio("violations", "base_rows").alias("share"), (F.col("violations") == 0).alias("passed"),
         )
 
 
+ROWS = "array<struct<check_id: string, domain: string, severity: string, violations: bigint>>"
+
+
 def _row(check: Check, violations: Column) -> Column:
     return F.struct(
         F.lit(check.check_id).alias("check_id"), F.lit(check.domain).alias("domain"),

@@ -79,7 +79,8 @@ def test_rollup_and_percentages(dim, book, rows):
 
 def test_stages_and_exceptions(spark, dim, book, rows):
     exceptions = spark.createDataFrame([("campaign", "n5"), ("media", "n4"), ("campaign", "gone")], "entity string, name string")
-    staged = naming.staged_compliance(dim, book, exceptions, "campaign", ATTRIBUTES, "name", "stored", ["region"])
+    flagged = naming.compliance_flag(dim, book, "campaign", ATTRIBUTES)
+    staged = naming.staged_compliance(flagged, exceptions, "campaign", "name", "stored", ["region"])
     assert rows(staged, "stage", "region", "total_count", "following") == [
         (1, "AP", 2, 1), (1, "EU", 3, 2), (2, "AP", 2, 0), (2, "EU", 3, 1), (3, "AP", 1, 0), (3, "EU", 3, 1)
     ]

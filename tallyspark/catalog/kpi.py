@@ -37,8 +37,7 @@ DASHBOARD = ["ctr", "cpm_usd", "cpm_lc", "vcr_impressions_pct", "cpcv_usd", "cpc
 
 @query("m01_kpi_country", with_views("perf_country") + kpi_sql("country_id", SUMMARY, "perf_country"))
 def _(t: Views) -> DataFrame:
-    dims = [(t.order_dim, "plan_line_id", "inner"), (t.country_dim, "campaign_id", "inner")]
-    return kpi.kpi_rollup(t.delivery, ["country_id"], SUMMARY, dims=dims)
+    return kpi.kpi_rollup(t.perf, ["country_id"], SUMMARY, dims=[(t.country_dim, "campaign_id", "inner")])
 
 
 @query("m01_kpi_brand", with_views("delivery", "products") + kpi_sql("brand", SUMMARY, "delivery LEFT JOIN products USING (product_id)"))
@@ -56,7 +55,7 @@ QUARTILE_KPIS = ["vcr25", "vcr50", "vcr75", "vcr_views_pct", "vtr_views", "vtr_v
 
 @query("m01_kpi_campaign", with_views("perf") + kpi_sql("campaign_id", QUARTILE_KPIS, "perf"))
 def _(t: Views) -> DataFrame:
-    return kpi.kpi_rollup(t.delivery, ["campaign_id"], QUARTILE_KPIS, dims=[(t.order_dim, "plan_line_id", "inner")])
+    return kpi.kpi_rollup(t.perf, ["campaign_id"], QUARTILE_KPIS)
 
 
 def dedup_sql(grain: str, source: str, keys: str) -> str:
@@ -144,7 +143,7 @@ def _(t: Views) -> DataFrame:
         (t.countries, "country_id", "inner"),
         (t.products.select("product_id", "brand", "product_type"), "product_id", "inner"),
     ]
-    return kpi.kpi_rollup(t.perf, REGION.split(", "), ["ctr", "cpm_usd", "cpcv_usd"], dims=dims)
+    return kpi.kpi_rollup(kpi.join_dims(t.perf, dims), REGION.split(", "), ["ctr", "cpm_usd", "cpcv_usd"])
 
 
 PERFORMANCE = ["ctr", "cpm_usd", "vcr_views_pct", "vtr_views_pct", "cpcv_usd"]
@@ -160,7 +159,7 @@ def _(t: Views) -> DataFrame:
         (t.campaigns.select("campaign_id", "campaign_desc"), "campaign_id", "inner"),
         (t.channels.select("channel_id", "channel_country"), "channel_id", "inner"),
     ]
-    return kpi.kpi_rollup(t.perf, ["campaign_desc", "channel_country", "tier", "status"], PERFORMANCE, dims=dims)
+    return kpi.kpi_rollup(kpi.join_dims(t.perf, dims), ["campaign_desc", "channel_country", "tier", "status"], PERFORMANCE)
 
 
 @query(
@@ -424,8 +423,8 @@ def _(t: Views) -> DataFrame:
     f"{with_views('perf', 'campaigns')} SELECT campaign_desc, segment, {counts('impressions')} FROM perf JOIN campaigns USING (campaign_id) GROUP BY 1, 2",
 )
 def _(t: Views) -> DataFrame:
-    dims = [(t.order_dim, "plan_line_id", "inner"), (t.campaigns.select("campaign_id", "campaign_desc", "segment"), "campaign_id", "inner")]
-    return kpi.sum_through(t.delivery, dims, ["campaign_desc", "segment"], ["impressions"])
+    dims = [(t.campaigns.select("campaign_id", "campaign_desc", "segment"), "campaign_id", "inner")]
+    return kpi.sum_through(t.perf, dims, ["campaign_desc", "segment"], ["impressions"])
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import money
 from ..operators import reconcile as rec
-from ..operators.kpi import sum_by, sum_through
+from ..operators.kpi import sum_by
 from ..operators.scope import filter_years
 from ..plans.bindings import Views, with_views
 from ..sources import extracts
@@ -135,8 +135,7 @@ def _(t: Views) -> DataFrame:
 )
 def _(t: Views) -> DataFrame:
     reach = t.reach.groupBy("campaign_id", "platform").agg(F.sum("value").alias("reach"))
-    seen = sum_through(t.delivery, [(t.order_dim, "plan_line_id", "inner")], ["campaign_id"], ["impressions"])
-    both = reach.join(seen, "campaign_id")
+    both = reach.join(sum_by(t.perf, ["campaign_id"], ["impressions"]), "campaign_id")
     stored = both.withColumn("frequency", F.round(F.try_divide(F.col("impressions").cast("double"), F.col("reach").cast("double")), 1))
     return rec.recompute_ratio(stored, "impressions", "reach", "frequency")
 
@@ -289,9 +288,9 @@ def _(t: Views) -> DataFrame:
         FROM perf_country LEFT JOIN products USING (product_id) WHERE year(date) IN (1997, 1998) GROUP BY ALL""",
 )
 def _(t: Views) -> DataFrame:
-    df = with_year(filter_years(t.delivery, "date", [1997, 1998]), "date")
-    dims = [(t.brand_dim, "product_id", "left"), (t.order_dim, "plan_line_id", "inner"), (t.country_dim, "campaign_id", "inner")]
-    return sum_through(df, dims, ["country_id", "year", "channel_id", "brand"], ["spend_usd", "spend_lc", "clicks", "impressions"])
+    df = with_year(filter_years(t.perf, "date", [1997, 1998]), "date")
+    df = df.join(t.brand_dim, "product_id", "left").join(t.country_dim, "campaign_id")
+    return sum_by(df, ["country_id", "year", "channel_id", "brand"], ["spend_usd", "spend_lc", "clicks", "impressions"])
 
 
 @query(

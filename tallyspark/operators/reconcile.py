@@ -231,22 +231,26 @@ def fiscal_rollup(fact: DataFrame, calendar: DataFrame, date: str, grain: Sequen
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns per group, in long form; null where a column is constant."""
+    """Pearson correlation of every pair of columns per group, in long form; null where a column is constant.
+
+    Only rows with both values count for a pair. The pairs of a row are laid out and grouped, so the aggregate keeps
+    three moments whatever the number of columns; one per pair would be too wide for generated code.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    aggs = []
+    cells = []
     for i, (a, b) in enumerate(pairs):
-        if a == b:
-            aggs.append(F.when(F.stddev_pop(F.col(a).cast("double")) > 0, 1.0).alias(f"__c{i}"))
-            continue
-        # Only rows with both values count, for the covariance and for both deviations.
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"__c{i}"))
-    wide = df.groupBy(*by).agg(*aggs)
-    cells = F.array(
-        *[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"__c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]
+        x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+        cells.append(F.struct(F.lit(i).alias("pair"), x.alias("x"), y.alias("y")))
+    moments = (
+        df.select(*by, F.inline(F.array(*cells)))
+        .groupBy(*by, "pair")
+        .agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     )
-    return wide.select(*by, F.inline(cells))
+    a, b = (F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair") + 1) for side in (0, 1))
+    with_itself = F.when(F.col("sx") > 0, 1.0)
+    value = F.when(a == b, with_itself).otherwise(F.try_divide("c", F.col("sx") * F.col("sy")))
+    return moments.select(*by, a.alias("column_a"), b.alias("column_b"), value.alias("correlation"))
 
 
 def expected_rows_vs_days(df: DataFrame, grain: Sequence[str], date: str, start: Column, end: Column, offset: int = 0) -> DataFrame:

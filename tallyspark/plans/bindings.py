@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY
-from ..operators.kpi import sum_through
+from ..operators.kpi import sum_by
 from ..operators.reconcile import fiscal_calendar
 
 # The given tables.
@@ -90,11 +90,6 @@ class Views:
     def channels(self) -> DataFrame:
         return self.supplier.selectExpr("s_suppkey AS channel_id", "s_name AS channel_desc", "s_nationkey AS channel_country")
 
-    @cached_property
-    def order_dim(self) -> DataFrame:
-        """plan_line_id -> campaign_id."""
-        return self.orders.selectExpr("o_orderkey AS plan_line_id", "o_custkey AS campaign_id")
-
     @cached_property
     def country_dim(self) -> DataFrame:
         """campaign_id -> country_id."""
@@ -108,9 +103,8 @@ class Views:
     @cached_property
     def spend_year(self) -> DataFrame:
         """Spend per country, campaign and year."""
-        yearly = self.delivery.selectExpr("plan_line_id", "year(date) AS year", "spend_usd", "spend_lc")
-        dims = [(self.order_dim, "plan_line_id", "inner"), (self.country_dim, "campaign_id", "inner")]
-        return sum_through(yearly, dims, ["country_id", "campaign_id", "year"], ["spend_usd", "spend_lc"])
+        yearly = self.perf.selectExpr("campaign_id", "year(date) AS year", "spend_usd", "spend_lc")
+        return sum_by(yearly, ["campaign_id", "year"], ["spend_usd", "spend_lc"]).join(self.country_dim, "campaign_id")
 
     @cached_property
     def perf_country(self) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..sources.scratch import measured
+from ..sources.tables import union_all
 
 
 def duplicate_key_counts(df: DataFrame, key: Sequence[str], name: str = "key_count") -> DataFrame:
@@ -52,20 +54,26 @@ def grain_duplicates_sql(view: str, grain: Sequence[str], name: str = "n_rows")
 
 
 def duplicate_row_count(tables: Mapping[str, DataFrame], digest: Sequence[str] = ()) -> DataFrame:
-    """Rows minus distinct rows per table, in one pass over each.
+    """Rows and rows minus distinct rows per table, exact.
 
-    Columns named in ``digest`` (long texts) are compared by SHA-256, so that the shuffle moves 32 bytes of each.
+    Whole rows are not shuffled. A first pass counts row hashes (8 bytes each) and keeps the repeated ones; a second
+    one compares only the rows with a repeated hash, column by column, so hash collisions do not count. Columns named
+    in ``digest`` (long texts) are compared by SHA-256.
     """
-    out = None
+    hashes = union_all(df.select(F.lit(n).alias("__table"), F.xxhash64(*df.columns).alias("__hash")) for n, df in tables.items())
+    per_hash = hashes.groupBy("__table", "__hash").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = measured(per_hash.filter(F.col("__n") > 1).drop("__n"))
+    parts = []
     for table, df in tables.items():
+        hashed = df.withColumn("__hash", F.xxhash64(*df.columns))
+        own = repeated.filter(F.col("__table") == table)
         keys = [F.unhex(F.sha2(c, 256)).alias(c) if c in digest else F.col(c) for c in df.columns]
-        groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        row = groups.agg(
-            F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
-            F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"),
-        ).select(F.lit(table).alias("table_name"), "n_rows", "n_duplicates")
-        out = row if out is None else out.unionByName(row)
-    return out
+        groups = hashed.join(own, "__hash", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        name, zero = F.lit(table).alias("table_name"), F.lit(0).cast("bigint")
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(name, "n_rows", zero.alias("n_duplicates")))
+        copies = groups.agg(F.sum(F.col("__n") - 1).alias("n_duplicates"))
+        parts.append(copies.select(name, zero.alias("n_rows"), F.coalesce("n_duplicates", zero).alias("n_duplicates")))
+    return union_all(parts).groupBy("table_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_duplicates").alias("n_duplicates"))
 
 
 def recomposed(parts: Sequence[str | Column], sep: str = "_") -> Column:

@@ -11,7 +11,7 @@ ATTRIBUTES = ["market", "media"]
 
 @pytest.fixture(scope="module")
 def book(spark):
-    codes = [("campaign", "market", "US"), ("campaign", "market", "Ã–st"), ("campaign", "media", "on-line"), ("other", "media", "tv")]
+    codes = [("campaign", "market", "US"), ("campaign", "market", "Öst"), ("campaign", "media", "on-line"), ("other", "media", "tv")]
     return spark.createDataFrame(codes, "entity string, attribute string, code string")
 
 
@@ -35,7 +35,7 @@ def test_flags_by_mode(dim, book, rows):
 
 
 def test_lists_and_tables_agree(dim, book, rows):
-    lists = {"market": ["US", "Ã–st"], "media": ["on-line"]}
+    lists = {"market": ["US", "Öst"], "media": ["on-line"]}
     for mode in ("strict", "lower", "alnum_lower"):
         a = naming.compliance_flag(dim, book, "campaign", ATTRIBUTES, mode)
         b = naming.compliance_flag(dim, lists, "campaign", ATTRIBUTES, mode)

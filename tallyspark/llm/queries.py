@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, tokens
+from . import packing, sharding, simhash, tokens
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder))
 
 
+@query("op2_simhash")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicate_table(documents(spark, folder))
+
+
 @query("op5_token_output")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

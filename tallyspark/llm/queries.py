@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, simhash, tokens
+from . import packing, sharding, simhash, substrings, tokens
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,27 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_sharding")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder))
+
+
+@query(
+    "op7_substring_dedup",
+    r"""
+    WITH words AS (
+        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM documents
+    ), windows AS (
+        SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words)
+    ), later AS (
+        SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM windows) WHERE r > 1
+    ), gone AS (
+        SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM later)
+    ), kept AS (
+        SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n
+        FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(t, '')) AS kept_sha256
+    FROM words LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeats_table(documents(spark, folder))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, simhash, substrings, tokens
-from .common import documents
+from . import packing, quality, sharding, simhash, substrings, tokens
+from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_table(documents(spark, folder))
 
 
+@query("op3_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_table(documents(spark, folder), table(spark, folder, "labels"))
+
+
 @query("op5_token_output")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

@@ -162,8 +162,6 @@ class Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: Iterable[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
         split, stems = [], {}
         for word in words:
             text = word.decode("utf-8", "replace").lower()
@@ -201,6 +199,8 @@ class Words(dict):
         yield from self._flush(held)
 
     def _flush(self, held: list[list[bytes]]) -> Iterator[bytes]:
+        if len(self) > REMEMBERED:
+            self.clear()
         if missing := set().union(*held).difference(self):
             self.learn(missing)
         for words in held:

@@ -49,7 +49,10 @@ TEXTS = [
 ]
 
 
-def test_ids_are_those_of_the_library():
+@pytest.mark.parametrize("remembered", [0, 3, 1000])
+def test_ids_are_those_of_the_library(monkeypatch, remembered):
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    monkeypatch.setattr(tokens, "SLICE", 50)
     t = Tokenizer.from_file(PATH)
     batch = [(x or "").encode() for x in TEXTS]
     got = [np.frombuffer(b, "<u4").tolist() for b in tokens.Words(PATH).texts(batch)]

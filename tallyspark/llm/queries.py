@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, simhash, substrings, tokens
+from . import langid, packing, quality, sharding, simhash, substrings, tokens, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeats_table(documents(spark, folder))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_table(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_table(documents(spark, folder))

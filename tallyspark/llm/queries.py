@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, sharding, simhash, substrings, tokens, toxicity
+from . import decontamination, langid, packing, quality, sharding, simhash, substrings, tokens, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_table(documents(spark, folder))
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, folder), table(spark, folder, "benchmark"))

@@ -154,6 +154,7 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -162,49 +163,63 @@ class Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: Iterable[bytes]) -> None:
-        split, stems = [], {}
+        """Ids of new words, by way of the ids of their letters and of the marks behind them."""
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        split, new = [], {}
         for word in words:
             text = word.decode("utf-8", "replace").lower()
             stem = text.rstrip(".,;:!?%$*&#|")
             if stem.isalpha():
-                split.append((word, stem, text[len(stem) :]))
-                stems[stem] = b""
+                tail = text[len(stem) :]
+                split.append((word, stem, tail))
+                if stem not in self.parts:
+                    new[stem] = None
+                if tail not in self.parts:
+                    self.parts[tail] = self.ids(tail).tobytes() if tail else b""
             else:
                 self[word] = self.ids(word.decode("utf-8", "replace")).tobytes()
-        names = list(stems)
-        for k in range(0, len(names), 500):
-            part = names[k : k + 500]
+        stems = list(new)
+        for k in range(0, len(stems), 500):
+            part = stems[k : k + 500]
             ids = self.ids(" ".join(part))
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):  # a stem that the library splits again
-                stems.update((s, self.ids(s).tobytes()) for s in part)
+                self.parts.update((s, self.ids(s).tobytes()) for s in part)
                 continue
             data, at = ids.tobytes(), 0
             for s, end in zip(part, (ends * 4).tolist()):
-                stems[s] = data[at:end]
+                self.parts[s] = data[at:end]
                 at = end
-        tails = {tail: self.ids(tail).tobytes() if tail else b"" for tail in {x[2] for x in split}}
-        self.update((word, stems[stem] + tails[tail]) for word, stem, tail in split)
+        parts = self.parts
+        self.update((word, parts[stem] + parts[tail]) for word, stem, tail in split)
 
     def texts(self, batch: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
-        held: list[list[bytes]] = []
+        held: list[bytes] = []
+        ends: list[int] = []
         size = 0
         for text in batch:
-            held.append(text.split())
+            # The library lowers letters as well, but looks for special tokens before.
+            held += (text if b"<|" in text else text.lower()).split()
+            ends.append(len(held))
             size += len(text)
             if size > SLICE:
-                yield from self._flush(held)
-                held, size = [], 0
-        yield from self._flush(held)
+                yield from self._flush(held, ends)
+                held, ends, size = [], [], 0
+        yield from self._flush(held, ends)
 
-    def _flush(self, held: list[list[bytes]]) -> Iterator[bytes]:
+    def _flush(self, held: list[bytes], ends: list[int]) -> Iterator[bytes]:
         if len(self) > REMEMBERED:
             self.clear()
-        if missing := set().union(*held).difference(self):
-            self.learn(missing)
-        for words in held:
-            yield b"".join([self[w] for w in words])
+        found = list(map(self.get, held))
+        if None in found:
+            self.learn({w for w, ids in zip(held, found) if ids is None})
+            found = list(map(self.get, held))
+        at = 0
+        for end in ends:
+            yield b"".join(found[at:end])
+            at = end
 
 
 _WORDS: dict[str, Words] = {}

@@ -8,8 +8,9 @@ repeated window.
 1. Each text is hashed at its cover positions only. An anchor that repeats within a batch is known to repeat; one of
    its kind and every other anchor is sent by its hash to find repeats across batches. What a hot passage sends is
    bounded by the number of batches.
-2. Repeated anchors are extended to the windows that hold them. Windows are compared by 128 bits of hash, and the
-   earliest place of each is found by a grouped minimum, again after each batch has kept its own earliest.
+2. Repeated anchors are extended to the windows that hold them. Windows are compared by 96 bits of hash, and the
+   earliest place of each is found by a grouped minimum, again after each batch has kept its own earliest. Neighbouring
+   windows mostly share their minimizer, the least hash of 8 words in them; they travel together under it.
 3. Words covered by a window whose earliest place is elsewhere are removed.
 """
 
@@ -154,8 +155,10 @@ def _anchors(keyed: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(marked: DataFrame, width: int) -> DataFrame:
-    """(h, check, doc, tie, place, end): windows to be compared (end is null), and stretches of windows that are no slice's earliest."""
+    """(m, doc, tie, place, end, hashes, checks): runs of windows to be compared, which start at ``place`` and share the
+    minimizer m (end is 0), and stretches of words that are covered by windows that are no slice's earliest (up to end)."""
     size = width - PERIOD + 1
+    spread = width - size
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         doc, tie, anchors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
@@ -170,43 +173,65 @@ def _windows(marked: DataFrame, width: int) -> DataFrame:
             for i, k in enumerate(order):
                 starts = anchors[int(begin + k)].values.to_numpy()
                 # Windows that hold the anchor; several anchors may open or close at one word.
-                np.add.at(here, w.first[i] + np.maximum(starts - (width - size), 0), 1)
+                np.add.at(here, w.first[i] + np.maximum(starts - spread, 0), 1)
                 np.add.at(here, w.first[i] + starts + 1, -1)
             at = np.flatnonzero((np.cumsum(here)[:-1] > 0) & (w.place + width <= w.count[w.text]))
+            if not len(at):
+                continue
             h, check = w.runs(width, 0, at), w.runs(width, 1, at) >> np.uint64(64 - CHECK_BITS)
             first, _ = _first_of_kind(check, h)
             row = begin + order[w.text[at]]
+            short = np.zeros(len(w.text), np.uint64)
+            inner = np.unique((at[:, None] + np.arange(spread + 1)).ravel())
+            short[inner] = w.runs(size, 0, inner)
+            least = short[at]
+            for i in range(1, spread + 1):
+                least = np.minimum(least, short[at + i])
+            least >>= np.uint64(64 - ANCHOR_BITS)
             ask, rest = np.flatnonzero(first), np.flatnonzero(~first)
-            cut = np.ones(len(rest), bool)
-            cut[1:] = (np.diff(at[rest]) != 1) | (np.diff(row[rest]) != 0)
-            heads = rest[cut]
-            lengths = np.diff(np.append(np.flatnonzero(cut), len(rest)))
-            rows = np.concatenate([row[ask], row[heads]])
-            places = w.place[at[np.concatenate([ask, heads])]]
-            ends = np.concatenate([np.zeros(len(ask), np.int64), w.place[at[heads]] + lengths - 1 + width])
+
+            def heads(of: np.ndarray, *same: np.ndarray) -> np.ndarray:
+                cut = np.ones(len(of), bool)
+                cut[1:] = np.diff(at[of]) != 1
+                for x in (row, *same):
+                    cut[1:] |= x[of][1:] != x[of][:-1]
+                return np.flatnonzero(cut)
+
+            runs, gaps = heads(ask, least), heads(rest)
+            lengths = np.diff(np.append(gaps, len(rest)))
+            lead = np.concatenate([ask[runs], rest[gaps]])
+            # Stretches need no answer: they travel under a key of their own, as a run of one window without hash.
+            alone = mixed(doc[row[rest[gaps]]], 41) >> np.uint64(64 - ANCHOR_BITS)
+            offsets = np.concatenate([runs, len(ask) + np.arange(len(gaps) + 1)]).astype(np.int32)
+            filler = np.zeros(len(gaps), np.int64)
             yield {
-                "h": np.concatenate([h[ask], mixed(doc[row[heads]], 41)]).view(np.int64),
-                "check": np.concatenate([check[ask].astype(np.int64), np.full(len(heads), -1)]),
-                "doc": doc[rows],
-                "tie": tie[rows],
-                "place": places,
-                "end": ends,
+                "m": np.concatenate([least[ask[runs]], alone]).astype(np.int64),
+                "doc": doc[row[lead]],
+                "tie": tie[row[lead]],
+                "place": w.place[at[lead]].astype(np.int32),
+                "end": np.concatenate([np.zeros(len(runs), np.int64), w.place[at[rest[gaps]]] + lengths - 1 + width]).astype(np.int32),
+                "hashes": pa.ListArray.from_arrays(offsets, np.concatenate([h[ask].view(np.int64), filler])),
+                "checks": pa.ListArray.from_arrays(offsets, np.concatenate([check[ask].astype(np.uint32).view(np.int32), filler.astype(np.int32)])),
             }
 
-    return by_batch(marked, work, "h long, check long, doc long, tie long, place long, end long")
+    schema = "m long, doc long, tie long, place int, end int, hashes array<bigint>, checks array<int>"
+    return by_batch(marked, work, schema)
 
 
 def _stretches(keyed: DataFrame, width: int) -> DataFrame:
-    """(doc, tie, cuts): for each text with repeats, the stretches (begin, end) of words to be removed."""
+    """(doc, tie, cuts): for each text with repeats, the stretches of words to be removed (begin and end in one number)."""
     anchors = _anchors(keyed, width)
     kinds = F.count("*").over(Window.partitionBy("h"))
     found = anchors.withColumn("n", kinds).filter("n > 1 or place % 2 = 1")
-    places = found.groupBy("doc", "tie").agg(F.collect_set(F.expr("place div 2")).alias("anchors"))
-    windows = _windows(keyed.join(places, ["doc", "tie"]), width)
-    earliest = F.min(F.struct("doc", "tie", "place")).over(Window.partitionBy("h", "check"))
+    places = found.groupBy("doc", "tie").agg(F.collect_set(F.expr("cast(place div 2 as int)")).alias("anchors"))
+    runs = _windows(keyed.join(places, ["doc", "tie"]), width).repartition("m")
+    windows = runs.select("m", "doc", "tie", "place", "end", "checks", F.posexplode_outer("hashes").alias("nth", "h"))
+    windows = windows.select("m", "doc", "tie", (F.col("place") + F.col("nth")).alias("place"), "end", "h", F.get("checks", F.col("nth")).alias("check"))
+    # Equal windows have equal minimizers, so they are in one partition already.
+    earliest = F.min(F.struct("doc", "tie", "place")).over(Window.partitionBy("m", "h", "check"))
     later = windows.withColumn("earliest", earliest).filter("end > 0 or earliest != struct(doc, tie, place)")
-    end = F.when(F.col("end") > 0, F.col("end")).otherwise(F.col("place") + width)
-    return later.groupBy("doc", "tie").agg(F.collect_list(F.struct(F.col("place").alias("begin"), end.alias("end"))).alias("cuts"))
+    end = F.when(F.col("end") > 0, F.col("end")).otherwise(F.col("place") + width).cast("long")
+    return later.groupBy("doc", "tie").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(end)).alias("cuts"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -221,7 +246,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         raise ValueError(f"windows of fewer than {PERIOD} words need another cover")
     keyed = _keyed(docs)
     rows = keyed.join(_stretches(keyed, width), ["doc", "tie"], "left")
-    sketch = "array<struct<begin: bigint, end: bigint>>"
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         texts, counts, gone = [], [], []
@@ -230,16 +254,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             words = (value.as_py() or b"").split()
             counts.append(len(words))
             if cuts.is_valid:
-                pairs = cuts.values.flatten()
+                pairs = cuts.values.to_numpy()
                 step = np.zeros(len(words) + 1, np.int64)
-                np.add.at(step, pairs[0].to_numpy(), 1)
-                np.add.at(step, pairs[1].to_numpy(), -1)
+                np.add.at(step, pairs >> 32, 1)
+                np.add.at(step, pairs & 0xFFFFFFFF, -1)
                 words = [words[i] for i in np.flatnonzero(np.cumsum(step)[:-1] == 0)]
             gone.append(counts[-1] - len(words))
             texts.append(b" ".join(words).decode())
         yield {"doc": batch.column(0), "text": texts, "n_words": counts, "n_removed": gone}
 
-    out = by_batch(rows.select("doc", "text", F.col("cuts").cast(sketch)), work, "doc long, text string, n_words long, n_removed long")
+    out = by_batch(rows.select("doc", "text", "cuts"), work, "doc long, text string, n_words long, n_removed long")
     return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "text", "n_words", "n_removed")
 
 

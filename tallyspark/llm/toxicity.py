@@ -8,6 +8,7 @@ labels under the noisy-or trains the sentence scores, which then locate the sent
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 from .common import by_batch, fold, held_out, staged
 
 #: Labelled rows learned from, per class: those with the smallest hash of their id, up to so many rows and bytes.
-SAMPLE, SAMPLE_BYTES = {0: 4000, 1: 2000}, 24_000_000
+SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1500}, 16_000_000
 #: Lengths of the beginnings of words that are features beside the word.
 STEMS = (4, 5, 6, 7, 8)
 #: Features enter if they are in so many documents of the sample and go with its labels this closely (likelihood-ratio
@@ -93,46 +94,43 @@ class Model:
         return float(-np.expm1(np.log1p(-np.minimum(self.sentence_scores(text), 1 - 1e-12)).sum()))
 
 
-def associated(pairs: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
-    """Which of ``n`` features go with the labels, from the distinct pairs feature x documents + document."""
-    feature, positive = pairs // len(y), y[pairs % len(y)] == 1
-    a, b = np.bincount(feature[positive], minlength=n), np.bincount(feature[~positive], minlength=n)
-    p, q = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+def associated(texts: list[str], y: np.ndarray) -> dict[str, int]:
+    """Numbers for the features that go with the labels of the texts."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, label in zip(texts, y.tolist()):
+        seen[label].update({f for word in set(text.split()) for f in features(word)})
+    names = [f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= LEAST]
+    names.sort()
+    b, a = (np.array([c[f] for f in names], float) for c in seen)
+    q, p = (max(1, int((y == k).sum())) for k in (0, 1))
 
-    def part(seen: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(of, 1e-9))
+    def part(found: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return found * np.log(np.maximum(found, 1e-9) / np.maximum(of, 1e-9))
 
     share = (a + b) / (p + q)
     g = 2 * (part(a, p * share) + part(b, q * share) + part(p - a, p * (1 - share)) + part(q - b, q * (1 - share)))
-    return (a + b >= LEAST) & (g >= ASSOCIATED)
+    return {names[i]: k for k, i in enumerate(np.flatnonzero(g >= ASSOCIATED))}
 
 
 def fit(texts: list[str], labels: list[int], weights: np.ndarray) -> Model:
-    """Maximum likelihood of the document labels, with decayed weights of the features that go with the labels; the same rows give the same model."""
-    number: dict[str, int] = {}
-    of_word: dict[str, np.ndarray] = {}
-    feature, sentence, owner = [], [], []
+    """Maximum likelihood of the document labels, with decayed weights of the features that go with the labels; the same
+    rows give the same model."""
+    y, w = np.asarray(labels, int), np.asarray(weights, float)
+    number = associated(texts, y)
+    feature: list[int] = []
+    sentence: list[int] = []
+    owner: list[int] = []
     for d, text in enumerate(texts):
         for s in sentences(text):
             for word in s.split():
-                if word not in of_word:
-                    of_word[word] = np.array([number.setdefault(f, len(number)) for f in features(word)], np.int32)
-                feature.append(of_word[word])
-                sentence.append(len(owner))
+                found = [number[f] for f in features(word) if f in number]
+                feature += found
+                sentence += [len(owner)] * len(found)
             owner.append(d)
     if not owner:
         return Model({}, -30.0)
-    size = np.array([len(f) for f in feature])
-    idx = np.concatenate(feature)
-    sent = np.repeat(np.array(sentence, np.int32), size)
-    del feature, sentence
-    own = np.array(owner, np.int64)
-    y, w = np.asarray(labels), np.asarray(weights, float)
-    keep = associated(np.unique(idx.astype(np.int64) * len(texts) + own[sent]), len(number), y)
-    renumber = np.cumsum(keep) - 1
-    used = keep[idx]
-    idx, sent = renumber[idx[used]].astype(np.int32), sent[used]
-    n = int(keep.sum())
+    idx, sent, own = np.array(feature, int), np.array(sentence, int), np.array(owner, int)
+    n = len(number)
     theta, bias = np.zeros(n), -4.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
@@ -147,8 +145,7 @@ def fit(texts: list[str], labels: list[int], weights: np.ndarray) -> Model:
         rate = RATE * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)
         theta -= rate * m / (np.sqrt(v) + 1e-9)
         bias -= rate * mb / (vb**0.5 + 1e-9)
-    names = [f for f, i in number.items() if keep[i]]
-    return Model({f: float(x) for f, x in zip(names, theta) if abs(x) > 1e-3}, bias)
+    return Model({f: float(x) for f, x in zip(number, theta) if abs(x) > 1e-3}, bias)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:

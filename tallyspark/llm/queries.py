@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, packing, quality, sharding, simhash, substrings, tokens, toxicity
+from . import decontamination, langid, lines, packing, quality, sharding, simhash, substrings, tokens, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_table(documents(spark, folder), table(spark, folder, "labels"))
 
 
+@query("op4_line_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_table(documents(spark, folder))
+
+
 @query("op5_token_output")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,9 +51,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: two 64-bit hashes each, the text they are in and their place there."""
+    """The words of some texts: 64-bit hashes (two by default), the text they are in and their place there."""
 
-    def __init__(self, column: list[bytes]):
+    def __init__(self, column: list[bytes], hashes: int = 2):
         self.n = len(column)
         data = np.frombuffer(b" ".join(column) + b" ", np.uint8)
         edge = np.diff(GAPS[data].astype(np.int8), prepend=np.int8(1))
@@ -63,12 +63,12 @@ class Words:
         self.count = np.bincount(self.text, minlength=self.n)
         self.first = np.cumsum(self.count) - self.count
         self.place = np.arange(len(self.text)) - self.first[self.text]
-        self.hash = np.empty((2, len(begin)), np.uint64)
+        self.hash = np.empty((hashes, len(begin)), np.uint64)
         i = 0
         while i < len(begin):
             j = max(i + 1, int(np.searchsorted(begin, begin[i] + SLICE)))
             piece = data[begin[i] : end[j - 1]]
-            for k in (0, 1):
+            for k in range(hashes):
                 self.hash[k, i:j] = self._hashed(piece, begin[i:j] - begin[i], end[i:j] - begin[i], k)
             i = j
 
@@ -91,7 +91,7 @@ class Words:
         return mixed(out, 30 + k)
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Texts in runs of about SLICE bytes, with the row the run begins at."""
     column = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())
     held: list[bytes] = []
@@ -120,23 +120,23 @@ def _first_of_kind(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, repeats
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc, tie, text): the id, and a hash of the text where an id is null or repeats; a row's order is (doc, tie)."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text", *more)
     # Usually empty; the planner broadcasts it only if its files are small.
     again = staged(rows.groupBy("doc").count().filter(f"count > 1 or doc = {NO_ID}").select("doc", F.lit(True).alias("again")), "again")
-    tie = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0))
-    return rows.join(again, "doc", "left").select("doc", tie.alias("tie"), "text")
+    tie = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("tie")
+    return rows.join(again, "doc", "left").select("doc", tie, *rows.columns[1:])
 
 
-def _anchors(keyed: DataFrame, width: int) -> DataFrame:
+def _anchors(rows: DataFrame, width: int) -> DataFrame:
     """(h, doc, tie, place): the anchors, ``place`` doubled and odd if the anchor is known to repeat."""
     size = width - PERIOD + 1
     cover = np.isin(np.arange(PERIOD), COVER)
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for begin, held in _slices(batch.column(2)):
+        for begin, held in slices(batch.column(2)):
             w = Words(held)
             at = np.flatnonzero(cover[w.place % PERIOD] & (w.place + size <= w.count[w.text]) & (w.count[w.text] >= width))
             h = w.runs(size, 0, at) >> np.uint64(64 - ANCHOR_BITS)
@@ -151,7 +151,7 @@ def _anchors(keyed: DataFrame, width: int) -> DataFrame:
                 "place": w.place[at] * 2 + repeats,
             }
 
-    return by_batch(keyed, work, "h long, doc long, tie long, place long")
+    return by_batch(rows, work, "h long, doc long, tie long, place long")
 
 
 def _windows(marked: DataFrame, width: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _windows(marked: DataFrame, width: int) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         doc, tie, anchors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-        for begin, held in _slices(batch.column(2)):
+        for begin, held in slices(batch.column(2)):
             ties, docs = tie[begin : begin + len(held)], doc[begin : begin + len(held)]
             order = np.lexsort((ties, docs))
             once = np.ones(len(order), bool)  # equal rows count as one document
@@ -218,13 +218,13 @@ def _windows(marked: DataFrame, width: int) -> DataFrame:
     return by_batch(marked, work, schema)
 
 
-def _stretches(keyed: DataFrame, width: int) -> DataFrame:
+def _stretches(rows: DataFrame, width: int) -> DataFrame:
     """(doc, tie, cuts): for each text with repeats, the stretches of words to be removed (begin and end in one number)."""
-    anchors = _anchors(keyed, width)
+    anchors = _anchors(rows, width)
     kinds = F.count("*").over(Window.partitionBy("h"))
     found = anchors.withColumn("n", kinds).filter("n > 1 or place % 2 = 1")
     places = found.groupBy("doc", "tie").agg(F.collect_set(F.expr("cast(place div 2 as int)")).alias("anchors"))
-    runs = _windows(keyed.join(places, ["doc", "tie"]), width).repartition("m")
+    runs = _windows(rows.join(places, ["doc", "tie"]), width).repartition("m")
     windows = runs.select("m", "doc", "tie", "place", "end", "checks", F.posexplode_outer("hashes").alias("nth", "h"))
     windows = windows.select("m", "doc", "tie", (F.col("place") + F.col("nth")).alias("place"), "end", "h", F.get("checks", F.col("nth")).alias("check"))
     # Equal windows have equal minimizers, so they are in one partition already.
@@ -244,8 +244,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     if width < PERIOD:
         raise ValueError(f"windows of fewer than {PERIOD} words need another cover")
-    keyed = _keyed(docs)
-    rows = keyed.join(_stretches(keyed, width), ["doc", "tie"], "left")
+    marked = keyed(docs)
+    rows = marked.join(_stretches(marked, width), ["doc", "tie"], "left")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         texts, counts, gone = [], [], []

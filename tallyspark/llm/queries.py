@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, langid, lines, packing, quality, sharding, simhash, substrings, tokens, toxicity
@@ -93,3 +94,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

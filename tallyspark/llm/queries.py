@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, langid, lines, packing, quality, sharding, simhash, substrings, tokens, toxicity
 from .common import documents, table
@@ -39,9 +40,43 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_table(documents(spark, folder), table(spark, folder, "labels"))
 
 
-@query("op4_line_dedup")
+@query(
+    "op4_line_dedup",
+    r"""
+    WITH cut AS (
+        SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+    ), line AS (
+        SELECT doc_id, unnest(ls) AS l, CAST(unnest(range(len(ls))) AS INTEGER) AS i FROM cut
+    ), judged AS (
+        SELECT doc_id, i, list_sort(list_distinct(list_filter(
+            string_split_regex(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != ''))) AS w
+        FROM line
+    ), sets AS (
+        SELECT w, len(w) AS n, min((doc_id, i)) AS place, row_number() OVER (ORDER BY min((doc_id, i))) AS id
+        FROM judged WHERE len(w) >= 5 GROUP BY w
+    ), word AS (
+        SELECT id, n, unnest(w) AS x FROM sets
+    ), rare AS (
+        SELECT x, count(*) AS c FROM word GROUP BY x
+    ), prefix AS (
+        SELECT id, x FROM (SELECT id, n, x, row_number() OVER (PARTITION BY id ORDER BY c, x) AS r FROM word JOIN rare USING (x))
+        WHERE r <= n - (4 * n + 4) // 5 + 1
+    ), pairs AS (
+        SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.x = b.x AND a.id < b.id
+    ), alike AS (
+        SELECT DISTINCT b AS id FROM pairs JOIN sets p ON p.id = a JOIN sets q ON q.id = b
+        WHERE len(list_intersect(p.w, q.w)) * 5 >= (p.n + q.n - len(list_intersect(p.w, q.w))) * 4
+    ), gone AS (
+        SELECT doc_id, count(*) AS c, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS removed
+        FROM judged JOIN sets USING (w) WHERE (doc_id, i) != place OR id IN (SELECT id FROM alike) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(c, 0) AS n_removed, coalesce(removed, '') AS removed
+    FROM cut LEFT JOIN gone USING (doc_id)
+    """,
+)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.line_table(documents(spark, folder))
+    found = lines.line_table(documents(spark, folder))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 @query("op5_token_output")

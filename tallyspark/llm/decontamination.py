@@ -86,20 +86,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     items = staged(items.select("item", F.size("words").alias("n"), "shingles", "fp"), "items").filter(F.size("shingles") > 0)
     # Where an item's shingles lie; items of one length share windows.
     places = staged(items.select("n", F.posexplode("shingles").alias("at", "h")).distinct(), "places")
-    near = F.broadcast if places.count() <= BROADCAST_SHINGLES else lambda x: x
+    few = places.count() <= BROADCAST_SHINGLES
 
     hashed = _shingled(docs.filter("doc_id is not null").select("doc_id", "text"), "text", "words", "shingles")
     hashed = hashed.select("doc_id", F.xxhash64("text").alias("row"), F.size("words").alias("size"), "shingles")
-    # The outer form, as the filter that the inner one brings along would work out the shingles twice.
-    spots = hashed.select("doc_id", "row", "size", F.posexplode_outer("shingles").alias("pos", "h")).filter("h is not null")
-    start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
-    windows = spots.join(near(places), "h").select("doc_id", "row", start.alias("start"), F.least(F.col("n"), F.col("size") - start).alias("n"))
-    windows = staged(windows.filter(f"n >= {SHINGLE}").distinct(), "windows")
-
-    # The shingles of the documents that have windows, once for each window.
-    held = windows.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
-    cut = hashed.join(held, ["doc_id", "row"]).select("doc_id", "row", "shingles", F.explode("windows").alias("w"))
-    cut = cut.select("doc_id", "row", "w.start", "w.n", F.slice("shingles", F.col("w.start") + 1, F.col("w.n") - (SHINGLE - 1)).alias("shingles"))
+    window = F.slice("shingles", F.col("start") + 1, F.col("n") - (SHINGLE - 1)).alias("shingles")
+    start = F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")
+    end = F.least(F.greatest(F.col("pos") - F.col("at"), F.lit(0)) + F.col("n"), F.col("size"))
+    # The outer form, as the filter that the inner one brings along would work out the shingles twice. Where the items
+    # fit, windows are cut as the shingles are met; else texts with windows are found first and read again.
+    kept = ["shingles"] if few else []
+    spots = hashed.select("doc_id", "row", "size", *kept, F.posexplode_outer("shingles").alias("pos", "h")).filter("h is not null")
+    met = spots.join(F.broadcast(places) if few else places, "h").select("doc_id", "row", start, end.alias("end"), *kept)
+    met = met.withColumn("n", F.col("end") - F.col("start")).filter(f"n >= {SHINGLE}")
+    if few:
+        cut = met.select("doc_id", "row", "start", "n", window)
+    else:
+        held = met.select("doc_id", "row", "start", "n").distinct().groupBy("doc_id", "row")
+        held = staged(held.agg(F.collect_list(F.struct("start", "n")).alias("windows")), "windows")
+        cut = hashed.join(held, ["doc_id", "row"]).select("doc_id", "row", "shingles", F.explode("windows").alias("w"))
+        cut = cut.select("doc_id", "row", "w.start", "w.n", "shingles").select("doc_id", "row", "start", "n", window)
     marked = staged(cut.dropDuplicates(["doc_id", "row", "start", "n"]).withColumn("fp", _simhash("shingles")), "marked")
 
     blocks = marked.select("doc_id", "row", "start", "n", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))

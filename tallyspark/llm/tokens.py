@@ -17,12 +17,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_batch, staged, texts
+from .common import by_batch, staged
 
 MAGIC, VERSION, BLOCK = b"TS8B", 1, 256
 #: Ids per word and bits per id of the selectors 1 to 14; selector 0 is the escape.
@@ -31,24 +32,27 @@ WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 SEGMENT_IDS = 1 << 18
 #: Words whose ids a worker remembers before it starts anew (about 200 bytes each).
-REMEMBERED = 600_000
-#: Bytes of text that are cut into words at a time.
-SLICE = 1 << 20
+REMEMBERED = 1_400_000
+#: Bytes of text that are cut into words at a time; a longer text is a slice of its own.
+SLICE = 1 << 22
 
 
 def _selectors(width: np.ndarray) -> np.ndarray:
     """For each place of a block (a row), the selector that packs most ids from there on."""
     best = np.zeros(width.shape, np.int8)
-    places = width.shape[1]
+    blocks, places = width.shape
     top = int(width.max(initial=0))
     for s in range(14, 0, -1):
         if s > 1 and top <= WIDTHS[s - 1]:
             continue  # the next selector packs more ids at every place
-        n, wide = int(COUNTS[s]), width > WIDTHS[s]
-        before = np.zeros((width.shape[0], places + 1 + n), np.int32)
-        np.cumsum(wide, axis=1, out=before[:, 1 : places + 1])
-        before[:, places + 1 :] = before[:, places : places + 1]
-        best[before[:, n : n + places] == before[:, :places]] = s
+        # Whether all of the n ids from a place on fit, by doubling; places behind a block's end fit always.
+        n, fits, have = int(COUNTS[s]), np.ones((blocks, places + 60), bool), 1
+        np.less_equal(width, WIDTHS[s], out=fits[:, :places])
+        while have < n:
+            step = min(have, n - have)
+            fits = fits[:, :-step] & fits[:, step:]
+            have += step
+        np.copyto(best, np.int8(s), where=fits[:, :places])
     return best
 
 
@@ -143,83 +147,97 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return body[:docs], decode(body[docs + blocks :], body[docs : docs + blocks], count)
 
 
+def _bytes(column: pa.Array) -> list[bytes]:
+    """The values of a string column without nulls."""
+    wide = pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 class Words(dict):
     """Ids of words as little-endian unsigned 32-bit integers, by the tokenizers library.
 
     The vocabulary's splitting pattern never joins text across white space, so a text's ids are those of its words.
-    A word of letters followed by punctuation has the ids of both parts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: Iterable[bytes]) -> None:
-        """Ids of new words, by way of the ids of their letters and of the marks behind them."""
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        split, new = [], {}
+        """Ids of new words. Words of letters, with marks behind them or not, are coded together: each part ends in a
+        token that ends a word, so the ids can be told apart."""
+        plain, parts = [], []
         for word in words:
-            text = word.decode("utf-8", "replace").lower()
+            text = word.decode("utf-8", "replace")
             stem = text.rstrip(".,;:!?%$*&#|")
-            if stem.isalpha():
-                tail = text[len(stem) :]
-                split.append((word, stem, tail))
-                if stem not in self.parts:
-                    new[stem] = None
-                if tail not in self.parts:
-                    self.parts[tail] = self.ids(tail).tobytes() if tail else b""
+            # The library lowers letter by letter; only a letter that stays one letter is safe here.
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
+                plain.append(word)
+                parts.append(1 + (len(stem) < len(text)))
             else:
-                self[word] = self.ids(word.decode("utf-8", "replace")).tobytes()
-        stems = list(new)
-        for k in range(0, len(stems), 500):
-            part = stems[k : k + 500]
-            ids = self.ids(" ".join(part))
+                self[word] = self.ids(text).tobytes()
+        for k in range(0, len(plain), 500):
+            some, count = plain[k : k + 500], np.cumsum(parts[k : k + 500])
+            ids = self.ids(b" ".join(some).decode("utf-8", "replace"))
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):  # a stem that the library splits again
-                self.parts.update((s, self.ids(s).tobytes()) for s in part)
+            if len(ends) != count[-1]:  # a word that the library splits otherwise
+                self.update((w, self.ids(w.decode("utf-8", "replace")).tobytes()) for w in some)
                 continue
             data, at = ids.tobytes(), 0
-            for s, end in zip(part, (ends * 4).tolist()):
-                self.parts[s] = data[at:end]
+            for word, end in zip(some, (ends[count - 1] * 4).tolist()):
+                self[word] = data[at:end]
                 at = end
-        parts = self.parts
-        self.update((word, parts[stem] + parts[tail]) for word, stem, tail in split)
-
-    def texts(self, batch: Iterable[bytes]) -> Iterator[bytes]:
-        """The ids of each text, as bytes."""
-        held: list[bytes] = []
-        ends: list[int] = []
-        size = 0
-        for text in batch:
-            # The library lowers letters as well, but looks for special tokens before.
-            held += (text if b"<|" in text else text.lower()).split()
-            ends.append(len(held))
-            size += len(text)
-            if size > SLICE:
-                yield from self._flush(held, ends)
-                held, ends, size = [], [], 0
-        yield from self._flush(held, ends)
-
-    def _flush(self, held: list[bytes], ends: list[int]) -> Iterator[bytes]:
-        if len(self) > REMEMBERED:
+
+    def column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column; null has none."""
+        column = pc.fill_null(column, "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy())
+        at = 0
+        while at < len(column):
+            size = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, size + SLICE, side="right")))
+            yield from self._slice(column.slice(at, stop - at))
+            at = stop
+
+    def _slice(self, column: pa.Array) -> Iterator[np.ndarray]:
+        # The library lowers letters as well, but looks for special tokens before.
+        low = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        words = pc.ascii_split_whitespace(low)
+        coded = words.flatten().dictionary_encode()
+        ids = self._known(_bytes(coded.dictionary))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(length) - length
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        index = coded.indices.to_numpy()
+        count = length[index]
+        before = np.concatenate([[0], np.cumsum(count)])
+        out = pool[np.repeat(start[index] - before[:-1], count) + np.arange(before[-1])]
+        cuts = before[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        yield from (out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        if len(self) > REMEMBERED // 2:
+            # Words that are still in use move over from the old half; the others are forgotten.
+            self.old = dict(self)
             self.clear()
-        found = list(map(self.get, held))
+        found = list(map(self.get, words))
         if None in found:
-            self.learn({w for w, ids in zip(held, found) if ids is None})
-            found = list(map(self.get, held))
-        at = 0
-        for end in ends:
-            yield b"".join(found[at:end])
-            at = end
+            missing = {w for w, ids in zip(words, found) if ids is None}
+            self.update((w, self.old[w]) for w in missing & self.old.keys())
+            self.learn(missing - self.old.keys())
+            found = list(map(self.get, words))
+        return found
 
 
 _WORDS: dict[str, Words] = {}
@@ -244,17 +262,17 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, segment_ids:
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         count = 0
 
         def close() -> pa.RecordBatch:
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            data = write_segment(lengths, np.frombuffer(b"".join(parts), "<u4"))
+            lengths = np.array([len(p) + 1 for p in parts[::2]], np.int64)
+            data = write_segment(lengths, np.concatenate(parts))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([count], pa.int64()), pa.array([data], pa.binary())],
                 names=["part", "at", "doc_ids", "n_ids", "segment"],
@@ -262,10 +280,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, segment_ids:
 
         known = words_of(vocabulary)
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), known.texts(texts(batch.column(1)))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), known.column(batch.column(1))):
                 doc_ids.append(doc_id)
-                parts.append(ids + end)
-                count += len(ids) // 4 + 1
+                parts += [ids, end]
+                count += len(ids) + 1
                 if count >= segment_ids:
                     yield close()
                     doc_ids, parts, at, count = [], [], at + count, 0

@@ -74,10 +74,9 @@ def _duplicates_sql(name: str, columns: str = "*") -> str:
         (SELECT count(*) FROM {name}) - (SELECT count(*) FROM (SELECT DISTINCT {columns} FROM {name})) AS n_duplicates"""
 
 
-@query("k07_duplicate_row_count", " UNION ALL ".join(_duplicates_sql(n) for n in TABLES if n != "embeddings"))
+@query("k07_duplicate_row_count", " UNION ALL ".join(_duplicates_sql(n) for n in TABLES))
 def _(t: Views) -> DataFrame:
-    frames = {n: df for n, df in t.all().items() if n != "embeddings"}
-    return keys.duplicate_row_count(frames, digest=["text", "html"])
+    return keys.duplicate_row_count(t.all(), digest=["text", "html"])
 
 
 @query("k07_duplicate_texts", _duplicates_sql("documents", "text"))

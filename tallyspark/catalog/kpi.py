@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
-from ..functions.kpis import REGISTRY, measures_for
+from ..functions.kpis import measures_for
 from ..operators import kpi
 from ..operators.scope import drill
 from ..plans.bindings import MEASURES, QUARTILES, Views, with_views
@@ -24,11 +24,37 @@ def total(measure: str, expr: str | None = None) -> str:
     return f"{dbl(expr) if measure in MONEY else big(expr)} AS {measure}"
 
 
+# The KPI formulas in SQL, stated apart from the registry that they check.
+FORMULAS = {
+    "ctr": rat("clicks", "impressions", 100),
+    "ctr_fraction": rat("clicks", "impressions"),
+    "cpm_usd": rat("spend_usd", "impressions", 1000),
+    "cpm_lc": rat("spend_lc", "impressions", 1000),
+    "cpcv_usd": rat("spend_usd", "fully_played"),
+    "cpcv_lc": rat("spend_lc", "fully_played"),
+    "vtr_views": rat("views", "impressions"),
+    "vtr_views_pct": rat("views", "impressions", 100),
+    "vtr_completions": rat("fully_played", "impressions"),
+    "vtr_completions_pct": rat("fully_played", "impressions", 100),
+    "vcr_views": rat("fully_played", "views"),
+    "vcr_views_pct": rat("fully_played", "views", 100),
+    "vcr_impressions": rat("fully_played", "impressions"),
+    "vcr_impressions_pct": rat("fully_played", "impressions", 100),
+    "vcr25": rat("video_25", "views"),
+    "vcr50": rat("video_50", "views"),
+    "vcr75": rat("video_75", "views"),
+    "spend_pacing": rat("spend_usd", "budget_usd", 100),
+}
+
+
+def formulas(kpis: list[str]) -> str:
+    return "".join(f", {FORMULAS[k]} AS {k}" for k in kpis)
+
+
 def kpi_sql(grain: str, kpis: list[str], source: str, measures: list[str] | None = None) -> str:
     measures = measures or measures_for(kpis)
     sums_ = ", ".join(f"sum({m}) AS {m}" for m in measures)
-    ratios = "".join(f", {rat(k.numerator, k.denominator, k.scale)} AS {k.name}" for k in map(REGISTRY.get, kpis))
-    return f"SELECT {grain}, {', '.join(total(m, m) for m in measures)}{ratios} FROM (SELECT {grain}, {sums_} FROM {source} GROUP BY ALL)"
+    return f"SELECT {grain}, {', '.join(total(m, m) for m in measures)}{formulas(kpis)} FROM (SELECT {grain}, {sums_} FROM {source} GROUP BY ALL)"
 
 
 SUMMARY = ["vtr_completions", "ctr", "cpm_usd", "cpm_lc", "cpcv_usd", "cpcv_lc", "vcr_views"]
@@ -58,36 +84,43 @@ def _(t: Views) -> DataFrame:
     return kpi.kpi_rollup(t.perf, ["campaign_id"], QUARTILE_KPIS)
 
 
-def dedup_sql(grain: str, source: str, keys: str) -> str:
-    rows = f"(SELECT DISTINCT {grain}, {', '.join(measures_for(DASHBOARD))}, {keys} FROM {source})"
+#: Rows that agree in these columns beside the grain and the measures are counted once.
+DEDUP = ["campaign_id", "date", "views", "video_25"]
+
+
+def dedup_sql(grain: str, source: str) -> str:
+    rows = f"(SELECT DISTINCT {grain}, {', '.join(measures_for(DASHBOARD))}, {', '.join(DEDUP)} FROM {source})"
     return kpi_sql(grain, DASHBOARD, rows)
 
 
 @query(
     "m02_kpi_dedup_country_year",
-    with_views("perf_country") + dedup_sql("country_id, year", f"(SELECT *, {yr('date')} AS year FROM perf_country)", "campaign_id, date"),
+    with_views("perf_country") + dedup_sql("country_id, year", f"(SELECT *, {yr('date')} AS year FROM perf_country)"),
 )
 def _(t: Views) -> DataFrame:
     df = t.perf_country.withColumn("year", F.year("date"))
-    return kpi.kpi_rollup(df, ["country_id", "year"], DASHBOARD, dedup=["campaign_id", "date"])
+    return kpi.kpi_rollup(df, ["country_id", "year"], DASHBOARD, dedup=DEDUP)
 
 
 @query(
     "m03_kpi_dedup_brand",
-    with_views("perf", "products") + dedup_sql("brand", "perf LEFT JOIN products USING (product_id)", "campaign_id, date"),
+    with_views("perf_country", "products")
+    + dedup_sql("country_id, year, brand", f"(SELECT *, {yr('date')} AS year FROM perf_country LEFT JOIN products USING (product_id))"),
 )
 def _(t: Views) -> DataFrame:
-    df = t.perf.join(t.products.select("product_id", "brand"), "product_id", "left")
-    return kpi.kpi_rollup(df, ["brand"], DASHBOARD, dedup=["campaign_id", "date"])
+    df = t.perf_country.withColumn("year", F.year("date")).join(t.brand_dim, "product_id", "left")
+    return kpi.kpi_rollup(df, ["country_id", "year", "brand"], DASHBOARD, dedup=DEDUP)
 
 
 @query(
     "m03_kpi_channel_platform",
-    with_views("delivery", "channels") + kpi_sql("channel_desc, tier", DASHBOARD, "delivery LEFT JOIN channels USING (channel_id)"),
+    with_views("perf_country", "channels")
+    + dedup_sql("country_id, year, channel_desc, tier", f"(SELECT *, {yr('date')} AS year FROM perf_country LEFT JOIN channels USING (channel_id))"),
 )
 def _(t: Views) -> DataFrame:
-    dims = [(t.channels.select("channel_id", "channel_desc"), "channel_id", "left")]
-    return kpi.kpi_rollup(t.delivery, ["channel_desc", "tier"], DASHBOARD, dims=dims)
+    named = t.channels.select("channel_id", "channel_desc")
+    df = t.perf_country.withColumn("year", F.year("date")).join(named, "channel_id", "left")
+    return kpi.kpi_rollup(df, ["country_id", "year", "channel_desc", "tier"], DASHBOARD, dedup=DEDUP)
 
 
 PACING = ["ctr", "cpm_usd", "vcr_views_pct", "spend_pacing"]
@@ -98,7 +131,7 @@ def pacing_sql(where: str, extra: str = "") -> str:
     return f"""a AS (SELECT campaign_id, {', '.join(f'sum({m}) AS {m}' for m in actual)} FROM perf {where} GROUP BY ALL),
         b AS (SELECT campaign_id, sum(budget_usd) AS budget_usd FROM (SELECT DISTINCT campaign_id, plan_line_id, budget_usd FROM planned {where}) GROUP BY ALL)
         SELECT campaign_id, {', '.join(total(m, m) for m in (*actual, 'budget_usd'))}
-        {''.join(f", {rat(k.numerator, k.denominator, k.scale)} AS {k.name}" for k in map(REGISTRY.get, PACING))}{extra}
+        {formulas(PACING)}{extra}
         FROM a LEFT JOIN b USING (campaign_id)"""
 
 
@@ -197,6 +230,18 @@ def _(t: Views) -> DataFrame:
     return kpi.planned_summary(t.planned_country, ["country_id"], ["budget_usd", "budget_lc"])
 
 
+@query(
+    "m10_planned_brand",
+    f"""{with_views('planned', 'delivery', 'products')} SELECT brand, {sums('budget_usd', 'budget_lc')} FROM
+        (SELECT DISTINCT brand, plan_line_id, budget_usd, budget_lc FROM planned JOIN delivery USING (plan_line_id) JOIN products USING (product_id)) GROUP BY 1""",
+)
+def _(t: Views) -> DataFrame:
+    # A plan line counts once for each brand that its lines have.
+    products = t.delivery.select("plan_line_id", "product_id").distinct().join(t.brand_dim, "product_id")
+    brands = products.select("plan_line_id", "brand").distinct()
+    return kpi.planned_summary(t.planned.join(brands, "plan_line_id"), ["brand"], ["budget_usd", "budget_lc"])
+
+
 @query(
     "m10_planned_priority",
     f"""{with_views('planned')} SELECT priority, {sums('budget_usd')} FROM (SELECT DISTINCT priority, plan_line_id, budget_usd FROM planned) GROUP BY 1""",
@@ -213,7 +258,7 @@ ALL_MEASURES = [*MEASURES, *QUARTILES]
     f"{with_views('perf_country')} SELECT country_id, max(date) AS last_date, count(*) AS n_rows, {', '.join(total(m) for m in ALL_MEASURES)} FROM perf_country GROUP BY 1",
 )
 def _(t: Views) -> DataFrame:
-    return kpi.measures_by(t.perf_country, ["country_id"], "date", ALL_MEASURES)
+    return kpi.measures_by(t.perf, ["country_id"], "date", ALL_MEASURES, (t.country_dim, "campaign_id", "inner"))
 
 
 @query(
@@ -235,7 +280,8 @@ CONTENT = ["vtr_completions_pct", "vcr_views_pct", "vcr25", "vcr50", "vcr75"]
     with_views("perf_country") + kpi_sql("campaign_id, country_id, tier, creative_id", CONTENT, "perf_country"),
 )
 def _(t: Views) -> DataFrame:
-    return kpi.kpi_rollup(t.perf_country, ["campaign_id", "country_id", "tier", "creative_id"], CONTENT)
+    grain = ["campaign_id", "country_id", "tier", "creative_id"]
+    return kpi.kpi_rollup(t.perf, grain, CONTENT, dims=[(t.country_dim, "campaign_id", "inner")])
 
 
 WINDOW = "campaign_id = 42 AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"
@@ -252,7 +298,8 @@ def _(t: Views) -> DataFrame:
     f"{with_views('perf_country')} SELECT country_id, tier, count(DISTINCT product_id) AS n_creatives FROM perf_country GROUP BY 1, 2",
 )
 def _(t: Views) -> DataFrame:
-    return kpi.distinct_with_count(t.perf_country, ["country_id", "tier"], "product_id", "n_creatives")
+    pairs = t.perf.select("campaign_id", "tier", "product_id").distinct().join(t.country_dim, "campaign_id")
+    return kpi.distinct_with_count(pairs, ["country_id", "tier"], "product_id", "n_creatives")
 
 
 def creative_base(t: Views) -> DataFrame:
@@ -405,7 +452,7 @@ def _(t: Views) -> DataFrame:
     f"""{with_views('perf', 'campaigns', 'products', 'reach', 'planned', 'calendar')},
         r AS (SELECT campaign_id, {rat('sum(value)', 'count(value)')} AS avg_reach FROM reach GROUP BY 1),
         b AS (SELECT campaign_id, {sums('budget_usd')} FROM planned GROUP BY 1)
-        SELECT DISTINCT campaign_id, product_id, date, clicks, {dbl('spend_usd')} AS spend_usd, brand, country_id, avg_reach, budget_usd, cal_week_of_year
+        SELECT campaign_id, product_id, date, clicks, {dbl('spend_usd')} AS spend_usd, brand, country_id, avg_reach, budget_usd, cal_week_of_year
         FROM perf LEFT JOIN products USING (product_id) LEFT JOIN campaigns USING (campaign_id)
         LEFT JOIN r USING (campaign_id) LEFT JOIN b USING (campaign_id) JOIN calendar ON date = calendar_date""",
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,27 @@ def _(t: Views) -> DataFrame:
     return rec.plan_vs_actual_outliers(*variance_inputs(t))
 
 
+CHANNEL = "country_id, year, channel_id, campaign_id"
+
+
+@query(
+    "x03_plan_vs_actual_channel",
+    f"""{with_views('perf_country', 'planned_country')}, lines AS (SELECT DISTINCT plan_line_id, channel_id FROM delivery),
+        p AS (SELECT {CHANNEL}, sum(budget_usd) AS budget_usd, sum(budget_lc) AS budget_lc FROM
+              (SELECT *, {yr('plan_start')} AS year FROM planned_country JOIN lines USING (plan_line_id)) GROUP BY ALL),
+        a AS (SELECT {CHANNEL}, sum(spend_usd) AS spend_usd, sum(spend_lc) AS spend_lc FROM
+              (SELECT *, {yr('date')} AS year FROM perf_country) GROUP BY ALL)
+        SELECT {CHANNEL}, {AMOUNTS}, {VARIANCE} FROM a JOIN p USING ({CHANNEL})""",
+)
+def _(t: Views) -> DataFrame:
+    # A plan line counts once for each channel that its lines have.
+    channels = t.delivery.select("plan_line_id", "channel_id").distinct()
+    plan = with_year(t.planned_country, "plan_start").join(channels, "plan_line_id")
+    spent = with_year(t.perf, "date").select("campaign_id", "year", "channel_id", *rec.SPENDS)
+    actual = sum_by(spent, ["campaign_id", "year", "channel_id"], rec.SPENDS).join(t.country_dim, "campaign_id")
+    return rec.plan_vs_actual(plan, actual, CHANNEL.split(", "))
+
+
 @query(
     "o02_violation_share",
     f"""{_plan_actual(CAMPAIGN_YEAR)} SELECT count(*) FILTER (WHERE {OUTLIER}) AS violations, count(*) AS base_rows,
@@ -184,19 +207,20 @@ def _(t: Views) -> DataFrame:
 @query(
     "x11_cross_domain_compare",
     f"""{with_views('perf', 'planned', 'campaigns', 'calendar')},
-        a AS (SELECT segment, fiscal_period, sum(spend_usd) AS spend_usd FROM perf JOIN campaigns USING (campaign_id)
-              JOIN calendar ON date = calendar_date WHERE cal_year >= 2001 GROUP BY ALL),
-        b AS (SELECT segment, fiscal_period, sum(budget_usd) AS budget_usd FROM planned JOIN campaigns USING (campaign_id)
-              JOIN calendar ON plan_start = calendar_date WHERE cal_year >= 2001 GROUP BY ALL)
-        SELECT segment, fiscal_period, {dbl('spend_usd')} AS spend_usd, {dbl('budget_usd')} AS budget_usd, {rat('spend_usd', 'budget_usd')} AS usd_ratio
-        FROM a FULL JOIN b USING (segment, fiscal_period)""",
+        a AS (SELECT segment, cal_year, fiscal_period, sum(spend_usd) AS spend_usd FROM perf JOIN campaigns USING (campaign_id)
+              JOIN calendar ON date = calendar_date GROUP BY ALL),
+        b AS (SELECT segment, cal_year, fiscal_period, sum(budget_usd) AS budget_usd FROM planned JOIN campaigns USING (campaign_id)
+              JOIN calendar ON plan_start = calendar_date GROUP BY ALL)
+        SELECT segment, cal_year, fiscal_period, {dbl('spend_usd')} AS spend_usd, {dbl('budget_usd')} AS budget_usd, {rat('spend_usd', 'budget_usd')} AS usd_ratio
+        FROM a FULL JOIN b USING (segment, cal_year, fiscal_period)""",
 )
 def _(t: Views) -> DataFrame:
     segment = t.campaigns.select("campaign_id", "segment")
-    recent = t.calendar.filter("cal_year >= 2001").select("calendar_date", "fiscal_period")
-    a = t.perf.join(segment, "campaign_id").join(recent, F.col("date") == F.col("calendar_date"))
-    b = t.planned.join(segment, "campaign_id").join(recent, F.col("plan_start") == F.col("calendar_date"))
-    return rec.compare_sums(a, b, ["segment", "fiscal_period"], {"usd_ratio": ("spend_usd", "budget_usd")}, "full")
+    days = t.calendar.select("calendar_date", "cal_year", "fiscal_period")
+    spent = sum_by(t.perf, ["campaign_id", "date"], ["spend_usd"]).join(segment, "campaign_id")
+    a = spent.join(days, F.col("date") == F.col("calendar_date"))
+    b = t.planned.join(segment, "campaign_id").join(days, F.col("plan_start") == F.col("calendar_date"))
+    return rec.compare_sums(a, b, ["segment", "cal_year", "fiscal_period"], {"usd_ratio": ("spend_usd", "budget_usd")}, "full")
 
 
 VERSION_SQL = "year(o_orderdate) || 'H' || CASE WHEN month(o_orderdate) <= 6 THEN 1 ELSE 2 END"
@@ -382,6 +406,20 @@ def _(t: Views) -> DataFrame:
     return rec.expected_rows_vs_days(t.reach, ["campaign_id", "platform"], "date", F.min("date"), F.max("date"))
 
 
+@query(
+    "x23_two_offsets",
+    f"""{with_views('perf')}, s AS (SELECT campaign_id, campaign_start_date, date, CASE WHEN date < DATE '1999-01-01' THEN 1 ELSE 2 END AS side FROM perf),
+        g AS (SELECT campaign_id, side, count(date) AS n_rows, max(date) - min(campaign_start_date) + 1 AS days FROM s GROUP BY campaign_id, side)
+        SELECT campaign_id, side, n_rows, CAST(days + side - 1 AS BIGINT) AS expected_rows FROM g WHERE n_rows <> days + side - 1""",
+)
+def _(t: Views) -> DataFrame:
+    # The declared start, not the first day with data; one more row is due from 1999 on.
+    side = F.when(F.col("date") < F.lit(dt.date(1999, 1, 1)), 1).otherwise(2)
+    df = t.perf.select("campaign_id", "campaign_start_date", "date", side.alias("side"))
+    offset = F.when(F.col("side") == 1, 0).otherwise(1)
+    return rec.expected_rows_vs_days(df, ["campaign_id", "side"], "date", F.min("campaign_start_date"), F.max("date"), offset)
+
+
 @query(
     "x24_non_monotonic",
     f"""{with_views('reach')}, w AS (SELECT *, lag(value) OVER (PARTITION BY campaign_id, platform ORDER BY date, event_id) AS previous_value FROM reach)
@@ -428,7 +466,7 @@ def _fanout_sql() -> str:
     per_key = ", ".join(f"k{i} AS (SELECT {key}, count(*) AS n{i} FROM {table} GROUP BY {key})" for i, (_, key, table, _) in enumerate(rights, 1))
     joins = " ".join(f"LEFT JOIN k{i} USING ({key})" for i, (_, key, _, _) in enumerate(rights, 1))
     weights = ["1"] + [f"coalesce(n{i}, {missing})" for i, (_, _, _, missing) in enumerate(rights, 1)]
-    totals = ", ".join(f"{big(f'sum({chr(42).join(weights[: i + 1])})')} AS t{i}" for i in range(5))
+    totals = ", ".join(f"{dbl(f'sum({chr(42).join(weights[: i + 1])})')} AS t{i}" for i in range(5))
     rows = " UNION ALL ".join(
         f"""SELECT CAST({i} AS INTEGER) AS step, '{name}' AS step_name, t{i - 1} AS rows_before, t{i} AS rows_after,
             (SELECT max(n{i}) <= 1 FROM k{i}) AS key_is_unique FROM totals"""

@@ -58,11 +58,12 @@ def duplicate_row_count(tables: Mapping[str, DataFrame], digest: Sequence[str] =
 
     Whole rows are not shuffled. A first pass counts row hashes (8 bytes each) and keeps the repeated ones; a second
     one compares only the rows with a repeated hash, column by column, so hash collisions do not count. Columns named
-    in ``digest`` (long texts) are compared by SHA-256.
+    in ``digest`` (long texts) are compared by SHA-256. Tables without a repeated hash are not read again.
     """
     hashes = union_all(df.select(F.lit(n).alias("__table"), F.xxhash64(*df.columns).alias("__hash")) for n, df in tables.items())
     per_hash = hashes.groupBy("__table", "__hash").agg(F.count(F.lit(1)).alias("__n"))
     repeated = measured(per_hash.filter(F.col("__n") > 1).drop("__n"))
+    suspects = {r[0] for r in repeated.select("__table").distinct().collect()}  # names of tables only
     parts = []
     for table, df in tables.items():
         hashed = df.withColumn("__hash", F.xxhash64(*df.columns))
@@ -70,7 +71,10 @@ def duplicate_row_count(tables: Mapping[str, DataFrame], digest: Sequence[str] =
         keys = [F.unhex(F.sha2(c, 256)).alias(c) if c in digest else F.col(c) for c in df.columns]
         groups = hashed.join(own, "__hash", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
         name, zero = F.lit(table).alias("table_name"), F.lit(0).cast("bigint")
+        # A bare count is read from the files' footers.
         parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(name, "n_rows", zero.alias("n_duplicates")))
+        if table not in suspects:
+            continue
         copies = groups.agg(F.sum(F.col("__n") - 1).alias("n_duplicates"))
         parts.append(copies.select(name, zero.alias("n_rows"), F.coalesce("n_duplicates", zero).alias("n_duplicates")))
     return union_all(parts).groupBy("table_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_duplicates").alias("n_duplicates"))

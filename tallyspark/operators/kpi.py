@@ -73,11 +73,16 @@ def planned_summary(plan: DataFrame, grain: Sequence[str], amounts: Sequence[str
     return sum_by(lines, grain, amounts)
 
 
-def measures_by(fact: DataFrame, grain: Sequence[str], date: str, measures: Sequence[str]) -> DataFrame:
-    """Last date, rows and all sums per grain."""
-    return fact.groupBy(*grain).agg(
-        F.max(date).alias("last_date"), F.count(F.lit(1)).alias("n_rows"), *[F.sum(m).alias(m) for m in measures]
-    )
+def measures_by(
+    fact: DataFrame, grain: Sequence[str], date: str, measures: Sequence[str], dim: tuple[DataFrame, str, str] | None = None
+) -> DataFrame:
+    """Last date, rows and all sums per grain. Grain columns may come from ``dim``, which is met by sums per key."""
+    columns = (F.max(date).alias("last_date"), F.count(F.lit(1)).alias("n_rows"), *[F.sum(m).alias(m) for m in measures])
+    if dim is None:
+        return fact.groupBy(*grain).agg(*columns)
+    table, key, how = dim
+    rolled = fact.groupBy(*dict.fromkeys([key, *(g for g in grain if g in fact.columns)])).agg(*columns).join(table, key, how)
+    return rolled.groupBy(*grain).agg(F.max("last_date").alias("last_date"), *[F.sum(m).alias(m) for m in ("n_rows", *measures)])
 
 
 def reach_per_campaign(reach: DataFrame, key: str = "campaign_id", value: str = "value") -> DataFrame:
@@ -143,9 +148,9 @@ def wide_join(
     fact: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str], str]], reach: DataFrame, plan: DataFrame,
     calendar: DataFrame, date: str, key: str = "campaign_id",
 ) -> DataFrame:
-    """Fact rows with dims, campaign reach, campaign budget and calendar week; distinct, one row per fact row."""
+    """Fact rows with dims, campaign reach, campaign budget and calendar week; one row per fact row, equal ones included."""
     wide = join_dims(fact, dims)
     wide = wide.join(reach_per_campaign(reach, key).select(key, "avg_reach"), key, "left")
     wide = wide.join(planned_summary(plan, [key], ["budget_usd"]), key, "left")
-    return wide.join(calendar, F.col(date) == F.col("calendar_date")).drop("calendar_date").distinct()
+    return wide.join(calendar, F.col(date) == F.col("calendar_date")).drop("calendar_date")
 

@@ -11,37 +11,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of, col, days_inclusive, ratio
+from ..sources.scratch import measured
 from ..sources.tables import union_all
 from .kpi import planned_summary, sum_by
 
 BUDGETS = ("budget_usd", "budget_lc")
 SPENDS = ("spend_usd", "spend_lc")
+#: Amounts that are divided and summed up again: a sum of decimals does not depend on the order of tasks.
+EXACT = "decimal(20,6)"
+#: Pairs of columns whose moments one aggregate takes.
+PAIRS = 8
+
+
+def join_groups(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables of groups; a null in a key is a value like any other. Keys come first, then the rest of both."""
+    theirs = {k: f"__right_{i}" for i, k in enumerate(keys)}
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in theirs.items()]
+    joined = a.join(b.withColumnsRenamed(theirs), same, how)
+    own = [F.coalesce(F.col(k), F.col(n)).alias(k) if how == "full" else F.col(k) for k, n in theirs.items()]
+    rest = [c for x in (a, b) for c in x.columns if c not in theirs]
+    return joined.select(*own, *rest)
 
 
 def fx_ratio_consistency(plan: DataFrame, actual: DataFrame, grain: Sequence[str]) -> DataFrame:
     """Local/dollar ratio of plan and of actual, and the ratio of the two."""
     planned = planned_summary(plan, grain, BUDGETS).withColumn("planned_ratio", ratio("budget_lc", "budget_usd"))
     spent = sum_by(actual, grain, SPENDS).withColumn("actual_ratio", ratio("spend_lc", "spend_usd"))
-    return spent.join(planned, list(grain)).withColumn("ratio", ratio("planned_ratio", "actual_ratio"))
+    return join_groups(spent, planned, grain).withColumn("ratio", ratio("planned_ratio", "actual_ratio"))
 
 
 def fx_vs_reference(ratios: DataFrame, fx: DataFrame, country: str, rate: str = "latest_value") -> DataFrame:
     """Observed ratios next to an external rate; a country without a rate keeps its row."""
-    return ratios.join(fx, country, "left").withColumn("vs_reference", ratio("actual_ratio", rate))
+    return join_groups(ratios, fx, [country], "left").withColumn("vs_reference", ratio("actual_ratio", rate))
 
 
 def plan_vs_actual(plan: DataFrame, actual: DataFrame, grain: Sequence[str]) -> DataFrame:
     """Actual in percent of plan, in both currencies."""
     planned = planned_summary(plan, grain, BUDGETS)
-    return (
-        sum_by(actual, grain, SPENDS)
-        .join(planned, list(grain))
-        .withColumns(
-            {
-                "variance_usd": ratio("spend_usd", "budget_usd", 100),
-                "variance_lc": ratio("spend_lc", "budget_lc", 100),
-            }
-        )
+    return join_groups(sum_by(actual, grain, SPENDS), planned, grain).withColumns(
+        {"variance_usd": ratio("spend_usd", "budget_usd", 100), "variance_lc": ratio("spend_lc", "budget_lc", 100)}
     )
 
 
@@ -67,7 +75,7 @@ def relative_variance(df: DataFrame, a: str, b: str, out: str = "variance_pct")
 
 def yearly_sides(plan: DataFrame, actual: DataFrame, grain: Sequence[str], only_zero: bool = False) -> DataFrame:
     """Actual sums with plan sums beside them; ``only_zero`` keeps rows where one is zero or missing."""
-    both = sum_by(actual, grain, SPENDS).join(sum_by(plan, grain, BUDGETS), list(grain), "left")
+    both = join_groups(sum_by(actual, grain, SPENDS), sum_by(plan, grain, BUDGETS), grain, "left")
     if only_zero:
         both = both.filter(any_of(F.coalesce(F.col(c), F.lit(0)) == 0 for c in (*SPENDS, *BUDGETS)))
     return both
@@ -92,7 +100,7 @@ def compare_sums(
     left = sum_by(a, grain, dict.fromkeys(p[0] for p in pairs.values()))
     names = {p[1]: p[1] if p[1] not in left.columns else f"{p[1]}_b" for p in pairs.values()}
     right = sum_by(b, grain, names).withColumnsRenamed(names)
-    return left.join(right, list(grain), how).withColumns({n: ratio(x, names[y]) for n, (x, y) in pairs.items()})
+    return join_groups(left, right, grain, how).withColumns({n: ratio(x, names[y]) for n, (x, y) in pairs.items()})
 
 
 def ratio_of_ratios(df: DataFrame, grain: Sequence[str], totals: tuple[str, str], rates: tuple[str, str]) -> DataFrame:
@@ -134,7 +142,7 @@ def environment_compare(a: DataFrame, b: DataFrame, grain: Sequence[str], measur
             F.count(F.lit(1)).alias(f"n_rows_{tag}"), *[F.sum(m).alias(f"{m}_{tag}") for m in measures]
         )
 
-    both = side(a, "a").join(side(b, "b"), list(grain), "full")
+    both = join_groups(side(a, "a"), side(b, "b"), grain, "full")
     zero = F.lit(0)
     deltas = {f"{m}_delta": F.coalesce(F.col(f"{m}_a"), zero) - F.coalesce(F.col(f"{m}_b"), zero) for m in ("n_rows", *measures)}
     return both.withColumns(deltas)
@@ -143,22 +151,30 @@ def environment_compare(a: DataFrame, b: DataFrame, grain: Sequence[str], measur
 def composed_key_reconcile(
     a: DataFrame, b: DataFrame, parts: Sequence[str | Column], measures: tuple[str, str], out: str = "plan_name", sep: str = "_"
 ) -> DataFrame:
-    """Sums of two tables by a name composed of the same parts on both sides; names of either side."""
-    name = F.concat_ws(sep, *[col(p).cast("string") for p in parts]).alias(out)
-    left = a.groupBy(name).agg(F.sum(measures[0]).alias(measures[0]))
-    right = b.groupBy(name).agg(F.sum(measures[1]).alias(measures[1]))
-    return left.join(right, out, "full").withColumn("ratio", ratio(*measures))
+    """Sums of two tables by a name composed of the same parts on both sides; names of either side.
+
+    Groups are told apart by the parts, so that (a, null, b) and (a, b, null) stay two; the name, without the null
+    parts, is for display.
+    """
+    keys = [f"__part_{i}" for i in range(len(parts))]
+    named = [col(p).cast("string").alias(k) for p, k in zip(parts, keys)]
+    left = a.groupBy(*named).agg(F.sum(measures[0]).alias(measures[0]))
+    right = b.groupBy(*named).agg(F.sum(measures[1]).alias(measures[1]))
+    both = join_groups(left, right, keys, "full")
+    return both.select(F.concat_ws(sep, *keys).alias(out), *measures).withColumn("ratio", ratio(*measures))
 
 
 def taxonomy_match(df: DataFrame, mapping: DataFrame, code: str, expected: str, mapped: str = "mapped") -> DataFrame:
     """Look a code up in a (code, mapped) table without regard to case and compare with the stored value.
 
-    ``outcome`` is ``match``, ``mismatch`` or ``unmapped``.
+    ``outcome`` is ``match``, ``mismatch``, ``unmapped``, or ``ambiguous`` for a code with several targets, which keeps
+    its one row, with the smallest target.
     """
-    lookup = mapping.select(F.lower("code").alias("__code"), mapped).dropDuplicates(["__code", mapped])
-    joined = df.join(lookup, F.lower(code) == F.col("__code"), "left").drop("__code")
-    outcome = F.when(F.col(mapped).isNull(), "unmapped").when(F.col(mapped) == F.col(expected), "match").otherwise("mismatch")
-    return joined.withColumn("outcome", outcome)
+    targets = mapping.groupBy(F.lower("code").alias("__code")).agg(F.min(mapped).alias(mapped), F.max(mapped).alias("__last"))
+    lookup = measured(targets)
+    joined = df.join(lookup, F.lower(code) == F.col("__code"), "left")
+    outcome = F.when(F.col(mapped).isNull(), "unmapped").when(F.col(mapped) != F.col("__last"), "ambiguous").when(F.col(mapped) == F.col(expected), "match").otherwise("mismatch")
+    return joined.withColumn("outcome", outcome).drop("__code", "__last")
 
 
 def wide_export(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str]], columns: Sequence[str]) -> DataFrame:
@@ -171,7 +187,7 @@ def wide_export(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str]], col
 def plan_actual_join(actual: DataFrame, plan: DataFrame, grain: Sequence[str], on: Sequence[str]) -> DataFrame:
     """Actual and planned amounts per group, rounded to cents. ``on`` are the grain columns the plan has as well."""
     spent = sum_by(actual, grain, SPENDS)
-    joined = spent.join(planned_summary(plan, on, BUDGETS), list(on), "left")
+    joined = join_groups(spent, planned_summary(plan, on, BUDGETS), on, "left")
     return joined.select(*grain, *[F.round(F.col(c).cast("decimal(38,4)"), 2).alias(c) for c in (*SPENDS, *BUDGETS)])
 
 
@@ -180,10 +196,10 @@ def reversed_spans(df: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def spread_daily(df: DataFrame, start: str, end: str, amount: str, out: str = "daily_amount") -> DataFrame:
-    """One row per day of each span with amount / days. Reversed spans are left out (see ``reversed_spans``)."""
+    """One row per day of each span with amount / days, as a decimal. Reversed spans are left out (see ``reversed_spans``)."""
     return (
         df.filter(F.col(end) >= F.col(start))
-        .withColumn(out, ratio(amount, days_inclusive(start, end)))
+        .withColumn(out, F.try_divide(F.col(amount).cast(EXACT), days_inclusive(start, end)))
         .withColumn("day", F.explode(F.sequence(start, end, F.expr("interval 1 day"))))
     )
 
@@ -200,7 +216,7 @@ def spread_monthly(df: DataFrame, start: str, end: str, amount: str, grain: Sequ
         df.filter(F.col(end) >= F.col(start))
         .select("*", month.alias("__month"))
         .groupBy(*grain, F.last_day("__month").alias("month_end"))
-        .agg(F.sum(ratio(amount, days_inclusive(start, end)) * in_month).alias(out))
+        .agg(F.sum(F.try_divide(F.col(amount).cast(EXACT), days_inclusive(start, end)) * in_month).alias(out))
     )
 
 
@@ -233,34 +249,36 @@ def fiscal_rollup(fact: DataFrame, calendar: DataFrame, date: str, grain: Sequen
 def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns per group, in long form; null where a column is constant.
 
-    Only rows with both values count for a pair. The pairs of a row are laid out and grouped, so the aggregate keeps
-    three moments whatever the number of columns; one per pair would be too wide for generated code.
+    Only rows with both values count for a pair. Moments are taken for ``PAIRS`` pairs at a time, each batch in a pass
+    that reads its own columns, so that no row is multiplied and the aggregates stay within generated code.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
-        cells.append(F.struct(F.lit(i).alias("pair"), x.alias("x"), y.alias("y")))
-    moments = (
-        df.select(*by, F.inline(F.array(*cells)))
-        .groupBy(*by, "pair")
-        .agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    )
-    a, b = (F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair") + 1) for side in (0, 1))
-    with_itself = F.when(F.col("sx") > 0, 1.0)
-    value = F.when(a == b, with_itself).otherwise(F.try_divide("c", F.col("sx") * F.col("sy")))
-    return moments.select(*by, a.alias("column_a"), b.alias("column_b"), value.alias("correlation"))
-
-
-def expected_rows_vs_days(df: DataFrame, grain: Sequence[str], date: str, start: Column, end: Column, offset: int = 0) -> DataFrame:
+    parts = []
+    for k in range(0, len(pairs), PAIRS):
+        batch = pairs[k : k + PAIRS]
+        moments = []
+        for i, (a, b) in enumerate(batch):
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+            moments += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
+        cells = []
+        for i, (a, b) in enumerate(batch):
+            value = F.when(F.col(f"x{i}") > 0, 1.0) if a == b else F.try_divide(f"c{i}", F.col(f"x{i}") * F.col(f"y{i}"))
+            cells.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), value.alias("correlation")))
+        parts.append(df.groupBy(*by).agg(*moments).select(*by, F.inline(F.array(*cells))))
+    return union_all(parts)
+
+
+def expected_rows_vs_days(df: DataFrame, grain: Sequence[str], date: str, start: Column, end: Column, offset: int | Column = 0) -> DataFrame:
     """Groups whose number of dated rows is not their days in flight (first and last day included) plus ``offset``.
 
-    ``start`` and ``end`` are aggregates, such as ``F.min('start_date')``.
+    ``start`` and ``end`` are aggregates, such as ``F.min('start_date')`` for a declared span. ``offset`` may be a
+    column of the grain, for instance one value on either side of a date.
     """
-    per_group = df.groupBy(*grain).agg(
-        F.count(date).alias("n_rows"), (F.datediff(end, start) + F.lit(1 + offset)).cast("bigint").alias("expected_rows")
-    )
+    days = F.datediff(end, start) + 1
+    per_group = df.groupBy(*grain).agg(F.count(date).alias("n_rows"), days.cast("bigint").alias("expected_rows"))
+    extra = F.lit(offset) if isinstance(offset, int) else offset
+    per_group = per_group.withColumn("expected_rows", (F.col("expected_rows") + extra).cast("bigint"))
     return per_group.filter(F.col("n_rows") != F.col("expected_rows"))
 
 
@@ -310,7 +328,8 @@ def join_fanout(fact: DataFrame, steps: Sequence[tuple[str, DataFrame, str, str]
     """Rows after each step of a join chain on fact keys, without producing them.
 
     ``steps`` are (name, right, key, how) with how ``left`` or ``inner``. The fact is reduced to one row per key
-    combination with its row count, each right side to the rows per key; the counts are multiplied.
+    combination with its row count, each right side to the rows per key; the counts are multiplied as decimals of 38
+    digits (more rows than that raise an overflow).
     ``key_is_unique`` tells whether the right side holds its key once at most.
     """
     keys = list(dict.fromkeys(k for _, _, k, _ in steps))
@@ -329,8 +348,8 @@ def join_fanout(fact: DataFrame, steps: Sequence[tuple[str, DataFrame, str, str]
             F.struct(
                 F.lit(i).alias("step"),
                 F.lit(name).alias("step_name"),
-                F.coalesce(F.col(f"__t{i - 1}"), F.lit(0)).cast("bigint").alias("rows_before"),
-                F.coalesce(F.col(f"__t{i}"), F.lit(0)).cast("bigint").alias("rows_after"),
+                F.coalesce(F.col(f"__t{i - 1}"), F.lit(0)).cast("decimal(38,0)").alias("rows_before"),
+                F.coalesce(F.col(f"__t{i}"), F.lit(0)).cast("decimal(38,0)").alias("rows_after"),
             )
             for i, (name, _, _, _) in enumerate(steps, 1)
         ]
@@ -339,16 +358,15 @@ def join_fanout(fact: DataFrame, steps: Sequence[tuple[str, DataFrame, str, str]
 
 
 def profile_extract(df: DataFrame) -> DataFrame:
-    """Rows, nulls and distinct values per column, in long form. Nested columns are not counted as distinct.
+    """Rows, nulls and distinct values per column, in long form; nested columns are compared as text.
 
-    Columns are turned into (column, value) pairs and counted by value first, so each value is shuffled once
-    per task at most, and no column needs a pass of its own.
+    Columns are turned into (column, value) pairs and counted by the SHA-256 of the value first, so each value is
+    shuffled as 32 bytes once per task at most, and no column needs a pass of its own.
     """
     pairs = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in df.columns]))
     )
-    digest = F.when(F.length("v") > 64, F.sha2("v", 256)).otherwise(F.col("v"))
-    per_value = pairs.select("column_name", digest.alias("v")).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    per_value = pairs.select("column_name", F.unhex(F.sha2("v", 256)).alias("v")).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
     return per_value.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),

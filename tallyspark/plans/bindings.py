@@ -53,12 +53,12 @@ class Views:
             f"CAST(l_extendedprice AS {MONEY}) AS spend_usd",
             f"CAST(l_extendedprice * (1 + l_tax) AS {MONEY}) AS spend_lc",
             "CAST(l_quantity * 1000 AS BIGINT) AS impressions",
-            "CAST(l_quantity AS BIGINT) AS clicks",
-            "CAST(l_quantity * 100 AS BIGINT) AS views",
+            "CAST(l_quantity * (1 + l_suppkey % 4) AS BIGINT) AS clicks",
+            "CAST(l_quantity * (60 + l_partkey % 50) AS BIGINT) AS views",
             "CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity * 10 END AS BIGINT) AS fully_played",
-            "CAST(l_quantity * 80 AS BIGINT) AS video_25",
-            "CAST(l_quantity * 60 AS BIGINT) AS video_50",
-            "CAST(l_quantity * 40 AS BIGINT) AS video_75",
+            "CAST(l_quantity * (40 + l_partkey % 20) AS BIGINT) AS video_25",
+            "CAST(l_quantity * (25 + l_suppkey % 15) AS BIGINT) AS video_50",
+            "CAST(l_quantity * (10 + l_linenumber % 15) AS BIGINT) AS video_75",
             "l_discount AS score",
             "l_linestatus AS status",
             "l_returnflag AS tier",
@@ -134,7 +134,9 @@ class Views:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return fiscal_calendar(self.lineitem, "l_shipdate")
+        """Days from the first to the last date that a delivery or a plan line has."""
+        dates = self.lineitem.selectExpr("CAST(l_shipdate AS DATE) AS date").union(self.orders.selectExpr("CAST(o_orderdate AS DATE)"))
+        return fiscal_calendar(dates, "date")
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -147,10 +149,10 @@ SQL: dict[str, str] = {
     "delivery": """delivery AS (SELECT l_orderkey AS plan_line_id, l_partkey AS product_id, l_suppkey AS channel_id,
         l_linenumber AS creative_id, CAST(l_shipdate AS DATE) AS date, CAST(l_extendedprice AS DECIMAL(18,4)) AS spend_usd,
         CAST(l_extendedprice * (1 + l_tax) AS DECIMAL(18,4)) AS spend_lc, CAST(l_quantity * 1000 AS BIGINT) AS impressions,
-        CAST(l_quantity AS BIGINT) AS clicks, CAST(l_quantity * 100 AS BIGINT) AS views,
+        CAST(l_quantity * (1 + l_suppkey % 4) AS BIGINT) AS clicks, CAST(l_quantity * (60 + l_partkey % 50) AS BIGINT) AS views,
         CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity * 10 END AS BIGINT) AS fully_played,
-        CAST(l_quantity * 80 AS BIGINT) AS video_25, CAST(l_quantity * 60 AS BIGINT) AS video_50,
-        CAST(l_quantity * 40 AS BIGINT) AS video_75, l_discount AS score, l_linestatus AS status, l_returnflag AS tier
+        CAST(l_quantity * (40 + l_partkey % 20) AS BIGINT) AS video_25, CAST(l_quantity * (25 + l_suppkey % 15) AS BIGINT) AS video_50,
+        CAST(l_quantity * (10 + l_linenumber % 15) AS BIGINT) AS video_75, l_discount AS score, l_linestatus AS status, l_returnflag AS tier
         FROM lineitem)""",
     "perf": """perf AS (SELECT d.*, o_custkey AS campaign_id, CAST(o_orderdate AS DATE) AS campaign_start_date
         FROM delivery d JOIN orders ON plan_line_id = o_orderkey)""",
@@ -171,9 +173,8 @@ SQL: dict[str, str] = {
         JOIN customer ON campaign_id = c_custkey)""",
     "reach": """reach AS (SELECT user_id AS campaign_id, event_type AS platform, CAST(ts AS DATE) AS date,
         CAST(value AS DECIMAL(18,4)) AS value, event_id FROM events)""",
-    "days": """days AS (SELECT CAST(unnest(generate_series(min(l_shipdate), max(l_shipdate), INTERVAL 1 DAY)) AS DATE)
-        AS calendar_date FROM (SELECT date_trunc('day', min(l_shipdate)) AS l_shipdate FROM lineitem
-        UNION ALL SELECT date_trunc('day', max(l_shipdate)) FROM lineitem))""",
+    "days": """days AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS calendar_date
+        FROM (SELECT date_trunc('day', l_shipdate) AS d FROM lineitem UNION ALL SELECT date_trunc('day', o_orderdate) FROM orders))""",
     "calendar": """calendar AS (SELECT calendar_date, CAST(year(calendar_date) AS INTEGER) AS cal_year,
         CAST(weekofyear(calendar_date) AS INTEGER) AS cal_week_of_year,
         'P' || lpad(CAST(least(13, CAST(floor((dayofyear(calendar_date) - 1) / 28) AS INTEGER) + 1) AS VARCHAR), 2, '0')

@@ -8,12 +8,14 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution splits skewed join partitions, also where that costs one more shuffle behind the join, and
 # turns joins into broadcasts only when the measured side is below the threshold.
-SETTINGS = {
+RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+SETTINGS = RUNTIME | {
     # Call sites in error messages cost a stack walk per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
@@ -21,6 +23,13 @@ SETTINGS = {
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings that a running session takes, on any cluster."""
+    for k, v in RUNTIME.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def local_session(name: str, cpus: int | str | None = None) -> SparkSession:
     cpus = cpus or os.cpu_count() or "*"
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)

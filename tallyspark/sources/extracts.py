@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import base64_text
+from .scratch import measured
 from .tables import load_csv
 
 CODEBOOK = "entity string, attribute string, code string"
@@ -38,22 +40,29 @@ def load_extracts(spark: SparkSession, path: str, header: Sequence[str], sep: st
     Each file starts with a preamble of free text, then its heading line. Lines up to the heading are dropped by
     position: line ids rise within a file, and only the split that holds the heading has lines before it. Files
     are split over tasks as any text file; short lines get nulls at the end.
+
+    Nothing is dropped unseen: ``surplus`` holds the fields beyond the heading, and for a file without the heading
+    line each line as it is, with nulls in the columns. ``sep`` is taken as it is written.
     """
     heading = sep.join(header)
     lines = spark.read.text(path).select(
         F.col("value"), F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("line")
     )
-    found = lines.filter(F.col("value") == heading).groupBy("source_file").agg(F.min("line").alias("heading_line"))
+    # One row per file at most; measured, so that the lines are shuffled only if there are very many files.
+    found = measured(lines.filter(F.col("value") == heading).groupBy("source_file").agg(F.min("line").alias("heading_line")))
     split = F.shiftright("line", 33)
     heading_split = F.shiftright("heading_line", 33)
     body = (
-        lines.join(found, "source_file")
-        .filter((split != heading_split) | (F.col("line") > F.col("heading_line")))
+        lines.join(found, "source_file", "left")
+        .filter(F.col("heading_line").isNull() | (split != heading_split) | (F.col("line") > F.col("heading_line")))
         .filter((F.col("value") != heading) & (F.col("value") != ""))
     )
-    parts = F.split("value", sep)
+    headless = F.col("heading_line").isNull()
+    parts = F.when(~headless, F.split("value", re.escape(sep)))
+    beyond = F.nullif(F.array_join(F.slice(parts, len(header) + 1, F.greatest(F.size(parts), F.lit(1))), sep), F.lit(""))
     return body.select(
         *[F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(header)],
+        F.when(headless, F.col("value")).otherwise(beyond).alias("surplus"),
         F.element_at(F.split("source_file", "/"), -1).alias("source_file"),
     )
 

@@ -3,6 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.catalog import QUERIES
 from tallyspark.functions.kpis import REGISTRY
 from tallyspark.operators import kpi
 
@@ -64,13 +65,13 @@ def test_reach_does_not_multiply_spend(spark, fact, rows):
     assert rows(got, "campaign_id", "spend_usd", "avg_reach") == [(1, 40, 20.0)]
 
 
-def test_wide_join_keeps_one_row_per_distinct_fact_row(spark, fact, plan):
+def test_wide_join_keeps_one_row_per_fact_row(spark, fact, plan):
     reach = spark.createDataFrame([(1, Decimal(10)), (1, Decimal(30))], "campaign_id int, value decimal(18,4)")
     dated = fact.withColumn("date", F.lit("2024-01-01").cast("date"))
     calendar = dated.select(F.col("date").alias("calendar_date"), F.lit(1).alias("cal_week_of_year")).distinct()
     products = spark.createDataFrame([(10, "brand")], "product_id int, brand string")
     wide = kpi.wide_join(dated, [(products, "product_id", "left")], reach, plan, calendar, "date")
-    assert wide.count() == dated.distinct().count()
+    assert wide.count() == dated.count()
 
 
 def test_creative_tables(spark, rows):
@@ -89,3 +90,31 @@ def test_totals(fact, rows):
     assert rows(kpi.grand_total(rollup, ["clicks"])) == [(25,)]
     assert rows(kpi.window_totals(fact, F.col("tier") == "q", ["clicks"])) == [(5,)]
     assert rows(kpi.measures_by(fact, ["tier"], "product_id", ["clicks"])) == [("p", 10, 2, 20), ("q", 99, 2, 5)]
+
+
+def test_all_definitions(spark):
+    sums = {"clicks": 3, "impressions": 400, "spend_usd": 50, "spend_lc": 60, "fully_played": 20, "views": 80, "video_25": 64, "video_50": 40, "video_75": 24, "budget_usd": 200}
+    # What each KPI must be.
+    want = {
+        "ctr": 0.75, "ctr_fraction": 0.0075, "cpm_usd": 125, "cpm_lc": 150, "cpcv_usd": 2.5, "cpcv_lc": 3, "vtr_views": 0.2,
+        "vtr_views_pct": 20, "vtr_completions": 0.05, "vtr_completions_pct": 5, "vcr_views": 0.25, "vcr_views_pct": 25,
+        "vcr_impressions": 0.05, "vcr_impressions_pct": 5, "vcr25": 0.8, "vcr50": 0.5, "vcr75": 0.3, "spend_pacing": 25,
+    }
+    row = spark.createDataFrame([tuple(sums.values())], ", ".join(f"{k} bigint" for k in sums)).select(*[REGISTRY[k].column() for k in want]).first()
+    assert row.asDict() == pytest.approx(want) and set(want) == set(REGISTRY)
+
+
+def test_given_kpis_vary_between_groups(spark):
+    for name in ("m01_kpi_brand", "m01_kpi_campaign"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        kpis = [c for c in df.columns if c in REGISTRY]
+        counts = df.agg(*[F.countDistinct(F.round(c, 9)).alias(c) for c in kpis]).first()
+        assert all(counts[c] > 1 for c in kpis), counts
+
+
+def test_sums_meet_their_dim_once_per_key(fact, spark, rows):
+    dim = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "campaign_id int, country string")
+    dated = fact.withColumn("date", F.lit("2020-01-01").cast("date"))
+    through = kpi.measures_by(dated, ["country"], "date", ["clicks"], (dim, "campaign_id", "inner"))
+    joined = kpi.measures_by(dated.join(dim, "campaign_id"), ["country"], "date", ["clicks"])
+    assert rows(through) == rows(joined)

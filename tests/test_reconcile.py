@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 from decimal import Decimal
 
 import pytest
@@ -181,3 +182,59 @@ def test_small_reconciliations(spark, rows):
     assert rows(rec.relative_variance(df, "x", "y"), "g", "variance_pct") == [("a", 20.0), ("b", None)]
     assert rows(rec.ratio_of_ratios(df, ["g"], ("x", "y"), ("y", "x"))) == [("a", 1.2, pytest.approx(1 / 1.2), pytest.approx(1.44)), ("b", None, 0.0, None)]
     assert rows(rec.composed_key_reconcile(df, df.filter("g = 'a'"), ["g", F.lit("z")], ("x", "y")), "plan_name", "ratio") == [("a_z", 1.2), ("b_z", None)]
+
+
+@pytest.fixture(scope="module")
+def null_groups(spark):
+    plan = spark.createDataFrame([(None, 1, 10, 20), ("a", 2, 5, 5)], "g string, plan_line_id int, budget_usd int, budget_lc int")
+    actual = spark.createDataFrame([(None, 4, 10), ("a", 5, 5), (None, 1, 0)], "g string, spend_usd int, spend_lc int")
+    return plan, actual
+
+
+def test_null_groups_meet(null_groups, rows):
+    plan, actual = null_groups
+    assert rows(rec.plan_vs_actual(plan, actual, ["g"]), "g", "variance_usd") == [(None, 50.0), ("a", 100.0)]
+    assert rows(rec.fx_ratio_consistency(plan, actual, ["g"]), "g", "ratio") == [(None, 1.0), ("a", 1.0)]
+    assert rows(rec.yearly_sides(plan, actual, ["g"], only_zero=True)) == []
+    pairs = {"r": ("spend_usd", "budget_usd")}
+    for how in ("inner", "left", "full"):
+        assert rows(rec.compare_sums(actual, plan, ["g"], pairs, how), "g", "r") == [(None, 0.5), ("a", 1.0)]
+    assert rows(rec.plan_actual_join(actual, plan, ["g"], ["g"]), "g", "budget_usd") == [(None, 10), ("a", 5)]
+
+
+def test_a_table_equals_itself_with_null_keys(null_groups, rows):
+    _, actual = null_groups
+    got = rec.environment_compare(actual, actual, ["g"], ["spend_usd"])
+    assert rows(got, "g", "n_rows_delta", "spend_usd_delta") == [(None, 0, 0), ("a", 0, 0)]
+
+
+def test_composed_keys_with_null_parts_stay_apart(spark, rows):
+    a = spark.createDataFrame([("a", None, "b", 1), ("a", "b", None, 2)], "x string, y string, z string, v int")
+    b = spark.createDataFrame([("a", "b", None, 4)], "x string, y string, z string, w int")
+    assert rows(rec.composed_key_reconcile(a, b, ["x", "y", "z"], ("v", "w"))) == [("a_b", 1, None, None), ("a_b", 2, 4, 0.5)]
+
+
+def test_a_code_with_two_targets_keeps_one_row(spark, rows):
+    df = spark.createDataFrame([(1, "x", "m"), (2, "y", "m")], "id int, code string, stored string")
+    mapping = spark.createDataFrame([("X", "m"), ("x", "n"), ("Y", "m"), ("y", "m")], "code string, mapped string")
+    assert rows(rec.taxonomy_match(df, mapping, "code", "stored"), "id", "mapped", "outcome") == [(1, "m", "ambiguous"), (2, "m", "match")]
+
+
+def test_fanout_beyond_a_long(spark):
+    fact = spark.range(3_000_000).selectExpr("1 AS k")
+    right = spark.range(3_000_000).selectExpr("1 AS k")
+    out = rec.join_fanout(fact, [(f"s{i}", right, "k", "left") for i in range(3)]).orderBy("step").collect()
+    assert [int(r.rows_after) for r in out] == [9 * 10**12, 27 * 10**18, 81 * 10**24]
+
+
+def test_profile_tells_a_text_from_its_digest(spark, rows):
+    long = "x" * 100
+    df = spark.createDataFrame([(long,), (hashlib.sha256(long.encode()).hexdigest(),), (None,)], "v string")
+    assert rows(rec.profile_extract(df)) == [("v", 3, 1, 2)]
+
+
+def test_offsets_on_either_side(spark, rows):
+    data = [(1, 1, dt.date(2020, 1, d)) for d in (1, 2)] + [(1, 2, dt.date(2020, 1, d)) for d in (5, 6)]
+    df = spark.createDataFrame(data, "g int, side int, date date")
+    got = rec.expected_rows_vs_days(df, ["g", "side"], "date", F.min("date"), F.max("date"), F.col("side") - 1)
+    assert rows(got) == [(1, 2, 2, 3)]

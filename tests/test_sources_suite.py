@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from tallyspark.operators import keys
 from tallyspark.plans.suite import BREAKING, DATA_ISSUE, Check, Suite
+from tallyspark.session import configure
 from tallyspark.sources import extracts, scratch, sinks, tables
 
 
@@ -153,3 +154,20 @@ def test_suite(spark, rows):
         Check("x", "d", DATA_ISSUE, "f")
     with pytest.raises(ValueError):
         Check("x", "d", "minor", "f", rule=lambda: F.lit(True))
+
+
+def test_extracts_lose_no_line(spark, rows, tmp_path):
+    write(tmp_path / "good.txt", "top\n\nBrand|Clicks|Spend\na|1|2|3|4\nb|1|x\n")
+    write(tmp_path / "headless.txt", "top\nc|1|2\n")
+    got = extracts.load_extracts(spark, str(tmp_path), HEAD, sep="|")
+    assert rows(got, *HEAD, "surplus", "source_file") == [
+        (None, None, None, "c|1|2", "headless.txt"),
+        (None, None, None, "top", "headless.txt"),
+        ("a", "1", "2", "3|4", "good.txt"),
+        ("b", "1", "x", None, "good.txt"),
+    ]
+
+
+def test_settings_apply_to_a_running_session(spark):
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    assert configure(spark).conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"

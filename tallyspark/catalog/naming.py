@@ -292,3 +292,46 @@ def _(t: Views) -> DataFrame:
 def _(t: Views) -> DataFrame:
     markets = used(t).filter("region_desc = 'ASIA' AND platform = 'R'").select("part_id", "country_desc").distinct()
     return naming.compliance_rollup(flagged(t).join(markets, "part_id"), ["country_desc"], "name", pct=True)
+
+
+def _wide(name: str, entity: str, n: int, mode: str) -> None:
+    """The flag over ``n`` tokens of a part's name. Codes of numbers divisible by the token's modulus are not accepted."""
+    moduli = {f"token{i}": 40 + i for i in range(n)}
+    flag = " AND ".join(f"p_partkey % {m} <> 0" for m in moduli.values())
+
+    @query(name, f"SELECT p_partkey, CASE WHEN {flag} THEN 0 ELSE 1 END AS calculated_flag FROM part")
+    def _(t: Views) -> DataFrame:
+        code = {k: F.concat(F.col("p_brand"), F.lit("-"), F.lpad((F.col("p_partkey") % m).cast("string"), 3, "0")) for k, m in moduli.items()}
+        cells = [F.struct(F.lit(k).alias("attribute"), F.when(F.col("p_partkey") % m != 0, code[k]).alias("code")) for k, m in moduli.items()]
+        long = t.part.select(F.inline(F.array(*cells))).distinct().withColumn("entity", F.lit(entity))
+        written = F.lower if mode == "alnum_lower" else (lambda c: c)
+        tokens = t.part.select("p_partkey", *[written(c).alias(k) for k, c in code.items()])
+        return naming.compliance_flag(tokens, measured(clean_codebook(long)), entity, list(moduli), mode).select("p_partkey", "calculated_flag")
+
+
+_wide("n02_compliance_flag_10_tokens", "campaign", 10, "strict")
+_wide("n03_compliance_flag_19_tokens", "media_buy", 19, "alnum_lower")
+_wide("n04_compliance_flag_14_tokens", "creative", 14, "strict")
+
+
+@query(
+    "n16_flat_export_campaign",
+    f"""{with_views('perf', 'campaigns', 'countries')} SELECT DISTINCT campaign_id, campaign_desc, segment, country_desc, region_desc, status
+        FROM perf JOIN campaigns USING (campaign_id) LEFT JOIN countries USING (country_id) WHERE date >= DATE '2000-01-01'""",
+)
+def _(t: Views) -> DataFrame:
+    fact = t.perf.filter("date >= date '2000-01-01'").select("campaign_id", "status").distinct()
+    named = t.campaigns.join(t.countries, "country_id", "left").drop("country_id")
+    return naming.flat_export(fact, named, "campaign_id", [], ["campaign_id", "campaign_desc", "segment", "country_desc", "region_desc", "status"])
+
+
+@query(
+    "n16_flat_export_creative",
+    f"""{with_views('delivery', 'products', 'channels')} SELECT DISTINCT creative_id, channel_id, channel_desc, product_id, product, tier
+        FROM delivery JOIN products USING (product_id) LEFT JOIN channels USING (channel_id) WHERE date >= DATE '2000-01-01'""",
+)
+def _(t: Views) -> DataFrame:
+    fact = t.delivery.filter("date >= date '2000-01-01'").select("creative_id", "channel_id", "product_id", "tier").distinct()
+    named = (t.channels.select("channel_id", "channel_desc"), "channel_id", "left")
+    columns = ["creative_id", "channel_id", "channel_desc", "product_id", "product", "tier"]
+    return naming.flat_export(fact, t.products.select("product_id", "product"), "product_id", [named], columns)

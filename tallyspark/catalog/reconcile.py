@@ -495,3 +495,13 @@ def _(t: Views) -> DataFrame:
 )
 def _(t: Views) -> DataFrame:
     return rec.profile_extract(t.labelled)
+
+
+@query(
+    "x28_extract_shape",
+    f"""{with_views('labelled')}, p AS (SELECT lang, source, quality, toxic FROM labelled)
+        SELECT (SELECT count(*) FROM p) AS n_rows, CAST(4 AS BIGINT) AS n_columns,
+        (SELECT count(*) FROM p) - (SELECT count(*) FROM (SELECT DISTINCT * FROM p)) AS n_duplicates""",
+)
+def _(t: Views) -> DataFrame:
+    return rec.extract_shape(t.labelled.select("lang", "source", "quality", "toxic"))

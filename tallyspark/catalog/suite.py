@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import complete, keys, refs, rules
+from ..functions.columns import last_number_after, money
+from ..operators import complete, keys, kpi, naming, reconcile, refs, rules
 from ..plans.bindings import Views
 from ..plans.suite import BREAKING, DATA_ISSUE, Check, Suite, Tables
 from .registry import dbl, query
@@ -18,6 +19,12 @@ def _orphans(fact: str, key: str, dim: str, dim_key: str):
     return frame
 
 
+def _overspent(tables: Tables) -> DataFrame:
+    spent = tables["lineitem"].select(F.col("l_orderkey").alias("line"), money("l_extendedprice").alias("spent"))
+    planned = tables["orders"].select(F.col("o_orderkey").alias("line"), money("o_totalprice").alias("budget"))
+    return reconcile.compare_sums(spent, planned, ["line"], {"share": ("spent", "budget")}).filter("spent > budget")
+
+
 # id, domain, severity, table, condition (used as it is by Spark and DuckDB)
 RULES = [
     ("discount_range", "performance", DATA_ISSUE, "lineitem", "NOT (l_discount BETWEEN 0 AND 0.08)"),
@@ -63,6 +70,26 @@ FRAMES = [
         "document_labelled", "content", DATA_ISSUE, "documents", _orphans("documents", "doc_id", "labels", "doc_id"),
         "SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     ),
+    (
+        "plan_line_overspent", "investment", DATA_ISSUE, "orders", _overspent,
+        """SELECT count(*) FROM (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS s FROM lineitem GROUP BY 1)
+           JOIN orders ON l_orderkey = o_orderkey WHERE s > CAST(o_totalprice AS DECIMAL(18,4))""",
+    ),
+    (
+        "budget_per_campaign", "investment", BREAKING, "orders",
+        lambda t: kpi.sum_by(t["orders"].withColumn("budget", money("o_totalprice")), ["o_custkey"], ["budget"]).filter("budget <= 0"),
+        "SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey HAVING sum(CAST(o_totalprice AS DECIMAL(18,4))) <= 0)",
+    ),
+    (
+        "part_name_tokens", "naming", DATA_ISSUE, "part",
+        lambda t: naming.compliance_flag(t["part"], {"p_type": ["ECONOMY", "STANDARD"]}, "part", ["p_type"]).filter("calculated_flag = 1"),
+        "SELECT count(*) FROM part WHERE p_type NOT IN ('ECONOMY', 'STANDARD')",
+    ),
+    (
+        "page_has_number", "creative", DATA_ISSUE, "pages",
+        lambda t: t["pages"].filter(last_number_after("url", "/").isNull()),
+        "SELECT count(*) FROM pages WHERE NOT regexp_matches(coalesce(url, ''), '/[0-9]')",
+    ),
     (
         "label_quality_set", "content", BREAKING, "labels", lambda t: rules.not_in_set(t["labels"], "quality", [0, 1], nulls="fail"),
         "SELECT count(*) FROM labels WHERE quality IS NULL OR quality NOT IN (0, 1)",
@@ -84,9 +111,9 @@ def _suite_sql() -> str:
         (i, d, s, t, sql) for i, d, s, t, _, sql in FRAMES
     ]
     rows = " UNION ALL ".join(
-        f"""SELECT '{i}' AS check_id, '{d}' AS domain, '{s}' AS severity, '{t}' AS table_name, ({sql}) AS violations,
+        f"""SELECT CAST({n} AS INTEGER) AS number, '{i}' AS check_id, '{d}' AS domain, '{s}' AS severity, '{t}' AS table_name, ({sql}) AS violations,
             (SELECT count(*) FROM {t}) AS base_rows"""
-        for i, d, s, t, sql in counted
+        for n, (i, d, s, t, sql) in enumerate(counted, 1)
     )
     return f"""suite AS (SELECT *, {dbl('CAST(violations AS DOUBLE) / nullif(base_rows, 0)')} AS share, violations = 0 AS passed FROM ({rows}))"""
 
@@ -96,6 +123,19 @@ def _(t: Views) -> DataFrame:
     return Suite(CHECKS).run(t.all())
 
 
+def _domain(domain: str) -> None:
+    columns = "check_id, domain, severity, table_name, violations, base_rows, share, passed"
+    number = "CAST(row_number() OVER (ORDER BY number) AS INTEGER) AS number"
+
+    @query(f"o01_suite_{domain}", f"WITH {_suite_sql()} SELECT {number}, {columns} FROM suite WHERE domain = '{domain}'")
+    def _(t: Views) -> DataFrame:
+        return Suite(CHECKS).of(domain).run(t.all())
+
+
+for _name in dict.fromkeys(c.domain for c in CHECKS):
+    _domain(_name)
+
+
 @query(
     "o03_severity",
     f"""WITH {_suite_sql()} SELECT severity, domain, count(*) AS n_checks, count(*) FILTER (WHERE NOT passed) AS n_failed,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import any_of, col, days_inclusive, ratio
 from ..sources.scratch import measured
 from ..sources.tables import union_all
+from .keys import duplicate_row_count
 from .kpi import planned_summary, sum_by
 
 BUDGETS = ("budget_usd", "budget_lc")
@@ -357,6 +358,12 @@ def join_fanout(fact: DataFrame, steps: Sequence[tuple[str, DataFrame, str, str]
     return totals.select(F.inline(rows)).join(union_all(uniqueness), "step")
 
 
+def extract_shape(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, and rows that repeat an earlier one."""
+    found = duplicate_row_count({"extract": df})
+    return found.select("n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "n_duplicates")
+
+
 def profile_extract(df: DataFrame) -> DataFrame:
     """Rows, nulls and distinct values per column, in long form; nested columns are compared as text.
 

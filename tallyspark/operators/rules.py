@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, any_of, days_inclusive, differs, or_null, ratio
+from .reconcile import join_groups
 
 
 def out_of_range(df: DataFrame, column: str, low, high, nulls: str = "ignore") -> DataFrame:
@@ -70,20 +71,17 @@ def declared_vs_observed_span(
 ) -> DataFrame:
     """Declared start and end per grain against the first and last date of its data.
 
-    ``any`` reports one wrong end, ``both`` only spans with two wrong ends. The fact is read once: it is reduced
-    to one row per grain and declared span before the overall first and last dates are taken. The list of spans
-    that a grain carries is as long as it has distinct declared dates.
+    ``any`` reports one wrong end, ``both`` only spans with two wrong ends. The fact is reduced to one row per grain
+    and declared span; the first and last date of each grain are taken from these rows and joined back to them, so a
+    grain with many declared spans is never held in one row.
     """
     if mode not in ("any", "both"):
         raise ValueError("mode must be 'any' or 'both'")
     spans = df.groupBy(*grain, start, end).agg(F.min(date).alias("__lo"), F.max(date).alias("__hi"))
-    per_grain = spans.groupBy(*grain).agg(
-        F.min("__lo").alias("first_date"), F.max("__hi").alias("last_date"), F.collect_list(F.struct(start, end)).alias("__s")
-    )
+    per_grain = spans.groupBy(*grain).agg(F.min("__lo").alias("first_date"), F.max("__hi").alias("last_date"))
     wrong = [differs(start, "first_date"), differs(end, "last_date")]
-    return per_grain.select(*grain, "first_date", "last_date", F.inline("__s")).filter(
-        any_of(wrong) if mode == "any" else all_of(wrong)
-    )
+    both = join_groups(spans.select(*grain, start, end), per_grain, grain)
+    return both.select(*grain, "first_date", "last_date", start, end).filter(any_of(wrong) if mode == "any" else all_of(wrong))
 
 
 def status_vs_latest(df: DataFrame, status: str, end: str, key: str, active: str, inactive: str) -> DataFrame:

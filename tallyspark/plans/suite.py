@@ -48,8 +48,15 @@ class Check:
 class Suite:
     checks: Sequence[Check]
 
+    def of(self, domain: str) -> Suite:
+        """The checks of one domain, numbered anew."""
+        return Suite([c for c in self.checks if c.domain == domain])
+
     def run(self, tables: Tables) -> DataFrame:
-        """check_id, domain, severity, table_name, violations, base_rows, share, passed."""
+        """number (place in the suite, from 1), check_id, domain, severity, table_name, violations, base_rows, share, passed."""
+        numbers = {c.check_id: i for i, c in enumerate(self.checks, 1)}
+        if len(numbers) < len(self.checks):
+            raise ValueError("check ids must differ")
         by_table: dict[str, list[Check]] = defaultdict(list)
         for c in self.checks:
             by_table[c.table].append(c)
@@ -71,8 +78,9 @@ class Suite:
         per_table = union_all(parts).groupBy("table_name").agg(
             F.max("base_rows").alias("base_rows"), F.flatten(F.collect_list("rows")).alias("rows")
         )
+        number = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
         return per_table.select("table_name", "base_rows", F.inline("rows")).select(
-            "check_id", "domain", "severity", "table_name", "violations", "base_rows",
+            F.element_at(number, F.col("check_id")).alias("number"), "check_id", "domain", "severity", "table_name", "violations", "base_rows",
             ratio("violations", "base_rows").alias("share"), (F.col("violations") == 0).alias("passed"),
         )
 

@@ -10,8 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_of, col, days_inclusive, ratio
-from ..sources.scratch import measured
+from ..functions.columns import all_of, any_of, col, days_inclusive, ratio
+from ..sources.scratch import measured, scratch_path
 from ..sources.tables import union_all
 from .keys import duplicate_row_count
 from .kpi import planned_summary, sum_by
@@ -283,29 +283,35 @@ def expected_rows_vs_days(df: DataFrame, grain: Sequence[str], date: str, start:
     return per_group.filter(F.col("n_rows") != F.col("expected_rows"))
 
 
+def numbered(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """``df`` with row numbers from 0 on in the order of ``keys``.
+
+    A range shuffle puts the rows in order. They are written once, so that their places in the partitions hold for both
+    uses: the rows per partition, which are summed up in one place, and the rows themselves.
+    """
+    path = scratch_path(df.sparkSession, "numbered")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.withColumns({"__part": F.spark_partition_id(), "__place": place}).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+    starts = starts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    # One row per partition of the shuffle.
+    return rows.join(F.broadcast(starts), "__part").withColumn(out, F.col("__start") + F.col("__place")).drop("__part", "__place", "__start")
+
+
 def non_monotonic(df: DataFrame, grain: Sequence[str], date: str, order: Sequence[str], value: str) -> DataFrame:
     """Rows whose value is below the value of the row before, in the order (date, *order) within the grain.
 
-    ``order`` must break ties within a date. Rows are compared inside (grain, date); the first row of a date is
-    compared with the last row of the date before, which comes from one row per (grain, date). So one grain with
-    a large part of all rows is still spread over its dates. A null before or now is no fall.
+    ``order`` must break ties within a date. Rows are numbered in the order of the grain and meet the row before by a
+    join on the number: no task holds a grain or a day, however many rows it has. A null before or now is no fall.
     """
-    keys = [*grain, date]
-    last_of_date = df.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last"))
-    carried = last_of_date.select(
-        *keys, F.lag(F.col("__last.v")).over(Window.partitionBy(*grain).orderBy(date)).alias("__carried")
-    )
-    in_date = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("__rn", F.row_number().over(in_date)).withColumn("__before", F.lag(value).over(in_date))
-    same = [F.col(f"__k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
-    carried = carried.toDF(*[f"__k{i}" for i in range(len(keys))], "__carried")
-    joined = rows.join(carried, same)
-    previous = F.when(F.col("__rn") == 1, F.col("__carried")).otherwise(F.col("__before"))
-    return (
-        joined.withColumn("previous_value", previous)
-        .filter(F.col(value) < F.col("previous_value"))
-        .select(*df.columns, "previous_value")
-    )
+    rows = numbered(df, [*grain, date, *order], "__number")
+    names = {g: f"__g{i}" for i, g in enumerate(grain)}
+    before = rows.select((F.col("__number") + 1).alias("__number"), *[F.col(g).alias(n) for g, n in names.items()], F.col(value).alias("previous_value"))
+    same = all_of(F.col(g).eqNullSafe(F.col(n)) for g, n in names.items())
+    return rows.join(before, "__number").filter(same & (F.col(value) < F.col("previous_value"))).select(*df.columns, "previous_value")
 
 
 def daily_running_total(df: DataFrame, key: Sequence[str], date: str, value: str, out: str = "running_total") -> DataFrame:

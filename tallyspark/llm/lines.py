@@ -36,12 +36,17 @@ SIMILARITY = 0.8
 #: Lines of fewer different words are left alone: they are too short to be called copies.
 LEAST_WORDS = 5
 BUCKETS = 1 << 22
-#: Tables that are added up at a time.
-FAN_IN = 8
+#: Tables that are added up at a time, and the largest count.
+FAN_IN, MOST = 8, 2**16 - 1
 #: Sets with a prefix word up to which all are compared, and earliest sets that the members of larger groups meet first.
 GROUP, HUBS = 64, 8
 #: Occurrences of a word (by the table) from which its group is not brought together in one task.
 HOT = 1 << 14
+#: Bits by which texts are chosen before they are shuffled for verification.
+BITMAP = 1 << 24
+
+
+MEMBER = "struct<id: bigint, parity: bigint, size: bigint, at: bigint>"
 
 
 def _flat(held: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -54,24 +59,24 @@ def _flat(held: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
-    """For each bucket, 12 times the binary logarithm of its words' occurrences (0: one or none; 255 at most).
+    """For each bucket, 12 times the binary logarithm of its words' occurrences (0: one or none; counts end at MOST).
 
     Each task counts into a table of its own; tables are added up by tasks, FAN_IN at a time, until one is left.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS, np.int32)
+        table = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for _, held in slices(batch.column(0)):
                 h = Words([t.lower() for t in held], 1).hash[0]
                 np.add.at(table, (h >> np.uint64(42)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([table.tobytes()])], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.minimum(table, MOST).astype(np.uint16).tobytes()])], names=["part", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.uint32)
         for x in group.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.int32)
-        total = np.minimum(total, 2**31 - 1).astype(np.int32)
+            total += np.frombuffer(x.as_buffer(), np.uint16)
+        total = np.minimum(total, MOST).astype(np.uint16)
         return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int32()), "counts": pa.array([total.tobytes()])})
 
     schema = "part int, counts binary"
@@ -81,8 +86,8 @@ def rarity(rows: DataFrame) -> np.ndarray:
         groups = tables.groupBy(F.expr(f"part div {FAN_IN}").alias("group"))
         tables = staged(groups.applyInArrow(add, schema), "rarity")
     found = tables.first()
-    counts = np.frombuffer(found.counts, np.int32) if found else np.zeros(BUCKETS, np.int32)
-    return np.minimum(255, np.round(12 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    counts = np.frombuffer(found.counts, np.uint16) if found else np.zeros(BUCKETS, np.uint16)
+    return np.round(12 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
 class Sets:
@@ -161,10 +166,22 @@ def _passes(a: str, b: str) -> Column:
     return (F.least(x, y) * 5 >= F.greatest(x, y) * 4) & (ahead >= least - F.least(F.col(f"{a}.at"), F.col(f"{b}.at"))) & (apart * 9 <= both)
 
 
+def _perhaps(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows whose (doc, tie) may be among those of ``held``: all that are, and few others as long as the bitmap has room.
+
+    The bitmap has ``BITMAP`` bits, whatever the tables, so it can be broadcast; texts that it rules out are not shuffled.
+    """
+    place = F.pmod(F.xxhash64("doc", "tie"), F.lit(BITMAP))
+    number, bit = F.call_function("bitmap_bucket_number", place), F.call_function("bitmap_bit_position", place)
+    maps = held.select(number.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = rows.withColumns({"bucket": number, "bit": bit}).join(F.broadcast(maps), "bucket")
+    return marked.filter(F.getbit(byte, F.pmod(F.col("bit"), F.lit(8)).cast("int")) == 1).drop("bucket", "bit", "bits")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose sets have the similarity."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    # Staged, so that the planner knows its size: texts are shuffled only if many of them are wanted.
     held = staged(places.join(wanted, "id").groupBy("doc", "tie").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "wanted")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -178,7 +195,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame
         words = [np.unique(x).view(np.int64) for x in np.split(w.hash[0], np.cumsum(w.count)[:-1])] if column else []
         yield {"id": ids, "words": words}
 
-    words = by_batch(rows.join(held, ["doc", "tie"]).select("text", "wanted"), work, "id long, words array<bigint>")
+    words = by_batch(_perhaps(rows, held).join(held, ["doc", "tie"]).select("text", "wanted"), work, "id long, words array<bigint>")
     words = staged(words, "words")
     both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
     both = both.join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
@@ -201,29 +218,38 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     earliest = staged(lines.groupBy("id", "check").agg(F.min(place).alias("place")), "earliest")
     places = earliest.select("id", "place.*")
 
-    member = F.struct("id", "size", "parity", F.shiftright("key", 0).bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("at"))
+    place_bits = F.lit((1 << 20) - 1)
     keyed_lines = lines.select("id", "size", "parity", F.explode("keys").alias("key"))
-    spread = keyed_lines.select(F.shiftright("key", 20).alias("word"), member.alias("m"))
+    meta = F.shiftleft(F.col("size").cast("long"), 20).bitwiseOR(F.col("key").bitwiseAND(place_bits))
+    spread = keyed_lines.select(F.shiftright("key", 20).alias("word"), "id", "parity", meta.alias("meta"))
+    member = F.struct("id", "parity", F.shiftright("meta", 20).alias("size"), F.col("meta").bitwiseAND(place_bits).alias("at")).alias("m")
     hot_word = F.col("word") >= F.lit(1 << 42)
     by_word = Window.partitionBy("word")
     cold = spread.filter(~hot_word).repartition("word")
-    cold = cold.select("word", "m", F.min("m.id").over(by_word).alias("lo"), F.max("m.id").over(by_word).alias("hi"), F.count("*").over(by_word).alias("n"))
+    cold = cold.select("word", member, F.min("id").over(by_word).alias("lo"), F.max("id").over(by_word).alias("hi"), F.count("*").over(by_word).alias("n"))
     hot = spread.filter(hot_word)
-    seen = hot.groupBy("word").agg(F.min("m.id").alias("lo"), F.max("m.id").alias("hi"), F.count("*").alias("n"))
-    members = cold.union(hot.join(seen, "word").select("word", "m", "lo", "hi", "n")).filter("lo != hi").select("word", "m", "n")
-    members = staged(members, "members")
+    seen = hot.groupBy("word").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+    hot = hot.join(seen, "word").select("word", member, "lo", "hi", "n").filter("lo != hi")
+    cold = cold.filter("lo != hi").select("word", "m", "n")
 
-    small = members.filter(F.col("n") <= GROUP)
+    # Pairs of small groups and members of large ones come out of one pass, as both read the same shuffle.
+    small = cold.filter(F.col("n") <= GROUP)
     pairs = small.select("word", F.col("m").alias("x")).join(small.select("word", F.col("m").alias("y")), "word")
     pairs = pairs.filter((F.col("x.id") < F.col("y.id")) & _passes("x", "y"))
+    none = F.lit(None)
+    found = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), none.cast("long").alias("word"), none.cast(MEMBER).alias("m"))
+    for rest in (cold.filter(F.col("n") > GROUP), hot):
+        found = found.union(rest.select(none.cast("long").alias("a"), none.cast("long").alias("b"), "word", F.col("m").cast(MEMBER).alias("m")))
+    found = staged(found, "groups")
+    pairs, members = found.filter("word is null").select("a", "b"), found.filter("word is not null").select("word", "m")
     ids = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
 
-    large = members.filter(F.col("n") > GROUP).select("word", "m").distinct()
+    large = members.distinct()
     large = staged(large.join(earliest.select(F.col("id").alias("of"), "place"), F.col("m.id") == F.col("of")).select("word", "m", "place"), "large")
     rank = F.row_number().over(Window.partitionBy("word").orderBy("place"))
     hubs = large.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("word", F.col("m").alias("y"), F.col("place").alias("before"))
     met = large.select("word", F.col("m").alias("x"), "place").join(hubs, "word").filter((F.col("before") < F.col("place")) & _passes("x", "y"))
-    edges = staged(_verified(staged(pairs.select(*ids).union(met.select(*ids)).distinct(), "pairs"), rows, places), "similar")
+    edges = staged(_verified(staged(pairs.union(met.select(*ids)).distinct(), "pairs"), rows, places), "similar")
     settled = staged(_later(edges, earliest), "settled")
 
     open_ = large.join(settled, F.col("m.id") == F.col("id"), "left_anti").select("word", F.col("m").alias("x"), "place")

@@ -126,7 +126,32 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return langid.language_table(documents(spark, folder))
 
 
-@query("op9_decontamination")
+@query(
+    "op9_decontamination",
+    r"""
+    WITH items AS (
+        SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark
+    ), docs AS (
+        SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents
+    ), item AS (
+        SELECT item_id, n, o, array_to_string(w[o + 1:o + 5], ' ') AS g FROM (SELECT *, len(w) AS n, unnest(range(len(w) - 4)) AS o FROM items)
+    ), doc AS (
+        SELECT doc_id, size, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS g FROM (SELECT *, len(w) AS size, unnest(range(len(w) - 4)) AS pos FROM docs)
+    ), windows AS (
+        SELECT DISTINCT doc_id, item_id, greatest(pos - o, 0) AS s, least(n, size - greatest(pos - o, 0)) AS n FROM doc JOIN item USING (g)
+    ), parts AS (
+        SELECT v.doc_id, item_id, s, n, g, count(*) AS a, 0 AS b FROM windows v JOIN doc d ON v.doc_id = d.doc_id AND pos BETWEEN s AND s + n - 5 GROUP BY ALL
+        UNION ALL
+        SELECT doc_id, item_id, s, v.n, g, 0, count(*) FROM windows v JOIN item i USING (item_id) GROUP BY ALL
+    ), weights AS (
+        SELECT doc_id, item_id, s, n, g, sum(a) AS a, sum(b) AS b FROM parts GROUP BY ALL
+    ), alike AS (
+        SELECT doc_id, item_id, s, n, CAST(sum(least(a, b)) AS DOUBLE) / CAST(sum(greatest(a, b)) AS DOUBLE) AS similarity FROM weights GROUP BY ALL
+    )
+    SELECT doc_id, item_id, similarity, CAST(s AS INTEGER) AS start, CAST(n AS INTEGER) AS n_words FROM alike WHERE similarity >= 0.8
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s, n DESC) = 1
+    """,
+)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(documents(spark, folder), table(spark, folder, "benchmark"))
 

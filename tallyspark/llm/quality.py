@@ -93,7 +93,9 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, raw, target): how often the corpus and the trusted documents have each bucket."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = _words(marked, "text", "words", "hashes").select("good", F.explode(_grams("hashes")).alias("bucket"))
+    # The outer form, as the filter that the inner one brings along would work out the n-grams twice.
+    grams = _words(marked, "text", "words", "hashes").select("good", F.explode_outer(_grams("hashes")).alias("bucket"))
+    grams = grams.filter("bucket is not null")
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
 
 

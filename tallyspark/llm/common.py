@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.scratch import scratch_path
 
@@ -50,6 +51,19 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
+def smallest(rows: DataFrame, group: str, key: str, k: Column) -> DataFrame:
+    """``rows`` (group, key, ...) with ``rank``: of each group, the ``k`` rows with the smallest hash of the key.
+
+    Hashes are even, so twice the share that k rows need is ranked, and a hot group brings about 2 k rows together. The
+    rows of ``k`` per group (groups are few: languages, classes) bound the broadcast.
+    """
+    h, size = F.xxhash64(key), fresh(rows.columns, "size")
+    counts = rows.groupBy(group).agg(F.count("*").alias(size))
+    near = rows.join(F.broadcast(counts), group).filter(h.cast("double") / 2.0**64 + 0.5 <= 2 * k / F.col(size) + 1e-9)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(h, key))
+    return near.drop(size).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def fresh(columns: Iterable[str], name: str) -> str:
     """``name``, with underscores in front until no column has it (names are compared without case)."""
     taken = {c.lower() for c in columns}

@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import by_batch, fold, held_out, staged
+from .common import by_batch, fold, held_out, smallest, staged
 
 BUCKETS = 1 << 16
 #: Texts learned from, per language: those with the smallest hash of their id. Bounds the broadcast of chosen ids.
@@ -115,8 +114,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     language teach nothing.
     """
     rows = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (fold("doc_id") != 2))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = staged(rows.withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id").distinct(), "chosen")
+    chosen = staged(smallest(rows, "lang", "doc_id", F.lit(sample)).select("doc_id").distinct(), "chosen")
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter("lang is not null and text is not null")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:

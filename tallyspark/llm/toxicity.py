@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_batch, fold, held_out, staged
+from .common import by_batch, fold, held_out, smallest, staged
 
 #: Labelled rows learned from, per class: those with the smallest hash of their id, up to so many rows and bytes.
 SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1500}, 16_000_000
@@ -155,9 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, s
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     marks = marks.filter(fold("doc_id") != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ranked = marks.withColumn("rank", rank).filter(" or ".join(f"(toxic = {k} and rank <= {n})" for k, n in sample.items()))
-    chosen = staged(ranked, "labelled")
+    most = F.when(F.col("toxic") == 1, sample[1]).otherwise(sample[0])
+    chosen = staged(smallest(marks, "toxic", "doc_id", most), "labelled")
     totals = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("rank", F.xxhash64("text")))

@@ -8,11 +8,12 @@ document) has a Jaccard similarity of ``SIMILARITY`` or more with it.
 2. Each line lists its words from rare to common. Similar lines share a word in their prefixes, the first
    n - ceil(0.8 n) + 1 words; words that occur once in the corpus are left out. Lines that share a prefix word are
    compared by length, by the positions of the word, and by 64 parity bits of their words, none of which drops a
-   similar pair.
+   similar pair. Of two similar sets the smaller has the word even in its first n - ceil(8 n / 9) + 1 words, so only
+   words that are there for some line bring lines together.
 3. What is left is verified on the words themselves.
 
 Lines with equal sets are one set with an earliest place. In a group of more than ``GROUP`` sets with one prefix word,
-each is first compared with the group's earliest sets only; sets that resemble one of them are settled, and the others
+(counting those that have it so early) each is first compared with the group's earliest sets only; sets that resemble one of them are settled, and the others
 are compared with the whole group.
 """
 
@@ -155,6 +156,15 @@ def _lines(rows: DataFrame, rare) -> DataFrame:
     return by_batch(rows, work, "doc long, tie long, line int, id long, check int, size int, parity long, keys array<bigint>")
 
 
+def _early_places(size: Column) -> Column:
+    """The length of the shorter prefix that suffices for the smaller of two similar sets: n - ceil(8 n / 9) + 1 words."""
+    return size - F.floor((size * 8 + 8) / 9) + 1
+
+
+def _early(meta: str) -> Column:
+    return F.col(meta).bitwiseAND(F.lit((1 << 20) - 1)) < _early_places(F.shiftright(meta, 20))
+
+
 def _passes(a: str, b: str) -> Column:
     """The filters on two members of a group, as columns ``a`` and ``b``: length, position and parity."""
     x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
@@ -226,18 +236,20 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     hot_word = F.col("word") >= F.lit(1 << 42)
     by_word = Window.partitionBy("word")
     cold = spread.filter(~hot_word).repartition("word")
-    cold = cold.select("word", member, F.min("id").over(by_word).alias("lo"), F.max("id").over(by_word).alias("hi"), F.count("*").over(by_word).alias("n"))
+    cold = cold.select("word", member, F.min("id").over(by_word).alias("lo"), F.max("id").over(by_word).alias("hi"), F.count_if(_early("meta")).over(by_word).alias("n"))
     hot = spread.filter(hot_word)
-    seen = hot.groupBy("word").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    hot = hot.join(seen, "word").select("word", member, "lo", "hi", "n").filter("lo != hi")
-    cold = cold.filter("lo != hi").select("word", "m", "n")
+    seen = hot.groupBy("word").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if(_early("meta")).alias("n"))
+    hot = hot.join(seen, "word").select("word", member, "lo", "hi", "n").filter("lo != hi and n > 0")
+    cold = cold.filter("lo != hi and n > 0").select("word", "m", "n")
 
     # Pairs of small groups and members of large ones come out of one pass, as both read the same shuffle.
     small = cold.filter(F.col("n") <= GROUP)
-    pairs = small.select("word", F.col("m").alias("x")).join(small.select("word", F.col("m").alias("y")), "word")
-    pairs = pairs.filter((F.col("x.id") < F.col("y.id")) & _passes("x", "y"))
+    first_part = small.select("word", F.col("m").alias("x")).filter(F.col("x.at") < _early_places(F.col("x.size")))
+    pairs = first_part.join(small.select("word", F.col("m").alias("y")), "word")
+    larger = (F.col("y.size") > F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.id") != F.col("x.id")))
+    pairs = pairs.filter(larger & _passes("x", "y"))
     none = F.lit(None)
-    found = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), none.cast("long").alias("word"), none.cast(MEMBER).alias("m"))
+    found = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), none.cast("long").alias("word"), none.cast(MEMBER).alias("m"))
     for rest in (cold.filter(F.col("n") > GROUP), hot):
         found = found.union(rest.select(none.cast("long").alias("a"), none.cast("long").alias("b"), "word", F.col("m").cast(MEMBER).alias("m")))
     found = staged(found, "groups")

@@ -10,8 +10,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_all_are_registered():
-    names = sorted(n for n in entry.queries() if n.startswith("op") or n == "pipeline")
-    assert [n.split("_")[0] for n in names] == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    names = [n.split("_")[0] for n in entry.queries() if n.startswith("op") or n == "pipeline"]
+    assert sorted(names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
     assert set(queries.SQL) <= set(entry.oracle_sql())
 
 

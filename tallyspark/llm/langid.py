@@ -95,10 +95,11 @@ class Model:
         return [self.text(b) for b in np.split(buckets, np.cumsum(counts)[:-1])]
 
 
-def _slices(column: pa.Array) -> Iterator[list[str | None]]:
+def _slices(column: pa.Array | pd.Series) -> Iterator[list[str | None]]:
     held, size = [], 0
     for value in column:
-        held.append(value.as_py())
+        text = value.as_py() if isinstance(value, pa.Scalar) else value
+        held.append(text if isinstance(text, str) else None)
         size += len(held[-1] or "")
         if size >= SLICE:
             yield held
@@ -162,7 +163,7 @@ def accepted(spark: SparkSession, text: Column, model: Model) -> Column:
 
     @F.pandas_udf(T.BooleanType())
     def keep(column: pd.Series) -> pd.Series:
-        return pd.Series([x[3] for held in _slices(pa.array(column, pa.string())) for x in shared.value.texts(held)], dtype=bool)
+        return pd.Series([x[3] for held in _slices(column) for x in shared.value.texts(held)], dtype=bool)
 
     return keep(text)
 

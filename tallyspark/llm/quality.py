@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import GAP, staged
 
 BUCKETS = 1 << 14
-#: Trusted documents used at most; they are the rows with the smallest hash of their id. Bounds the broadcast of ids.
-TRUSTED = 20_000
+#: Bits by which rows that may be trusted are told from those that are not, before their texts are shuffled.
+BITMAP = 1 << 24
+#: Cells of a score of 1, by which the place of the threshold is counted before scores are compared.
+CELLS = 1024
 TRUSTED_LOSS = 0.01
 SMOOTHING = 1.0
 GAPS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -84,21 +86,61 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """Ids of documents labelled as good: all, or the ``limit`` ones with the smallest hash."""
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled as good."""
+    return labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+
+
+def _marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, good): 1 for the rows whose id is in ``trusted``, null for the others.
+
+    The bitmap of the ids has ``BITMAP`` bits, whatever the tables, so it can be broadcast; rows that it rules out are
+    not shuffled, and the join decides about the others.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    spot = {"spot": F.call_function("bitmap_bucket_number", place), "bit": F.call_function("bitmap_bit_position", place)}
+    maps = trusted.withColumns(spot).groupBy("spot").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    perhaps = F.col("doc_id").isNotNull() & F.coalesce(F.getbit(byte, F.pmod(F.col("bit"), F.lit(8)).cast("int")) == 1, F.lit(False))
+    rows = docs.select("doc_id", "text").withColumns(spot).join(F.broadcast(maps), "spot", "left").select("doc_id", "text", perhaps.alias("perhaps"))
+    found = rows.filter("perhaps").join(trusted.withColumn("good", F.lit(1)), "doc_id", "left").select("text", "good")
+    return found.union(rows.filter("not perhaps").select("text", F.lit(None).cast("int").alias("good")))
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, raw, target): how often the corpus and the trusted documents have each bucket."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
     # The outer form, as the filter that the inner one brings along would work out the n-grams twice.
-    grams = _words(marked, "text", "words", "hashes").select("good", F.explode_outer(_grams("hashes")).alias("bucket"))
+    grams = _words(_marked(docs, trusted), "text", "words", "hashes").select("good", F.explode_outer(_grams("hashes")).alias("bucket"))
     grams = grams.filter("bucket is not null")
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
 
 
+def score_quantile(rows: DataFrame, q: float) -> float | None:
+    """The exact quantile of ``score`` as ``percentile`` has it, without all scores in one task; None without rows.
+
+    Rows are counted by cells of the score, and only the scores of the cells around the quantile are compared.
+    """
+    rows = rows.select("score", F.floor(F.col("score") * CELLS).alias("cell"))
+    counts = sorted((r.cell, r.n) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect())
+    if not counts:
+        return None
+    at = q * (sum(n for _, n in counts) - 1)
+    ranks = math.floor(at), math.ceil(at)
+    below, cells, before = 0, [], 0
+    for cell, n in counts:
+        if below <= ranks[1] and below + n > ranks[0]:
+            before = before if cells else below
+            cells.append(cell)
+        below += n
+    near = rows.filter(F.col("cell").between(cells[0], cells[-1])).groupBy("score").agg(F.count("*").alias("n")).collect()
+    ends, total = [], before
+    for r in sorted(near, key=lambda r: r.score):
+        total += r.n
+        ends.append((total, r.score))
+    low, high = (next(x for end, x in ends if end > k) for k in ranks)
+    return low if low == high else (ranks[1] - at) * low + (at - ranks[0]) * high
+
+
 def log_ratios(counts: DataFrame) -> list[float]:
     """The log ratio of each bucket; the model is BUCKETS numbers, whatever the corpus."""
     found = {r.bucket: (r.target, r.raw) for r in counts.collect()}
@@ -127,7 +169,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = staged(trusted_ids(labels), "trusted")
     ratios = log_ratios(gram_counts(docs, trusted))
     out = staged(scored(docs.select("doc_id", "text"), ratios).drop("text"), "scores")
-    threshold = out.join(F.broadcast(trusted), "doc_id", "left_semi").agg(F.percentile("score", TRUSTED_LOSS)).first()[0]
+    threshold = score_quantile(out.join(trusted, "doc_id", "left_semi"), TRUSTED_LOSS)
     passed = F.lit(True) if threshold is None else F.col("score") >= threshold
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & passed)
 

@@ -95,3 +95,24 @@ def test_edges(spark):
     assert quality.quality_table(df.limit(0), labels).count() == 0
     out = quality.quality_table(df, labels.limit(0)).collect()
     assert Counter((r.doc_id, r.kept) for r in out) == Counter([(1, True), (1, True), (2, True), (3, False), (None, False)])
+
+
+def test_all_trusted_rows_count(spark):
+    n = 20_300
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("w%d x%d y", F.col("id") % 97, F.col("id") % 89).alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "w1 x1 y"), (n, "w2 z")], "doc_id long, text string"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).union(spark.createDataFrame([(n, 0), (None, 1)], "doc_id long, quality int"))
+    trusted = quality.trusted_ids(labels)
+    counts = quality.gram_counts(docs, trusted).agg(F.sum("raw"), F.sum("target")).first()
+    assert tuple(counts) == (5 * n + 5 + 3, 5 * n)
+    out = quality.quality(docs, labels)
+    want = out.filter(f"doc_id < {n}").agg(F.percentile("score", quality.TRUSTED_LOSS)).first()[0]
+    assert quality.score_quantile(out.join(trusted, "doc_id", "left_semi"), quality.TRUSTED_LOSS) == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.01, 0.37, 0.5, 1.0])
+def test_quantile(spark, q):
+    for scores in ([0.25], [-1.5, 2.0], [i * i % 101 / 7 - 3 for i in range(230)], [0.1] * 50 + [0.1001] * 50):
+        df = spark.createDataFrame([(x,) for x in scores], "score double")
+        assert quality.score_quantile(df, q) == pytest.approx(df.agg(F.percentile("score", q)).first()[0], abs=1e-12)
+    assert quality.score_quantile(df.limit(0), q) is None

@@ -6,7 +6,10 @@
 2. Each window has a SimHash of 64 bits over its shingles. Fingerprints are cut into 4 blocks of 16 bits; fingerprints
    that differ in at most 15 bits agree in one block up to 3 bits, so items are filed under every value within 3 bits
    of each of their blocks, and a window finds all items within the radius by its own 4 blocks.
-3. Window and item are compared exactly: the shingles' weights are how often each has them, and the similarity is the
+3. Similar pairs beyond the radius are found by prefixes: a window that is like an item has one of the item's first
+   m - ceil(0.8 m) + 1 of m shingles, in any fixed order. They are ordered by how many places of the benchmark have them,
+   so a passage that many items share brings only those together that consist of little else.
+4. Window and item are compared exactly: the shingles' weights are how often each has them, and the similarity is the
    sum of the smaller weights over the sum of the larger ones.
 
 All of it is DataFrame functions. Words are lower-cased runs of letters and digits.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import staged
 
@@ -72,6 +76,14 @@ def _within(items: DataFrame) -> DataFrame:
     return found.drop("last")
 
 
+def _prefixes(items: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
+    """(item, h, m): of each item's ``m`` shingles the rarest, one of which any text of the similarity has."""
+    common = places.groupBy("h").agg(F.count("*").alias("c"))
+    rows = items.select("item", F.size("shingles").alias("m"), F.explode("shingles").alias("h")).join(common, "h")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("c", "h"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("m") - F.ceil(F.col("m") * similarity - 1e-9) + 1).select("item", "h", "m").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): documents that hold a window like an item, with the best window.
 
@@ -97,23 +109,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     # fit, windows are cut as the shingles are met; else texts with windows are found first and read again.
     kept = ["shingles"] if few else []
     spots = hashed.select("doc_id", "row", "size", *kept, F.posexplode_outer("shingles").alias("pos", "h")).filter("h is not null")
-    met = spots.join(F.broadcast(places) if few else places, "h").select("doc_id", "row", start, end.alias("end"), *kept)
+    met = spots.join(F.broadcast(places) if few else places, "h").select("doc_id", "row", "size", start, end.alias("end"), *kept)
     met = met.withColumn("n", F.col("end") - F.col("start")).filter(f"n >= {SHINGLE}")
     if few:
-        cut = met.select("doc_id", "row", "start", "n", window)
+        cut = met.select("doc_id", "row", "size", "start", "n", window)
     else:
         held = met.select("doc_id", "row", "start", "n").distinct().groupBy("doc_id", "row")
         held = staged(held.agg(F.collect_list(F.struct("start", "n")).alias("windows")), "windows")
-        cut = hashed.join(held, ["doc_id", "row"]).select("doc_id", "row", "shingles", F.explode("windows").alias("w"))
-        cut = cut.select("doc_id", "row", "w.start", "w.n", "shingles").select("doc_id", "row", "start", "n", window)
+        cut = hashed.join(held, ["doc_id", "row"]).select("doc_id", "row", "size", "shingles", F.explode("windows").alias("w"))
+        cut = cut.select("doc_id", "row", "size", "w.start", "w.n", "shingles").select("doc_id", "row", "size", "start", "n", window)
     marked = staged(cut.dropDuplicates(["doc_id", "row", "start", "n"]).withColumn("fp", _simhash("shingles")), "marked")
 
-    blocks = marked.select("doc_id", "row", "start", "n", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    blocks = marked.select("doc_id", "row", "size", "start", "n", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     blocks = blocks.withColumn("value", _block("fp", F.col("block")))
     filed = _within(items.select("item", "fp")).withColumnRenamed("fp", "item_fp")
     pairs = blocks.join(filed, ["block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     key = ["doc_id", "row", "start", "n", "item"]
-    pairs = pairs.select(*key).distinct()
+
+    rare = staged(_prefixes(items, places, similarity), "prefixes")
+    rare = F.broadcast(rare) if rare.count() <= BROADCAST_SHINGLES else rare
+    met = marked.select(*key[:4], "size", F.explode(F.array_distinct("shingles")).alias("h")).join(rare, "h")
+    # A window has at most as many shingles as an item of its size, and similar ones have about as many.
+    long_enough = F.col("n") - (SHINGLE - 1) >= F.col("m") * similarity - 1e-9
+    pairs = pairs.select(*key, "size").union(met.filter(long_enough).select(*key, "size")).distinct()
+    # Windows of other items' sizes are not this item's, unless the text ends there.
+    sizes = items.select(F.col("item").alias("of"), F.col("n").alias("item_n"))
+    pairs = pairs.join(sizes, F.col("item") == F.col("of"))
+    pairs = staged(pairs.filter(F.col("n") == F.least("item_n", F.col("size") - F.col("start"))).select(*key), "pairs")
 
     mine = pairs.join(marked.select("doc_id", "row", "start", "n", "shingles"), key[:4]).select(*key, F.explode("shingles").alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     theirs = pairs.join(items.select("item", "shingles"), "item").select(*key, F.explode("shingles").alias("h"), F.lit(0).alias("a"), F.lit(1).alias("b"))

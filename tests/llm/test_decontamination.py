@@ -94,3 +94,34 @@ def test_all_fingerprints_within_the_radius_are_found(spark):
     assert len(filed) == d.BLOCKS * 697
     for x in near:
         assert any((k, x >> 16 * k & 0xFFFF) in filed for k in range(4))
+
+
+def test_pairs_beyond_the_radius_are_found(spark):
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items, docs = [], []
+    for k in range(400):
+        w = r.choices(vocabulary, k=49)
+        items.append((k, " ".join(w)))
+        w[24] = "changed"
+        docs.append((k, " ".join(r.choices(vocabulary, k=20) + w + r.choices(vocabulary, k=20))))
+    want = plain(docs, items)
+    sd, si = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in d.leaks(sd, si).collect()}
+    assert got == pytest.approx(want) and len(want) == 400
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_crowded_items(spark, monkeypatch, limit):
+    monkeypatch.setattr(d, "BROADCAST_SHINGLES", limit)
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(500)]
+    shared = r.choices(vocabulary, k=30)
+    items = [(k, " ".join(shared + r.choices(vocabulary, k=r.randrange(4, 12)))) for k in range(60)]
+    docs = [(k, " ".join(r.choices(vocabulary, k=20) + t.split()[: r.randrange(30, 42)] + r.choices(vocabulary, k=20))) for k, t in items]
+    docs.append((60, "a b c d e f g h " + " ".join(["z"] * 36)))
+    items.append((60, "a b c d e f g h " + " ".join(["z"] * 36)))
+    want = plain(docs, items)
+    sd, si = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in d.leaks(sd, si).collect()}
+    assert got == pytest.approx(want) and len(want) > 20

@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import by_batch, fold, held_out, smallest, staged
 
-#: Labelled rows learned from, per class: those with the smallest hash of their id, up to so many rows and bytes.
-SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1500}, 16_000_000
+#: Labelled rows learned from, per class: those with the smallest hash of their id, up to so many rows and bytes; a
+#: text that does not fit into the bytes left is passed over.
+SAMPLE, SAMPLE_BYTES = {0: 4000, 1: 2000}, 24_000_000
 #: Lengths of the beginnings of words that are features beside the word.
 STEMS = (4, 5, 6, 7, 8)
 #: Features enter if they are in so many documents of the sample and go with its labels this closely (likelihood-ratio
@@ -148,6 +148,25 @@ def fit(texts: list[str], labels: list[int], weights: np.ndarray) -> Model:
     return Model({f: float(x) for f, x in zip(number, theta) if abs(x) > 1e-3}, bias)
 
 
+def fitting(sizes: list[dict], most: int) -> list[tuple[int, int, int]]:
+    """(toxic, rank, h) of the texts that are learned from: each class's, by rank, that fit into what the ones before
+    leave of ``most`` bytes. If none of a class fits, its smallest is taken.
+
+    ``sizes`` has toxic, rank, h, bytes and n (rows of that text).
+    """
+    out = []
+    for label in (0, 1):
+        rows = sorted((s for s in sizes if s["toxic"] == label), key=lambda s: (s["rank"], s["h"]))
+        left, taken = most, []
+        for s in rows:
+            if s["bytes"] * s["n"] <= left:
+                left -= s["bytes"] * s["n"]
+                taken.append(s)
+        taken = taken or sorted(rows, key=lambda s: s["bytes"] * s["n"])[:1]
+        out += [(label, s["rank"], s["h"]) for s in taken]
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the labelled rows that are not held out: of each class, the rows with the smallest hash of their id.
 
@@ -159,9 +178,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, s
     chosen = staged(smallest(marks, "toxic", "doc_id", most), "labelled")
     totals = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    before = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("rank", F.xxhash64("text")))
-    rows = rows.withColumn("bytes", before).filter((F.col("bytes") <= sample_bytes) | (F.col("rank") == 1))
-    found = rows.select("text", "toxic", "rank").toArrow()
+    rows = rows.select("text", "toxic", "rank", F.xxhash64("text").alias("h"))
+    sizes = rows.groupBy("toxic", "rank", "h").agg(F.max(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).toArrow()
+    fits = rows.sparkSession.createDataFrame(fitting(sizes.to_pylist(), sample_bytes), "toxic int, rank int, h long")
+    found = rows.join(F.broadcast(fits), ["toxic", "rank", "h"]).select("text", "toxic", "rank").toArrow()
     order = np.lexsort((found.column("rank").to_numpy(), found.column("toxic").to_numpy()))
     texts, y = found.column("text").to_pylist(), found.column("toxic").to_numpy()
     count = np.bincount(y, minlength=2)

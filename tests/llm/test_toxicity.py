@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import toxicity
 from tallyspark.llm.common import documents, table
@@ -72,3 +73,22 @@ def test_held_out_rows_teach_nothing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i in ids)) for i in range(400)] + [(None, 1)], "doc_id long, toxic int")
     assert not toxicity.learn(docs, labels).weights
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = {i: "plain vile thing" if i % 2 else "plain mild thing" for i in ids}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    whole = toxicity.learn(docs, labels).weights
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    first = [min((i for i in ids if i % 2 == k), key=hashes.get) for k in (0, 1)]
+    long = docs.withColumn("text", F.when(F.col("doc_id").isin(first), F.concat("text", F.lit(" plain" * 10_000))).otherwise(F.col("text")))
+    m = toxicity.learn(long, labels, sample_bytes=20_000)
+    assert whole and m.weights and m.score("plain vile thing") > 0.9 and m.score("plain mild thing") < 0.1
+
+
+def test_texts_that_fit():
+    rows = [{"toxic": 0, "rank": k, "h": k, "bytes": b, "n": 1} for k, b in [(1, 5), (2, 90), (3, 4), (4, 2), (5, 1)]]
+    rows += [{"toxic": 1, "rank": k, "h": k, "bytes": b, "n": 1} for k, b in [(1, 90), (2, 80)]]
+    assert toxicity.fitting(rows, 10) == [(0, 1, 1), (0, 3, 3), (0, 5, 5), (1, 2, 2)]

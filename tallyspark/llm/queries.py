@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, lines, packing, quality, sharding, simhash, substrings, tokens, toxicity
+from . import decontamination, langid, lines, lm, packing, quality, search, sharding, simhash, substrings, tokens, toxicity, trie
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,83 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
+@query(
+    "op11_prefix_trie",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+        SELECT conv_id, xor(list_reduce(
+            list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))
+        ), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+    ), parts AS (
+        SELECT c.conv_id, 0 AS part, t, d, text FROM convs c JOIN turns s ON s.conv_id = c.conv_id - c.conv_id % 20 AND t <= h
+        UNION ALL SELECT c.conv_id, 1, t, d, text FROM convs c JOIN turns s ON s.conv_id = c.conv_id AND t > h
+    ), paths AS (
+        SELECT conv_id, row_number() OVER w AS depth, string_agg(d, '') OVER w AS path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+        FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, t ROWS UNBOUNDED PRECEDING)
+        UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+    ), nodes AS (
+        SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, max(words) AS words FROM paths GROUP BY path, depth
+    ), children AS (
+        SELECT path[:-65] AS path, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY 1
+    ), below AS (
+        SELECT p.path, sum(CAST(k IS NULL AS INTEGER)) AS leaves, sum((n - 1) * v.words) AS saved
+        FROM nodes v LEFT JOIN children c ON c.path = v.path JOIN paths p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.path
+    ), ends AS (
+        SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+        FROM (SELECT conv_id, path FROM paths QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY path
+    )
+    SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(k, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+           CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM nodes v JOIN below USING (path) LEFT JOIN children USING (path) LEFT JOIN ends USING (path)
+    LEFT JOIN nodes u ON v.depth > 0 AND u.path = v.path[:-65]
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie_table(table(spark, folder, "conversations"))
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+    WITH item AS (
+        SELECT item_id, t, count(*) AS q FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL
+    ), found AS (
+        SELECT r, doc_id, t, count(*) AS tf FROM (
+            SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)) GROUP BY ALL
+    ), doc AS (
+        SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM found GROUP BY r
+    ), corpus AS (
+        SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM doc
+    ), weight AS (
+        SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM found, corpus GROUP BY t, docs
+    ), scored AS (
+        SELECT item_id, r, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+        FROM item JOIN weight USING (t) JOIN found USING (t) JOIN doc USING (r), corpus GROUP BY ALL
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 20
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search_table(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+@query("op13_lm_scoring")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.scores(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

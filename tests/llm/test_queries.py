@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    assert sorted(names) == sorted([f"op{i}" for i in range(1, 14)] + ["pipeline"])
     assert set(queries.SQL) <= set(entry.oracle_sql())
 
 

@@ -13,8 +13,9 @@ from ..operators.kpi import sum_by
 from ..operators.scope import filter_years
 from ..plans.bindings import Views, with_views
 from ..sources import extracts
-from .registry import big, counts, dbl, query, rat, raw_ratio, rounded, sums, yr
-from .sources import EXTRACT_HEADING, write_extracts
+from ..sources.scratch import scratch_path
+from .registry import big, counts, day, dbl, query, rat, raw_ratio, rounded, sums, yr
+from .sources import write_with_preamble
 
 
 def with_year(df: DataFrame, date: str) -> DataFrame:
@@ -337,8 +338,17 @@ SPREAD_SQL = f"""{with_views('planned')}, d AS (SELECT priority, CAST(unnest(gen
 
 @query("x19_spread_daily", f"{SPREAD_SQL} SELECT day, round(sum(daily), 2) AS daily_amount FROM d GROUP BY 1")
 def _(t: Views) -> DataFrame:
-    days = rec.spread_daily(t.planned.select("plan_start", "plan_end", "budget_usd"), "plan_start", "plan_end", "budget_usd")
-    return days.groupBy("day").agg(F.round(F.sum("daily_amount"), 2).alias("daily_amount"))
+    days = rec.daily_totals(t.planned, "plan_start", "plan_end", "budget_usd")
+    return days.select("day", F.round("daily_amount", 2).alias("daily_amount"))
+
+
+@query(
+    "x19_daily_by_grain",
+    f"""{SPREAD_SQL.replace('SELECT priority', 'SELECT campaign_id, priority')} SELECT campaign_id, priority, day, round(sum(daily), 2) AS daily_amount FROM d GROUP BY ALL""",
+)
+def _(t: Views) -> DataFrame:
+    days = rec.daily_totals(t.planned, "plan_start", "plan_end", "budget_usd", ["campaign_id", "priority"])
+    return days.withColumn("daily_amount", F.round("daily_amount", 2))
 
 
 @query(
@@ -440,21 +450,55 @@ def _(t: Views) -> DataFrame:
     return rec.running_total(orders, ["o_custkey"], "order_date", "total")
 
 
-@query(
-    "x26_extract_vs_table",
-    f"""WITH a AS (SELECT c_mktsegment AS channel, c_nationkey AS market, count(*) AS n_rows_a, sum(CAST(c_acctbal AS DECIMAL(18,4))) AS spend_a FROM customer GROUP BY 1, 2),
-             b AS (SELECT c_mktsegment AS channel, c_nationkey AS market, count(*) AS n_rows_b, sum(CAST(c_acctbal AS DECIMAL(18,4))) AS spend_b FROM customer
-                   WHERE c_acctbal >= 0 GROUP BY 1, 2)
-        SELECT channel, market, n_rows_a, n_rows_b, {dbl('spend_a')} AS spend_a, {dbl('spend_b')} AS spend_b, coalesce(n_rows_a, 0) - coalesce(n_rows_b, 0) AS n_rows_delta,
-        {dbl('coalesce(spend_a, 0) - coalesce(spend_b, 0)')} AS spend_delta FROM a FULL JOIN b USING (channel, market)""",
-)
-def _(t: Views) -> DataFrame:
-    raw = extracts.load_extracts(t.spark, f"{write_extracts(t)}/*/*/*.txt", EXTRACT_HEADING)
-    mapping = {"channel": ("Segment", "string"), "market": ("Market", "int"), "spend": ("Balance", "decimal(18,4)")}
-    table = t.customer.filter("c_acctbal >= 0").select(
-        F.col("c_mktsegment").alias("channel"), F.col("c_nationkey").alias("market"), money("c_acctbal").alias("spend")
-    )
-    return rec.environment_compare(extracts.conform_extract(raw, mapping), table, ["channel", "market"], ["spend"])
+PLAN_LEVELS = {
+    "line": ["country", "budget_year", "brand", "plan_name", "media", "media_type", "start_date", "end_date"],
+    "country_year": ["country", "budget_year"],
+}
+PLAN_HEADING = ["Country", "Budget Year", "Brand", "Plan Name", "Media", "Media type", "Start Date", "End Date", "Cost to Client", "Cost to Client USD"]
+
+
+def _levels_sql() -> str:
+    """One GROUP BY per level and side."""
+    kinds = {"country": "INTEGER", "budget_year": "INTEGER", "start_date": "DATE", "end_date": "DATE"}
+    columns = PLAN_LEVELS["line"]
+    ctes, rows = [], []
+    for level, grain in PLAN_LEVELS.items():
+        for tag, where in (("a", "TRUE"), ("b", "o_orderstatus <> 'P'")):
+            ctes.append(
+                f"""{level}_{tag} AS (SELECT {', '.join(grain)}, count(*) AS n_rows_{tag}, sum(cost) AS cost_{tag}, sum(cost_usd) AS cost_usd_{tag}
+                    FROM plan WHERE {where} GROUP BY {', '.join(grain)})"""
+            )
+        picked = ", ".join(f"coalesce(a.{c}, b.{c}) AS {c}" if c in grain else f"CAST(NULL AS {kinds.get(c, 'VARCHAR')}) AS {c}" for c in columns)
+        sums = ", ".join(
+            f"{dbl(f'{m}_a')} AS {m}_a, {dbl(f'{m}_b')} AS {m}_b, {dbl(f'coalesce({m}_a, 0) - coalesce({m}_b, 0)')} AS {m}_delta" for m in ("cost", "cost_usd")
+        )
+        n_rows = f"{big('n_rows_a')} AS n_rows_a, {big('n_rows_b')} AS n_rows_b, {big('coalesce(n_rows_a, 0) - coalesce(n_rows_b, 0)')} AS n_rows_delta"
+        same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in grain)
+        rows.append(f"SELECT '{level}' AS level, {picked}, {n_rows}, {sums} FROM {level}_a a FULL JOIN {level}_b b ON {same}")
+    plan = f"""plan AS (SELECT o_orderstatus, c_nationkey AS country, {yr('o_orderdate')} AS budget_year, c_mktsegment AS brand, 'Plan "' || c_name || '"' AS plan_name,
+        o_orderpriority AS media, o_orderstatus || chr(9) || o_orderpriority AS media_type, {day('o_orderdate')} AS start_date, CAST(CAST(o_orderdate AS DATE) + 30 AS DATE) AS end_date,
+        CAST(o_totalprice * CAST(1.1 AS DOUBLE) AS DECIMAL(18,4)) AS cost, CAST(o_totalprice AS DECIMAL(18,4)) AS cost_usd FROM orders JOIN customer ON o_custkey = c_custkey)"""
+    return f"WITH {plan}, {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+@query("x26_extract_vs_table", _levels_sql())
+def _(t: Views) -> DataFrame:
+    lines = t.orders.join(t.customer, F.expr("o_custkey = c_custkey")).select(
+        "o_orderkey", "o_orderstatus", F.col("c_nationkey").cast("int").alias("country"), F.year("o_orderdate").alias("budget_year"),
+        F.col("c_mktsegment").alias("brand"), F.concat(F.lit('Plan "'), "c_name", F.lit('"')).alias("plan_name"), F.col("o_orderpriority").alias("media"),
+        F.concat_ws("\t", "o_orderstatus", "o_orderpriority").alias("media_type"), F.col("o_orderdate").cast("date").alias("start_date"),
+        F.date_add(F.col("o_orderdate").cast("date"), 30).alias("end_date"), F.expr("CAST(o_totalprice * 1.1D AS DECIMAL(18,4))").alias("cost"), money("o_totalprice").alias("cost_usd"),
+    )
+    # The extract: names with quotes and types with a tab, quoted as a spreadsheet writes them.
+    quoted = {c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in ("plan_name", "media_type")}
+    value = F.concat_ws("\t", *[quoted.get(c, F.col(c).cast("string")) for c in (*PLAN_LEVELS["line"], "cost", "cost_usd")])
+    path = scratch_path(t.spark, "plans")
+    file = [F.col("brand").alias("segment"), F.pmod(F.xxhash64("o_orderkey"), F.lit(2 + t.orders.count() // 1_000_000)).alias("part")]
+    write_with_preamble(lines.select(*file, value.alias("value")), "plans", PLAN_HEADING, path)
+    kinds = {"country": "int", "budget_year": "int", "start_date": "date", "end_date": "date", "cost": "decimal(18,4)", "cost_usd": "decimal(18,4)"}
+    mapping = {n: (h, kinds.get(n, "string")) for n, h in zip((*PLAN_LEVELS["line"], "cost", "cost_usd"), PLAN_HEADING)}
+    extract = extracts.conform_extract(extracts.load_extracts(t.spark, f"{path}/*/*/*.txt", PLAN_HEADING), mapping)
+    return rec.compare_by_levels(extract, lines.filter("o_orderstatus <> 'P'"), PLAN_LEVELS, ["cost", "cost_usd"])
 
 
 def _fanout_sql() -> str:

@@ -75,15 +75,22 @@ def write_extracts(t: Views) -> str:
     # Files grow with the rows (counted from the footers), and no segment is one file.
     parts = 2 + t.customer.count() // 1_000_000
     file = [F.col("c_mktsegment").alias("segment"), F.pmod(F.xxhash64("c_custkey"), F.lit(parts)).alias("part")]
-    row = F.concat_ws("\t", "c_custkey", "c_mktsegment", F.col("c_acctbal").cast("string"), F.col("c_nationkey").cast("string"))
-    body = t.customer.select(*file, F.lit(9).alias("pos"), row.alias("value"))
-    top = ["Report\tcustomers", "Created by the finance team", "Currency USD", "", "\t".join(EXTRACT_HEADING)]
-    preamble = t.customer.select(*file).distinct().select(
+    # Every other customer's segment is quoted.
+    segment = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('"'), "c_mktsegment", F.lit('"'))).otherwise(F.col("c_mktsegment"))
+    row = F.concat_ws("\t", "c_custkey", segment, F.col("c_acctbal").cast("string"), F.col("c_nationkey").cast("string"))
+    write_with_preamble(t.customer.select(*file, row.alias("value")), "customers", EXTRACT_HEADING, path)
+    return path
+
+
+def write_with_preamble(rows: DataFrame, title: str, heading: list[str], path: str) -> None:
+    """Lines (segment, part, value) as one text file per segment and part, each with 4 preamble lines and a heading."""
+    top = [f"Report\t{title}", "Created by the finance team", "Currency USD", "", "\t".join(heading)]
+    preamble = rows.select("segment", "part").distinct().select(
         "segment", "part", F.posexplode(F.array(*[F.lit(x) for x in top])).alias("pos", "value")
     )
+    body = rows.select("segment", "part", F.lit(len(top)).alias("pos"), "value")
     lines = body.unionByName(preamble).repartition("segment", "part").sortWithinPartitions("segment", "part", "pos")
     lines.select("segment", "part", "value").write.partitionBy("segment", "part").text(path)
-    return path
 
 
 @query(

@@ -5,8 +5,10 @@ Both sides are aggregated to the common grain before they are joined.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ BUDGETS = ("budget_usd", "budget_lc")
 SPENDS = ("spend_usd", "spend_lc")
 #: Amounts that are divided and summed up again: a sum of decimals does not depend on the order of tasks.
 EXACT = "decimal(20,6)"
-#: Pairs of columns whose moments one aggregate takes.
-PAIRS = 8
+#: Groups times pairs of columns whose moments a task holds before it sends them.
+CELLS = 1 << 20
 
 
 def join_groups(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -149,6 +151,31 @@ def environment_compare(a: DataFrame, b: DataFrame, grain: Sequence[str], measur
     return both.withColumns(deltas)
 
 
+def compare_by_levels(a: DataFrame, b: DataFrame, levels: Mapping[str, Sequence[str]], measures: Sequence[str]) -> DataFrame:
+    """Row counts and sums of two tables at several grains, and the differences; groups of either side at each level.
+
+    ``levels`` names the columns of each grain. A column that is not of a row's level is null there; a null value of a
+    column that is stays a group of its own. Each side is read once: it is added up by all columns, and these sums are
+    added up again for the levels.
+    """
+    columns = list(dict.fromkeys(c for grain in levels.values() for c in grain))
+    # A level's number has a bit for each column that it leaves out, the first column's highest.
+    number = {sum(1 << i for i, c in enumerate(reversed(columns)) if c not in grain): name for name, grain in levels.items()}
+    if len(number) < len(levels):
+        raise ValueError("two levels have the same columns")
+    level = F.coalesce(*[F.when(F.col("__level") == n, F.lit(name)) for n, name in number.items()]).alias("level")
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        finest = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(m).alias(m) for m in measures])
+        sums = [F.sum(m).alias(f"{m}_{tag}") for m in ("n_rows", *measures)]
+        by_level = finest.groupingSets([list(g) for g in levels.values()], *columns).agg(F.grouping_id().alias("__level"), *sums)
+        return by_level.select(level, *columns, *[f"{m}_{tag}" for m in ("n_rows", *measures)])
+
+    both = join_groups(side(a, "a"), side(b, "b"), ["level", *columns], "full")
+    zero = F.lit(0)
+    return both.withColumns({f"{m}_delta": F.coalesce(F.col(f"{m}_a"), zero) - F.coalesce(F.col(f"{m}_b"), zero) for m in ("n_rows", *measures)})
+
+
 def composed_key_reconcile(
     a: DataFrame, b: DataFrame, parts: Sequence[str | Column], measures: tuple[str, str], out: str = "plan_name", sep: str = "_"
 ) -> DataFrame:
@@ -205,6 +232,29 @@ def spread_daily(df: DataFrame, start: str, end: str, amount: str, out: str = "d
     )
 
 
+def daily_totals(df: DataFrame, start: str, end: str, amount: str, grain: Sequence[str] = (), out: str = "daily_amount") -> DataFrame:
+    """The sum over all spans of amount / days, per grain and day that some span covers (column ``day``).
+
+    A span is two rows, its share added at the start and taken off after the end; they are summed per date, and up to
+    each date in order. Days are laid out from these steps, so there are never more of them than the result has.
+    Shares are decimals, so the sums are those of ``spread_daily`` to the last digit. A null amount counts as a
+    covered day; a day with null amounts alone has a null sum. Reversed spans are left out, as are null ends.
+    """
+    share = F.try_divide(F.col(amount).cast(EXACT), days_inclusive(start, end))
+    spans = df.filter(F.col(end) >= F.col(start)).select(*grain, F.col(start).alias("__from"), F.date_add(end, 1).alias("__to"), share.alias("__share"))
+    known = F.col("__share").isNotNull().cast("int")
+    edge = [F.struct(F.col(d).alias("day"), (F.col("__share") * sign).alias("share"), F.lit(sign).alias("spans"), (known * sign).alias("known")) for d, sign in (("__from", 1), ("__to", -1))]
+    steps = spans.select(*grain, F.inline(F.array(*edge))).groupBy(*grain, "day").agg(*[F.sum(c).alias(c) for c in ("share", "spans", "known")])
+    # One row per date on which something begins or ends: the calendar bounds the rows of a window.
+    upto = Window.partitionBy(*grain).orderBy("day")
+    so_far = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = steps.select(
+        *grain, "day", F.lead("day").over(upto).alias("__next"), *[F.sum(F.coalesce(c, F.lit(0))).over(so_far).alias(f"__{c}") for c in ("share", "spans", "known")]
+    )
+    laid = F.explode(F.sequence("day", F.date_sub("__next", 1), F.expr("interval 1 day"))).alias("day")
+    return levels.filter("__spans > 0").select(*grain, F.when(F.col("__known") > 0, F.col("__share")).alias(out), laid)
+
+
 def spread_monthly(df: DataFrame, start: str, end: str, amount: str, grain: Sequence[str], out: str = "monthly_amount") -> DataFrame:
     """Daily spreading summed per month end, without laying out the days.
 
@@ -247,27 +297,87 @@ def fiscal_rollup(fact: DataFrame, calendar: DataFrame, date: str, grain: Sequen
     return sum_by(daily.join(calendar, F.col(date) == F.col("calendar_date")), grain, measures)
 
 
+def _moments(columns: Sequence[str], by: Sequence[str], schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes of a task's rows, per group and pair of columns: rows with both values, their means, and sums of squares
+    and products around these means. A batch is a matrix product; batches are merged by the shift of their means."""
+    first, second = np.triu_indices(len(columns))
+
+    def batch_moments(x: np.ndarray) -> np.ndarray:
+        there = ~np.isnan(x)
+        shift = np.where(there.any(axis=0), np.nansum(x, axis=0) / np.maximum(there.sum(axis=0), 1), 0)
+        z, m = np.where(there, x - shift, 0), there.astype(float)
+        n, sums, squares, products = m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z
+        safe = np.maximum(n, 1)
+        mean = sums / safe  # of the row's column over the rows that also have the other column
+        spread = squares - sums * mean
+        return np.stack([n, mean + shift[:, None], mean.T + shift, spread, spread.T, products - sums * mean.T])
+
+    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = a[0] + b[0]
+        weight = b[0] / np.maximum(n, 1)
+        dx, dy = b[1] - a[1], b[2] - a[2]
+        both = a[0] * weight
+        return np.stack([n, a[1] + dx * weight, a[2] + dy * weight, a[3] + b[3] + dx * dx * both, a[4] + b[4] + dy * dy * both, a[5] + b[5] + dx * dy * both])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = [k for k in state for _ in first]
+            values = np.concatenate([v[:, first, second] for v in state.values()], axis=1)
+            pairs = len(state)
+            arrays = [pa.array([k[i] for k in keys], schema.field(i).type) for i in range(len(by))]
+            arrays += [pa.array([columns[i] for i in first.tolist()] * pairs), pa.array([columns[i] for i in second.tolist()] * pairs)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(values[0].astype(np.int64)), *map(pa.array, values[1:])], schema=schema)
+
+        for batch in batches:
+            x = np.stack([batch.column(len(by) + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))], axis=1)
+            if by:
+                keys = pa.Table.from_batches([batch.select(range(len(by)))]).to_pylist()
+                number: dict[tuple, int] = {}
+                of = np.array([number.setdefault(tuple(k.values()), len(number)) for k in keys])
+            else:
+                number, of = {(): 0}, np.zeros(len(x), int)
+            order = np.argsort(of, kind="stable")
+            for key, rows in zip(number, np.split(order, np.cumsum(np.bincount(of, minlength=len(number)))[:-1])):
+                found = batch_moments(x[rows])
+                state[key] = merged(state[key], found) if key in state else found
+            if len(state) * len(first) > CELLS:
+                yield out()
+                state.clear()
+        if state:
+            yield out()
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns per group, in long form; null where a column is constant.
 
-    Only rows with both values count for a pair. Moments are taken for ``PAIRS`` pairs at a time, each batch in a pass
-    that reads its own columns, so that no row is multiplied and the aggregates stay within generated code.
+    Only rows with both values count for a pair. The table is read once, however many columns there are: each task
+    multiplies the matrix of its rows with itself, with masks for missing values (numpy; no product of columns is a
+    column of the plan), and the moments, one row per task, group and pair, are merged around their common means.
+    A value that is not a number counts as missing.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    parts = []
-    for k in range(0, len(pairs), PAIRS):
-        batch = pairs[k : k + PAIRS]
-        moments = []
-        for i, (a, b) in enumerate(batch):
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
-            moments += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}")]
-        cells = []
-        for i, (a, b) in enumerate(batch):
-            value = F.when(F.col(f"x{i}") > 0, 1.0) if a == b else F.try_divide(f"c{i}", F.col(f"x{i}") * F.col(f"y{i}"))
-            cells.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), value.alias("correlation")))
-        parts.append(df.groupBy(*by).agg(*moments).select(*by, F.inline(F.array(*cells))))
-    return union_all(parts)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+    kinds = [StructField(c, StringType()) for c in ("column_a", "column_b")] + [StructField("__n", LongType())]
+    kinds += [StructField(f"__{m}", DoubleType()) for m in ("x", "y", "xx", "yy", "xy")]
+    schema = StructType([StructField(f.name, f.dataType) for f in df.select(*by).schema] + kinds)
+    rows = df.select(*by, *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(columns)])
+    moments = rows.mapInArrow(_moments(list(columns), list(by), to_arrow_schema(schema)), schema)
+    pair = Window.partitionBy(*by, "column_a", "column_b")
+    mean = {m: F.try_divide(F.sum(F.col("__n") * F.col(m)).over(pair), F.sum("__n").over(pair)) for m in ("__x", "__y")}
+    moments = moments.withColumns({f"{m}_off": F.col(m) - c for m, c in mean.items()})
+    total = {
+        "xx": F.sum(F.col("__xx") + F.col("__n") * F.col("__x_off") * F.col("__x_off")),
+        "yy": F.sum(F.col("__yy") + F.col("__n") * F.col("__y_off") * F.col("__y_off")),
+        "xy": F.sum(F.col("__xy") + F.col("__n") * F.col("__x_off") * F.col("__y_off")),
+    }
+    sums = moments.groupBy(*by, "column_a", "column_b").agg(*[x.alias(f"__{m}") for m, x in total.items()])
+    value = F.when(F.col("column_a") == F.col("column_b"), F.when(F.col("__xx") > 0, 1.0)).otherwise(F.try_divide("__xy", F.sqrt("__xx") * F.sqrt("__yy")))
+    return sums.select(*by, "column_a", "column_b", value.alias("correlation"))
 
 
 def expected_rows_vs_days(df: DataFrame, grain: Sequence[str], date: str, start: Column, end: Column, offset: int | Column = 0) -> DataFrame:
@@ -283,35 +393,40 @@ def expected_rows_vs_days(df: DataFrame, grain: Sequence[str], date: str, start:
     return per_group.filter(F.col("n_rows") != F.col("expected_rows"))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """``df`` with row numbers from 0 on in the order of ``keys``.
+def in_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` in the order of ``keys``, with ``__part`` (the range a row is in) and ``__place`` (its place there, from 0).
 
-    A range shuffle puts the rows in order. They are written once, so that their places in the partitions hold for both
-    uses: the rows per partition, which are summed up in one place, and the rows themselves.
+    One range shuffle puts the rows in order, whatever share a key has of them. Each range is written as one bucket, so
+    windows and sums within the ranges shuffle nothing: only what crosses their ends is left to add.
     """
-    path = scratch_path(df.sparkSession, "numbered")
+    spark = df.sparkSession
+    path = scratch_path(spark, "ranges")
+    table = "ranges_" + path.rsplit("-", 1)[-1]
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.withColumns({"__part": F.spark_partition_id(), "__place": place}).write.parquet(path)
-    rows = df.sparkSession.read.parquet(path)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
-    starts = starts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
-    # One row per partition of the shuffle.
-    return rows.join(F.broadcast(starts), "__part").withColumn(out, F.col("__start") + F.col("__place")).drop("__part", "__place", "__start")
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__place": place})
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered.write.bucketBy(buckets, "__part").option("path", path).saveAsTable(table)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog's entry; the files stay
+    return rows
 
 
 def non_monotonic(df: DataFrame, grain: Sequence[str], date: str, order: Sequence[str], value: str) -> DataFrame:
     """Rows whose value is below the value of the row before, in the order (date, *order) within the grain.
 
-    ``order`` must break ties within a date. Rows are numbered in the order of the grain and meet the row before by a
-    join on the number: no task holds a grain or a day, however many rows it has. A null before or now is no fall.
+    ``order`` must break ties within a date. Each range of rows (see ``in_ranges``) is scanned by itself; its first row is
+    compared with the last one of the range before, of which one row per range is broadcast. No task holds a grain or a
+    day, however many rows it has. A null before or now is no fall.
     """
-    rows = numbered(df, [*grain, date, *order], "__number")
-    names = {g: f"__g{i}" for i, g in enumerate(grain)}
-    before = rows.select((F.col("__number") + 1).alias("__number"), *[F.col(g).alias(n) for g, n in names.items()], F.col(value).alias("previous_value"))
-    same = all_of(F.col(g).eqNullSafe(F.col(n)) for g, n in names.items())
-    return rows.join(before, "__number").filter(same & (F.col(value) < F.col("previous_value"))).select(*df.columns, "previous_value")
+    rows = in_ranges(df, [*grain, date, *order])
+    row = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(grain)], F.col(value).alias("value"))
+    ends = rows.groupBy("__part").agg(F.max_by(row, "__place").alias("__end"))
+    carry = ends.select("__part", F.lag("__end").over(Window.orderBy("__part")).alias("__carry"))
+    before = F.coalesce(F.lag(row).over(Window.partitionBy("__part").orderBy("__place")), F.col("__carry"))
+    rows = rows.join(F.broadcast(carry), "__part").withColumn("__before", before)
+    same = all_of(F.col(g).eqNullSafe(F.col(f"__before.g{i}")) for i, g in enumerate(grain))
+    found = rows.filter(F.col("__before").isNotNull() & same & (F.col(value) < F.col("__before.value")))
+    return found.select(*df.columns, F.col("__before.value").alias("previous_value"))
 
 
 def daily_running_total(df: DataFrame, key: Sequence[str], date: str, value: str, out: str = "running_total") -> DataFrame:
@@ -322,13 +437,36 @@ def daily_running_total(df: DataFrame, key: Sequence[str], date: str, value: str
 
 
 def running_total(df: DataFrame, key: Sequence[str], date: str, value: str, out: str = "running_total") -> DataFrame:
-    """Every row with the running sum of its key up to its date; rows of one date share it (range frame)."""
-    totals = daily_running_total(df, key, date, value, out)
+    """Every row with the running sum of its key up to its date; rows of one date share it (range frame).
+
+    Each range of rows (see ``in_ranges``) is summed up by itself. What is missing is broadcast, two rows per range: for the
+    key a range begins with, the sum in the ranges before; for the date it ends with, the rest of that date behind.
+    """
+    rows = in_ranges(df, [*key, date])
     names = [*key, date]
-    totals = totals.toDF(*[f"__k{i}" for i in range(len(names))], out)
-    return df.join(totals, [F.col(f"__k{i}").eqNullSafe(F.col(n)) for i, n in enumerate(names)]).drop(
-        *[f"__k{i}" for i in range(len(names))]
-    )
+    size = F.max("__place").over(Window.partitionBy("__part"))
+    ends = rows.withColumn("__last", size).filter("__place = 0 or __place = __last").select("__part", *names).distinct()
+
+    def at_ends(by: Sequence[str], frame, total: str) -> DataFrame:
+        """Of the groups that a range begins or ends with: their sum in the ranges before or behind."""
+        group = {n: f"__k{i}" for i, n in enumerate(by)}
+        mine = rows.groupBy("__part", *by).agg(F.sum(value).alias("__sum")).withColumnsRenamed(group)
+        edge = ends.select(F.col("__part").alias("__p"), *[F.col(n).alias(f"__e{i}") for i, n in enumerate(by)]).distinct()
+        same = [F.col("__part") == F.col("__p"), *[F.col(f"__k{i}").eqNullSafe(F.col(f"__e{i}")) for i in range(len(by))]]
+        mine = mine.join(F.broadcast(edge), same, "left_semi")
+        return mine.withColumn(total, F.sum("__sum").over(frame(Window.partitionBy(*group.values()).orderBy("__part")))).drop("__sum")
+
+    before = at_ends(key, lambda w: w.rowsBetween(Window.unboundedPreceding, -1), "__before")
+    behind = at_ends(names, lambda w: w.rowsBetween(1, Window.unboundedFollowing), "__behind")
+    upto = Window.partitionBy("__part", *key).orderBy(date).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn(out, F.sum(value).over(upto))
+    kind = dict(rows.dtypes)[out]
+    for more, by in ((before, key), (behind, names)):
+        same = [rows["__part"] == F.col("__p"), *[rows[n].eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(by)]]
+        rows = rows.join(F.broadcast(more.withColumnRenamed("__part", "__p")), same, "left").drop("__p", *[f"__k{i}" for i in range(len(by))])
+    parts = [F.col(out), F.col("__before"), F.col("__behind")]
+    total = sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
+    return rows.withColumn(out, F.when(F.coalesce(*parts).isNotNull(), total).cast(kind)).select(*df.columns, out)
 
 
 def join_fanout(fact: DataFrame, steps: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:

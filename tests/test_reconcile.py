@@ -238,3 +238,116 @@ def test_offsets_on_either_side(spark, rows):
     df = spark.createDataFrame(data, "g int, side int, date date")
     got = rec.expected_rows_vs_days(df, ["g", "side"], "date", F.min("date"), F.max("date"), F.col("side") - 1)
     assert rows(got) == [(1, 2, 2, 3)]
+
+
+def scans(df, table):
+    return df._jdf.queryExecution().executedPlan().toString().count(table)
+
+
+def test_levels_equal_a_group_by_each(spark, rows):
+    a = spark.createDataFrame([("x", 1, "p", 5), ("x", 1, None, 2), ("x", 2, "p", 1), (None, 2, "q", 4), (None, 2, "q", 3)], "c string, y int, n string, v int")
+    b = spark.createDataFrame([("x", 1, "p", 5), ("z", 9, "p", None)], "c string, y int, n string, v int")
+    got = rec.compare_by_levels(a, b, {"name": ["c", "y", "n"], "year": ["c", "y"], "all": []}, ["v"])
+    want = []
+    for level, grain in (("name", ["c", "y", "n"]), ("year", ["c", "y"]), ("all", [])):
+        one = rec.environment_compare(a, b, grain, ["v"]) if grain else None
+        if one is not None:
+            picked = [F.col(c) if c in grain else F.lit(None).alias(c) for c in ("c", "y", "n")]
+            want += rows(one.select(F.lit(level), *picked, "n_rows_a", "n_rows_b", "n_rows_delta", "v_a", "v_b", "v_delta"))
+    got = rows(got, "level", "c", "y", "n", "n_rows_a", "n_rows_b", "n_rows_delta", "v_a", "v_b", "v_delta")
+    assert [r for r in got if r[0] == "all"] == [("all", None, None, None, 5, 2, 3, 15, 5, 10)]
+    assert sorted(map(str, (r for r in got if r[0] != "all"))) == sorted(map(str, want))
+    with pytest.raises(ValueError):
+        rec.compare_by_levels(a, b, {"u": ["c"], "v": ["c"]}, ["v"])
+
+
+def test_levels_read_each_side_once(spark, tmp_path):
+    for side in "ab":
+        spark.range(9).selectExpr("id % 2 AS c", "id % 3 AS y", "id AS v").write.parquet(str(tmp_path / side))
+    a, b = (spark.read.parquet(str(tmp_path / side)) for side in "ab")
+    plan = rec.compare_by_levels(a, b, {"fine": ["c", "y"], "c": ["c"], "y": ["y"]}, ["v"])
+    assert scans(plan, "FileScan") == 2
+
+
+def test_daily_totals_equal_the_laid_out_days(spark, rows):
+    import random
+
+    rng = random.Random(5)
+    day = lambda: rng.choice([None] + [D(2024, 2, 1) + dt.timedelta(days=rng.randrange(60))] * 9)
+    spans = [(rng.choice(["a", "b", None]), day(), day(), rng.choice([None, Decimal(7), Decimal(100), Decimal("0.01"), Decimal(-3)])) for _ in range(120)]
+    df = spark.createDataFrame(spans, "g string, s date, e date, amount decimal(18,4)")
+    for grain in ([], ["g"]):
+        want = rec.spread_daily(df, "s", "e", "amount").groupBy(*grain, "day").agg(F.sum("daily_amount").alias("daily_amount"))
+        got = rec.daily_totals(df, "s", "e", "amount", grain)
+        columns = [*grain, "day", "daily_amount"]
+        assert rows(got, *columns) == rows(want, *columns)
+    plan = rec.daily_totals(df, "s", "e", "amount", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence") < plan.index("Aggregate")  # above it in the tree, so after it
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_ranges_cut_anywhere(spark, partitions):
+    """A campaign with a third of the rows and a day with most of those, over many ranges."""
+    import random
+
+    rng = random.Random(partitions)
+    hot = [("hot", D(2024, 1, 3) if rng.random() < 0.8 else D(2024, 1, 1) + dt.timedelta(days=rng.randrange(6)), i, rng.choice([None, 1, 2, 5])) for i in range(200)]
+    rest = [(rng.choice("abcd") + str(i % 40), D(2024, 1, 1) + dt.timedelta(days=rng.randrange(6)), 1000 + i, rng.choice([None, 1, 2, 5])) for i in range(400)]
+    data = hot + rest
+    df = spark.createDataFrame(data, "k string, d date, id int, v int").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        falls = rec.non_monotonic(df, ["k"], "d", ["id"], "v")
+        totals = rec.running_total(df, ["k"], "d", "v")
+        assert sorted(tuple(r) for r in falls.collect()) == brute_force_falls(data)
+        want = []
+        for k, d, i, v in data:
+            upto = [x[3] for x in data if x[0] == k and x[1] <= d and x[3] is not None]
+            want.append((k, d, i, v, sum(upto) if upto else None))
+        assert sorted(map(str, (tuple(r) for r in totals.collect()))) == sorted(map(str, want))
+        for frame in (falls, totals):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            # What is left behind the range shuffle: the carried rows, and no join of all rows with themselves.
+            assert "SortMergeJoin" not in plan and "rangepartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_falls_need_no_shuffle_behind_the_ranges(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "date'2024-01-01' AS d", "id", "id % 7 AS v")
+    plan = rec.non_monotonic(df, ["k"], "d", ["id"], "v")._jdf.queryExecution().executedPlan().toString()
+    # The only exchanges are those of one row per range: to one place, and back as a broadcast.
+    assert plan.count("Exchange hashpartitioning") == 0 and plan.count("Exchange SinglePartition") == 1
+
+
+def test_correlations_against_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    names = [f"c{i}" for i in range(20)]
+    x = r.standard_normal((600, 20)) @ r.standard_normal((20, 20)) + 1e9 * (np.arange(20) % 3 == 0)
+    x[r.random(x.shape) < 0.1] = np.nan
+    groups = [r.choice(["a", "b", None]) for _ in x]
+    data = [(g, *[None if np.isnan(v) else float(v) for v in row]) for g, row in zip(groups, x)]
+    df = spark.createDataFrame(data, "g string, " + ", ".join(f"{n} double" for n in names)).repartition(6)
+    got = {(t.g, t.column_a, t.column_b): t.correlation for t in rec.correlation_matrix(df, names, ["g"]).collect()}
+    assert len(got) == 3 * 210
+    for g in ("a", "b", None):
+        mine = x[[h == g for h in groups]]
+        for i in range(20):
+            for j in range(i, 20):
+                both = ~np.isnan(mine[:, i]) & ~np.isnan(mine[:, j])
+                want = np.corrcoef(mine[both, i] - np.nanmean(mine[:, i]), mine[both, j] - np.nanmean(mine[:, j]))[0, 1]
+                assert got[g, names[i], names[j]] == pytest.approx(want, abs=1e-5)
+
+
+def test_correlations_read_the_table_once(spark, tmp_path):
+    names = [f"c{i}" for i in range(20)]
+    spark.range(50).select("id", *[(F.col("id") * i % 7).cast("double").alias(n) for i, n in enumerate(names)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    matrix = rec.correlation_matrix(df, names, [])
+    assert scans(matrix, "FileScan") == 1 and matrix.count() == 210
+    assert rec.correlation_matrix(df.limit(0), names, []).collect() == []

@@ -1,4 +1,5 @@
 import base64
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,34 @@ def test_extracts_lose_no_line(spark, rows, tmp_path):
 def test_settings_apply_to_a_running_session(spark):
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
     assert configure(spark).conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
+
+
+def test_extract_fields_are_quoted(spark, rows, tmp_path):
+    body = ['1\t"x\ty"\tz', '"a ""b"" c"\t\t""', '\t"open\t2', '"x"y\t"1"\t"2"\t"3\t4"', 'q"q\t"" \t"a""']
+    write(tmp_path / "quoted.txt", "top\n\n" + "\t".join(["Brand", '"Clicks"', "Spend"]) + "\n" + "\n".join(body) + "\n")
+    got = extracts.load_extracts(spark, str(tmp_path), HEAD)
+    assert rows(got, *HEAD, "surplus") == sorted(
+        [("1", "x\ty", "z", None), ('a "b" c', None, None, None), (None, '"open', "2", None), ('"x"y', "1", "2", "3\t4"), ('q"q', '"" ', '"a""', None)],
+        key=lambda r: [(v is not None, str(type(v)), v) for v in r],
+    )
+
+
+@pytest.mark.parametrize("sep", ["|", "\t", ";;", "."])
+def test_quoted_fields_round_trip(spark, sep):
+    rng = random.Random(4)
+    fields = [["".join(rng.choice(['"', sep, "a", " ", "é"]) for _ in range(rng.randrange(6))) for _ in range(4)] for _ in range(100)]
+    fields.append(["x" * 50_000 + '"' + sep, '"' * 3000, "", ""])
+    lines = [(sep.join('"' + f.replace('"', '""') + '"' for f in row),) for row in fields]
+    df = spark.createDataFrame(lines, "value string")
+    assert [r.f for r in df.select(extracts.quoted_fields("value", sep).alias("f")).collect()] == fields
+
+
+def test_extracts_run_nothing_while_the_plan_is_built(spark, tmp_path):
+    write(tmp_path / "good.txt", "top\nBrand\tClicks\tSpend\na\t1\t2\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        extracts.load_extracts(spark, str(tmp_path), HEAD)
+        assert not tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

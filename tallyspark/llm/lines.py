@@ -9,7 +9,9 @@ document) has a Jaccard similarity of ``SIMILARITY`` or more with it.
    n - ceil(0.8 n) + 1 words; words that occur once in the corpus are left out. Lines that share a prefix word are
    compared by length, by the positions of the word, and by 64 parity bits of their words, none of which drops a
    similar pair. Of two similar sets the smaller has the word even in its first n - ceil(8 n / 9) + 1 words, so only
-   words that are there for some line bring lines together.
+   words that are there for some line bring lines together. Such words, if two lines or more have them in their prefixes,
+   are marked in a bitmap of fixed size, so that the others are not shuffled. Sets of up to 3 words are similar only if
+   they are equal; they have no prefix.
 3. What is left is verified on the words themselves.
 
 Lines with equal sets are one set with an earliest place. In a group of more than ``GROUP`` sets with one prefix word,
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, by_batch, mixed, staged
+from .common import WORD, by_batch, discard, mixed, staged
 from .substrings import NO_ID, Words, keyed, slices
 
 SIMILARITY = 0.8
-#: Lines of fewer different words are left alone: they are too short to be called copies.
-LEAST_WORDS = 5
+#: Smaller sets are similar to equal ones only (a set of 4 words still is to one of 5).
+LEAST_WORDS = 4
 BUCKETS = 1 << 22
 #: Tables that are added up at a time, and the largest count.
 FAN_IN, MOST = 8, 2**16 - 1
@@ -45,6 +47,8 @@ GROUP, HUBS = 64, 8
 HOT = 1 << 14
 #: Bits by which texts are chosen before they are shuffled for verification.
 BITMAP = 1 << 24
+#: Bits by which prefix words are chosen before they are shuffled (16 MB).
+WORD_BITS = 1 << 27
 
 
 MEMBER = "struct<id: bigint, parity: bigint, size: bigint, at: bigint>"
@@ -85,8 +89,10 @@ def rarity(rows: DataFrame) -> np.ndarray:
     while tables.count() > 1:
         # As many partitions as groups, so that no task has many tables.
         groups = tables.groupBy(F.expr(f"part div {FAN_IN}").alias("group"))
-        tables = staged(groups.applyInArrow(add, schema), "rarity")
+        before, tables = tables, staged(groups.applyInArrow(add, schema), "rarity")
+        discard(before)
     found = tables.first()
+    discard(tables)
     counts = np.frombuffer(found.counts, np.uint16) if found else np.zeros(BUCKETS, np.uint16)
     return np.round(12 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
@@ -123,19 +129,19 @@ class Sets:
 
 
 def _lines(rows: DataFrame, rare) -> DataFrame:
-    """(doc, tie, line, id, check, size, parity, keys): every line of LEAST_WORDS words or more; ``keys`` (prefix words,
-    with their positions, and marked if hot) only for one of the lines with equal sets in a slice."""
+    """(doc, tie, line, id, check, size, parity, keys): every line with a word; ``keys`` (prefix words, with their
+    positions, and marked if hot) only for sets of LEAST_WORDS or more, and one of the lines with equal sets in a slice."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for begin, held in slices(batch.column(2)):
             column, owner, number = _flat(held)
             s = Sets(column, rare.value)
-            judged = np.flatnonzero(s.size >= LEAST_WORDS)
+            judged = np.flatnonzero(s.size)
             id_, check, parity = s.sums(51), s.sums(52), s.parity()
             one = np.zeros(len(column), bool)
             one[judged[np.unique(id_[judged], return_index=True)[1]]] = True
-            prefix = s.size - (4 * s.size + 4) // 5 + 1
+            prefix = np.where(s.size < LEAST_WORDS, 0, s.size - (4 * s.size + 4) // 5 + 1)
             use = np.flatnonzero(one[s.line] & (s.place < prefix[s.line]) & (s.rank > 0))
             # 32 bits of the word, then 20 of the position; bit 63 marks hot words.
             key = (s.h[use] >> np.uint64(32)).astype(np.int64) << 20 | np.minimum(s.place[use], (1 << 20) - 1)
@@ -176,17 +182,31 @@ def _passes(a: str, b: str) -> Column:
     return (F.least(x, y) * 5 >= F.greatest(x, y) * 4) & (ahead >= least - F.least(F.col(f"{a}.at"), F.col(f"{b}.at"))) & (apart * 9 <= both)
 
 
+def _pairing(keyed: DataFrame) -> DataFrame:
+    """Those of (word, meta, ...) whose word is in two prefixes or more, and early in one; and few others, as long as a
+    bitmap of ``WORD_BITS`` bits has room for the words that are. The bitmap is broadcast, whatever the corpus."""
+    place = F.pmod(F.xxhash64("word"), F.lit(WORD_BITS))
+    seen = keyed.groupBy("word").agg(F.count("*").alias("n"), F.bool_or(_early("meta")).alias("early")).filter("n > 1 and early")
+    return _marked(keyed, place, seen.select(place.alias("place")))
+
+
+def _marked(rows: DataFrame, place: Column, set_: DataFrame) -> DataFrame:
+    """The rows whose place (from 0) is set by a row of ``set_`` (place)."""
+    number, bit = (F.call_function(f, place) for f in ("bitmap_bucket_number", "bitmap_bit_position"))
+    of = [F.call_function(f, F.col("place")) for f in ("bitmap_bucket_number", "bitmap_bit_position")]
+    maps = set_.select(of[0].alias("bucket"), of[1].alias("bit")).groupBy("bucket").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = rows.withColumns({"bucket": number, "bit": bit}).join(F.broadcast(maps), "bucket")
+    return marked.filter(F.getbit(byte, F.pmod(F.col("bit"), F.lit(8)).cast("int")) == 1).drop("bucket", "bit", "bits")
+
+
 def _perhaps(rows: DataFrame, held: DataFrame) -> DataFrame:
     """The rows whose (doc, tie) may be among those of ``held``: all that are, and few others as long as the bitmap has room.
 
     The bitmap has ``BITMAP`` bits, whatever the tables, so it can be broadcast; texts that it rules out are not shuffled.
     """
     place = F.pmod(F.xxhash64("doc", "tie"), F.lit(BITMAP))
-    number, bit = F.call_function("bitmap_bucket_number", place), F.call_function("bitmap_bit_position", place)
-    maps = held.select(number.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    marked = rows.withColumns({"bucket": number, "bit": bit}).join(F.broadcast(maps), "bucket")
-    return marked.filter(F.getbit(byte, F.pmod(F.col("bit"), F.lit(8)).cast("int")) == 1).drop("bucket", "bit", "bits")
+    return _marked(rows, place, held.select(place.alias("place")))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -232,6 +252,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     keyed_lines = lines.select("id", "size", "parity", F.explode("keys").alias("key"))
     meta = F.shiftleft(F.col("size").cast("long"), 20).bitwiseOR(F.col("key").bitwiseAND(place_bits))
     spread = keyed_lines.select(F.shiftright("key", 20).alias("word"), "id", "parity", meta.alias("meta"))
+    spread = _pairing(spread)
     member = F.struct("id", "parity", F.shiftright("meta", 20).alias("size"), F.col("meta").bitwiseAND(place_bits).alias("at")).alias("m")
     hot_word = F.col("word") >= F.lit(1 << 42)
     by_word = Window.partitionBy("word")
@@ -253,11 +274,14 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     for rest in (cold.filter(F.col("n") > GROUP), hot):
         found = found.union(rest.select(none.cast("long").alias("a"), none.cast("long").alias("b"), "word", F.col("m").cast(MEMBER).alias("m")))
     found = staged(found, "groups")
+    groups = found
     pairs, members = found.filter("word is null").select("a", "b"), found.filter("word is not null").select("word", "m")
     ids = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
 
     large = members.distinct()
     large = staged(large.join(earliest.select(F.col("id").alias("of"), "place"), F.col("m.id") == F.col("of")).select("word", "m", "place"), "large")
+    pairs = staged(pairs.distinct(), "pairs")
+    discard(groups)
     rank = F.row_number().over(Window.partitionBy("word").orderBy("place"))
     hubs = large.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("word", F.col("m").alias("y"), F.col("place").alias("before"))
     met = large.select("word", F.col("m").alias("x"), "place").join(hubs, "word").filter((F.col("before") < F.col("place")) & _passes("x", "y"))
@@ -291,8 +315,7 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that go; ``n_chars``, if there, is counted anew where lines went.
 
-    Lines are the parts between line feeds; those with fewer than five different words stay. Lines are judged on the
-    input, not on what is left. A document that loses lines and has no word left goes. Rows without an id come before
+    Lines are the parts between line feeds; those without a word stay. Lines are judged on the input, not on what is left. A document that loses lines and has no word left goes. Rows without an id come before
     all others; rows that share an id (or have none) are ordered by a hash of their texts, and equal ones among them
     count as one document. A null text has no lines and stays null. An empty table gives no rows.
     """

@@ -53,7 +53,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         FROM line
     ), sets AS (
         SELECT w, len(w) AS n, min((doc_id, i)) AS place, row_number() OVER (ORDER BY min((doc_id, i))) AS id
-        FROM judged WHERE len(w) >= 5 GROUP BY w
+        FROM judged WHERE len(w) > 0 GROUP BY w
     ), word AS (
         SELECT id, n, unnest(w) AS x FROM sets
     ), rare AS (

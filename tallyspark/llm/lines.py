@@ -47,7 +47,7 @@ GROUP, HUBS = 64, 8
 HOT = 1 << 14
 #: Bits by which texts are chosen before they are shuffled for verification.
 BITMAP = 1 << 24
-#: Bits by which prefix words are chosen before they are shuffled (16 MB).
+#: Bits by which earliest lines and prefix words are chosen before they are shuffled (16 MB).
 WORD_BITS = 1 << 27
 
 
@@ -130,7 +130,7 @@ class Sets:
 
 def _lines(rows: DataFrame, rare) -> DataFrame:
     """(doc, tie, line, id, check, size, parity, keys): every line with a word; ``keys`` (prefix words, with their
-    positions, and marked if hot) only for sets of LEAST_WORDS or more, and one of the lines with equal sets in a slice."""
+    positions, and marked if hot) only for sets of LEAST_WORDS or more, and the earliest line with a set in a slice."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -139,15 +139,17 @@ def _lines(rows: DataFrame, rare) -> DataFrame:
             s = Sets(column, rare.value)
             judged = np.flatnonzero(s.size)
             id_, check, parity = s.sums(51), s.sums(52), s.parity()
+            row = begin + owner[judged]
+            # Of equal sets, the earliest line.
+            place = judged[np.lexsort((number[judged], tie[row], doc[row]))]
             one = np.zeros(len(column), bool)
-            one[judged[np.unique(id_[judged], return_index=True)[1]]] = True
+            one[place[np.unique(id_[place], return_index=True)[1]]] = True
             prefix = np.where(s.size < LEAST_WORDS, 0, s.size - (4 * s.size + 4) // 5 + 1)
             use = np.flatnonzero(one[s.line] & (s.place < prefix[s.line]) & (s.rank > 0))
             # 32 bits of the word, then 20 of the position; bit 63 marks hot words.
             key = (s.h[use] >> np.uint64(32)).astype(np.int64) << 20 | np.minimum(s.place[use], (1 << 20) - 1)
             key |= np.where(s.rank[use] >= 12 * np.log2(HOT), np.int64(1) << np.int64(62), 0)
             ends = np.cumsum(np.bincount(s.line[use], minlength=len(column))[judged])
-            row = begin + owner[judged]
             yield {
                 "doc": doc[row],
                 "tie": tie[row],
@@ -249,7 +251,9 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     places = earliest.select("id", "place.*")
 
     place_bits = F.lit((1 << 20) - 1)
-    keyed_lines = lines.select("id", "size", "parity", F.explode("keys").alias("key"))
+    # Of the lines with one set only the earliest brings its words (and few others, as long as the bitmap has room).
+    first = F.pmod(F.xxhash64("doc", "tie", "line"), F.lit(WORD_BITS))
+    keyed_lines = _marked(lines, first, places.select(first.alias("place"))).select("id", "size", "parity", F.explode("keys").alias("key"))
     meta = F.shiftleft(F.col("size").cast("long"), 20).bitwiseOR(F.col("key").bitwiseAND(place_bits))
     spread = keyed_lines.select(F.shiftright("key", 20).alias("word"), "id", "parity", meta.alias("meta"))
     spread = _pairing(spread)

@@ -230,7 +230,7 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    return lm.scores(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    return lm.scores(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)

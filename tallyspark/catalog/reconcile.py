@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import money
 from ..operators import reconcile as rec
-from ..operators.kpi import sum_by
+from ..operators.kpi import sum_by, sum_through
 from ..operators.scope import filter_years
 from ..plans.bindings import Views, with_views
 from ..sources import extracts
@@ -313,9 +313,48 @@ def _(t: Views) -> DataFrame:
         FROM perf_country LEFT JOIN products USING (product_id) WHERE year(date) IN (1997, 1998) GROUP BY ALL""",
 )
 def _(t: Views) -> DataFrame:
-    df = with_year(filter_years(t.perf, "date", [1997, 1998]), "date")
-    df = df.join(t.brand_dim, "product_id", "left").join(t.country_dim, "campaign_id")
-    return sum_by(df, ["country_id", "year", "channel_id", "brand"], ["spend_usd", "spend_lc", "clicks", "impressions"])
+    return _snapshot(t, t.perf)
+
+
+SNAPSHOT = ["country_id", "year"], ["channel_id", "brand"], ["spend_usd", "spend_lc", "clicks", "impressions"]
+
+
+def _snapshot(t: Views, perf: DataFrame) -> DataFrame:
+    """Sums per country, year, channel and brand; lines are added up before they meet the dims."""
+    upper, keys, measures = SNAPSHOT
+    df = with_year(filter_years(perf, "date", [1997, 1998]), "date")
+    return sum_through(df, [(t.brand_dim, "product_id", "left"), (t.country_dim, "campaign_id", "inner")], [*upper, *keys], measures)
+
+
+def _reload_sql() -> str:
+    (upper, keys, measures), changed = SNAPSHOT, "spend_usd + CASE WHEN campaign_id = 7 AND year(date) = 1997 THEN 1 ELSE 0 END"
+    source = f"""SELECT country_id, {yr('date')} AS year, channel_id, brand, campaign_id, date, spend_usd, spend_lc, clicks, impressions
+        FROM perf_country LEFT JOIN products USING (product_id) WHERE year(date) IN (1997, 1998)"""
+    by = ", ".join([*upper, *keys])
+
+    def side(tag: str, where: str, spend: str) -> str:
+        sums = ", ".join(f"sum({spend if m == 'spend_usd' else m}) AS {tag}_{m}" for m in measures)
+        return f"{tag} AS (SELECT {by}, {sums} FROM s WHERE {where} GROUP BY {by})"
+
+    differs = " OR ".join(f"old_{m} IS DISTINCT FROM new_{m}" for m in measures)
+    same = " AND ".join(f"old.{c} IS NOT DISTINCT FROM new.{c}" for c in (*upper, *keys))
+    picked = ", ".join(f"coalesce(old.{c}, new.{c}) AS {c}" for c in (*upper, *keys))
+    values = ", ".join(f"{(dbl if m.startswith('spend') else big)(f'{tag}_{m}')} AS {tag}_{m}" for tag in ("old", "new") for m in measures)
+    return f"""{with_views('perf_country', 'products')}, s AS ({source}), {side('old', 'TRUE', 'spend_usd')},
+        {side('new', "NOT (campaign_id = 11 AND year(date) = 1998)", changed)} SELECT {picked}, {values} FROM old FULL JOIN new ON {same} WHERE {differs}"""
+
+
+@query("x17_reload_compare", _reload_sql())
+def _(t: Views) -> DataFrame:
+    """A reload in which a campaign's spend of 1997 has grown by 1 a line, and another's lines of 1998 are gone."""
+    upper, keys, measures = SNAPSHOT
+    grown = F.when((F.col("campaign_id") == 7) & (F.year("date") == 1997), 1).otherwise(0)
+    reloaded = t.perf.filter("NOT (campaign_id = 11 AND year(date) = 1998)")
+    reloaded = reloaded.withColumn("spend_usd", (F.col("spend_usd") + grown).cast("decimal(18,4)"))
+    paths = [scratch_path(t.spark, "snapshot") for _ in range(2)]
+    for perf, path in zip((t.perf, reloaded), paths):
+        rec.store_snapshot(_snapshot(t, perf), path, upper)
+    return rec.compare_snapshots(t.spark, *paths, upper, keys, measures)
 
 
 @query(

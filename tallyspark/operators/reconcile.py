@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import all_of, any_of, col, days_inclusive, ratio
 from ..sources.scratch import measured, scratch_path
@@ -151,6 +152,61 @@ def environment_compare(a: DataFrame, b: DataFrame, grain: Sequence[str], measur
     return both.withColumns(deltas)
 
 
+def _snapshot_rows(spark: SparkSession, path: str, upper: Sequence[str]) -> DataFrame:
+    """The rows, with the types that the upper columns have in the digests (names of folders are text)."""
+    own = spark.read.parquet(f"{path}/rows").drop(*upper).schema
+    kinds = {f.name: f for f in spark.read.parquet(f"{path}/digests").schema}
+    return spark.read.schema(T.StructType([*own.fields, *[kinds[c] for c in upper]])).parquet(f"{path}/rows")
+
+
+def store_snapshot(df: DataFrame, path: str, upper: Sequence[str]) -> None:
+    """Keep a table of groups: its rows, in folders by the ``upper`` columns, and a digest of each folder.
+
+    A digest is the number of rows and two sums of row hashes, so it does not depend on their order, and digests add up
+    to that of the whole.
+    """
+    df.write.partitionBy(*upper).parquet(f"{path}/rows")
+    rows = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+    # Two hashes over the columns in two orders. A sum of longs as decimals does not overflow.
+    names = sorted(df.columns)
+    hashes = [F.sum(F.xxhash64(*[F.col(c) for c in order], F.lit(i)).cast("decimal(38,0)")).alias(f"digest_{i}") for i, order in enumerate((names, names[::-1]))]
+    rows.groupBy(*upper).agg(F.count(F.lit(1)).alias("n_rows"), *hashes).write.parquet(f"{path}/digests")
+
+
+def changed_folders(spark: SparkSession, old: str, new: str, upper: Sequence[str]) -> DataFrame:
+    """The ``upper`` groups whose digests differ between two snapshots, or that only one of them has."""
+    a, b = (spark.read.parquet(f"{p}/digests") for p in (old, new))
+    values = [c for c in a.columns if c not in upper]
+    both = join_groups(a, b.withColumnsRenamed({v: f"{v}_new" for v in values}), upper, "full")
+    return both.filter(any_of(~F.col(v).eqNullSafe(F.col(f"{v}_new")) for v in values)).select(*upper)
+
+
+def compare_snapshots(
+    spark: SparkSession, old: str, new: str, upper: Sequence[str], keys: Sequence[str], measures: Sequence[str]
+) -> DataFrame:
+    """Groups (``upper`` and ``keys``) whose measures differ between two snapshots, or that only one of them has.
+
+    The comparison goes from the top: digests of folders first, then only the folders that differ are read. ``old_m`` and
+    ``new_m`` are null on the side that lacks the group.
+    """
+    changed = changed_folders(spark, old, new, upper)
+    known = all_of(F.col(c).isNotNull() for c in upper)
+
+    def side(path: str, tag: str) -> DataFrame:
+        rows = _snapshot_rows(spark, path, upper).select(*upper, *keys, *[F.col(m).alias(f"{tag}_{m}") for m in measures], F.lit(True).alias(f"__{tag}"))
+        # Equal keys prune the folders as the join runs; folders of a null are few and met null-safely.
+        named = changed.filter(known)
+        met = rows.filter(known).join(named, list(upper), "left_semi")
+        nulls = rows.filter(~known).join(
+            changed.filter(~known).withColumnsRenamed({c: f"__{c}" for c in upper}), all_of(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in upper), "left_semi"
+        )
+        return met.unionByName(nulls)
+
+    both = join_groups(side(old, "old"), side(new, "new"), [*upper, *keys], "full")
+    differs = any_of([~F.col("__old").eqNullSafe(F.col("__new")), *[~F.col(f"old_{m}").eqNullSafe(F.col(f"new_{m}")) for m in measures]])
+    return both.filter(differs).drop("__old", "__new")
+
+
 def compare_by_levels(a: DataFrame, b: DataFrame, levels: Mapping[str, Sequence[str]], measures: Sequence[str]) -> DataFrame:
     """Row counts and sums of two tables at several grains, and the differences; groups of either side at each level.
 

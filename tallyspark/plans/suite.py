@@ -2,6 +2,7 @@
 
 Row checks (a condition on one table) of the same table share a single scan and aggregate. Frame checks (joins,
 groupings) count their violations in a plan of their own. Nothing is collected; ``run`` returns a DataFrame.
+``write`` also keeps the violating rows: they are counted while they are written, so each table is still read once.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
@@ -84,7 +85,43 @@ class Suite:
             ratio("violations", "base_rows").alias("share"), (F.col("violations") == 0).alias("passed"),
         )
 
-
+    def write(self, tables: Tables, path: str) -> DataFrame:
+        """The summary of ``run``, and the violations as Parquet files under ``path``.
+
+        All rules of a table share one scan: ``path/rows/<table>`` has the rows that break a rule, with the rules in
+        ``failed_checks``. ``path/checks/<check_id>`` has the violations of a frame check. The counts are observed as the
+        rows pass by; the driver gets one number for each check.
+        """
+        counts: dict[str, int] = {}
+        base: dict[str, int] = {}
+        for table in dict.fromkeys(c.table for c in self.checks):
+            rules, df = [c for c in self.checks if c.table == table and c.rule], tables[table]
+            if not rules:
+                base[table] = df.count()  # from the footers
+                continue
+            if FAILED in df.columns:
+                raise ValueError(f"{table} has a column {FAILED}")
+            seen = Observation()
+            failed = F.filter(F.array(*[F.when(c.rule(), c.check_id) for c in rules]), lambda x: x.isNotNull())
+            marked = df.withColumn(FAILED, failed)
+            numbers = [F.count_if(F.array_contains(FAILED, c.check_id)).alias(f"v{i}") for i, c in enumerate(rules)]
+            marked = marked.observe(seen, F.count(F.lit(1)).alias("base"), *numbers)
+            marked.filter(F.size(FAILED) > 0).write.parquet(f"{path}/rows/{table}")
+            base[table] = seen.get["base"]
+            counts |= {c.check_id: seen.get[f"v{i}"] for i, c in enumerate(rules)}
+        for c in self.checks:
+            if c.frame:
+                seen = Observation()
+                c.frame(tables).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/checks/{c.check_id}")
+                counts[c.check_id] = seen.get["n"]
+        rows = [(i, c.check_id, c.domain, c.severity, c.table, counts[c.check_id], base[c.table]) for i, c in enumerate(self.checks, 1)]
+        spark = next(iter(tables.values())).sparkSession
+        summary = spark.createDataFrame(rows, "number int, check_id string, domain string, severity string, table_name string, violations long, base_rows long")
+        return summary.withColumns({"share": ratio("violations", "base_rows"), "passed": F.col("violations") == 0})
+
+
+#: Column of written rows that names the rules they break.
+FAILED = "failed_checks"
 ROWS = "array<struct<check_id: string, domain: string, severity: string, violations: bigint>>"
 
 

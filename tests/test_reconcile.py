@@ -351,3 +351,24 @@ def test_correlations_read_the_table_once(spark, tmp_path):
     matrix = rec.correlation_matrix(df, names, [])
     assert scans(matrix, "FileScan") == 1 and matrix.count() == 210
     assert rec.correlation_matrix(df.limit(0), names, []).collect() == []
+
+
+def test_snapshots_are_compared_from_the_top(spark, rows, tmp_path):
+    schema = "c string, y int, ch int, v decimal(18,4), n int"
+    base = [(c, y, ch, Decimal(ch or 0), y) for c in ("01", "US", None) for y in (2023, 2024) for ch in (1, 2, None)]
+    new = [r for r in base if r[:3] != ("US", 2024, 2)] + [("US", 2025, 1, Decimal(5), 1)]
+    new = [(*r[:3], Decimal(9), r[4]) if r[:3] in (("01", 2023, 1), (None, 2024, None)) else r for r in new]
+    paths = [str(tmp_path / x) for x in ("old", "new", "same")]
+    for data, path in zip((base, new, list(reversed(base))), paths):
+        rec.store_snapshot(spark.createDataFrame(data, schema).repartition(3), path, ["c", "y"])
+    assert rows(rec.changed_folders(spark, paths[0], paths[1], ["c", "y"])) == [(None, 2024), ("01", 2023), ("US", 2024), ("US", 2025)]
+    got = rec.compare_snapshots(spark, paths[0], paths[1], ["c", "y"], ["ch"], ["v", "n"])
+    assert rows(got, "c", "y", "ch", "old_v", "new_v", "old_n", "new_n") == [
+        (None, 2024, None, 0, 9, 2024, 2024),
+        ("01", 2023, 1, 1, 9, 2023, 2023),
+        ("US", 2024, 2, 2, None, 2024, None),
+        ("US", 2025, 1, None, 5, None, 1),
+    ]
+    # The order of rows and files does not count, and folders without a difference are not read.
+    assert rec.changed_folders(spark, paths[0], paths[2], ["c", "y"]).count() == 0
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()

@@ -203,3 +203,22 @@ def test_extracts_run_nothing_while_the_plan_is_built(spark, tmp_path):
         assert not tracker.getJobIdsForGroup("building")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_suite_writes_what_it_counts(spark, rows, tmp_path):
+    tables_ = {"f": spark.createDataFrame([(1, -1), (1, 2), (2, None), (3, -5)], "k int, v int"), "e": spark.createDataFrame([], "k int"), "g": spark.range(3)}
+    suite = Suite(
+        [
+            Check("neg", "d", DATA_ISSUE, "f", rule=lambda: F.col("v") < 0),
+            Check("dup", "d", BREAKING, "f", frame=lambda t: keys.duplicate_key_counts(t["f"], ["k"])),
+            Check("low", "d", BREAKING, "f", rule=lambda: F.col("v") < -3),
+            Check("none", "d", BREAKING, "e", rule=lambda: F.col("k") < 0),
+            Check("few", "d", BREAKING, "g", frame=lambda t: t["g"].filter("id > 0")),
+        ]
+    )
+    got = {r.check_id: (r.violations, r.base_rows, r.passed) for r in suite.write(tables_, str(tmp_path / "again")).collect()}
+    assert got == {"neg": (2, 4, False), "dup": (1, 4, False), "low": (1, 4, False), "none": (0, 0, True), "few": (2, 3, False)}
+    written = spark.read.parquet(str(tmp_path / "again" / "rows" / "f"))
+    assert rows(written, "k", "v", F.concat_ws(",", "failed_checks")) == [(1, -1, "neg"), (3, -5, "neg,low")]
+    assert spark.read.parquet(str(tmp_path / "again" / "checks" / "few")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "again" / "rows" / "e")).count() == 0

@@ -134,11 +134,12 @@ def pack(
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, group_rows: int = 16384) -> DataFrame:
-    """``pack`` with word counts as lengths; documents with the same words (case aside) are one cluster."""
+    """``pack`` with word counts as lengths; documents with the same words are one cluster, whatever their case and
+    the white space between, before and behind them. Near copies are not. A null text has no words and no cluster."""
     rows = docs.select(
         "doc_id",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("length"),
         "source",
-        F.xxhash64(F.regexp_replace(F.lower("text"), GAP, " ")).alias("cluster"),
+        F.xxhash64(F.trim(F.regexp_replace(F.lower("text"), GAP, " "))).alias("cluster"),
     )
     return pack(rows, capacity=capacity, group_rows=group_rows)

@@ -79,3 +79,10 @@ def test_pack_documents_edges(spark):
     out = {r.doc_id: r for r in pack_documents(df, capacity=10).collect()}
     assert [out[i].n_words for i in (1, 2, 3, 4, 5)] == [3, 3, 0, 0, 1]
     assert out[1].bin != out[2].bin and out[3].bin is None and out[4].bin is None
+
+
+def test_white_space_does_not_tell_copies_apart(spark):
+    texts = ["a b c", " A b c", "a b c\n", "a\t b  c ", "a b d"]
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    bins = {r.doc_id: r.bin for r in pack_documents(docs).collect()}
+    assert len({bins[i] for i in range(4)}) == 4 and bins[4] in {bins[i] for i in range(4)}

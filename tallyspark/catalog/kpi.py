@@ -98,8 +98,8 @@ def dedup_sql(grain: str, source: str) -> str:
     with_views("perf_country") + dedup_sql("country_id, year", f"(SELECT *, {yr('date')} AS year FROM perf_country)"),
 )
 def _(t: Views) -> DataFrame:
-    df = t.perf_country.withColumn("year", F.year("date"))
-    return kpi.kpi_rollup(df, ["country_id", "year"], DASHBOARD, dedup=DEDUP)
+    df = t.perf.withColumn("year", F.year("date"))
+    return kpi.kpi_rollup(df, ["country_id", "year"], DASHBOARD, dedup=DEDUP, dims=[(t.country_dim, "campaign_id", "inner")])
 
 
 @query(
@@ -108,8 +108,8 @@ def _(t: Views) -> DataFrame:
     + dedup_sql("country_id, year, brand", f"(SELECT *, {yr('date')} AS year FROM perf_country LEFT JOIN products USING (product_id))"),
 )
 def _(t: Views) -> DataFrame:
-    df = t.perf_country.withColumn("year", F.year("date")).join(t.brand_dim, "product_id", "left")
-    return kpi.kpi_rollup(df, ["country_id", "year", "brand"], DASHBOARD, dedup=DEDUP)
+    df = t.perf.withColumn("year", F.year("date")).join(t.brand_dim, "product_id", "left")
+    return kpi.kpi_rollup(df, ["country_id", "year", "brand"], DASHBOARD, dedup=DEDUP, dims=[(t.country_dim, "campaign_id", "inner")])
 
 
 @query(
@@ -119,8 +119,8 @@ def _(t: Views) -> DataFrame:
 )
 def _(t: Views) -> DataFrame:
     named = t.channels.select("channel_id", "channel_desc")
-    df = t.perf_country.withColumn("year", F.year("date")).join(named, "channel_id", "left")
-    return kpi.kpi_rollup(df, ["country_id", "year", "channel_desc", "tier"], DASHBOARD, dedup=DEDUP)
+    df = t.perf.withColumn("year", F.year("date")).join(named, "channel_id", "left")
+    return kpi.kpi_rollup(df, ["country_id", "year", "channel_desc", "tier"], DASHBOARD, dedup=DEDUP, dims=[(t.country_dim, "campaign_id", "inner")])
 
 
 PACING = ["ctr", "cpm_usd", "vcr_views_pct", "spend_pacing"]

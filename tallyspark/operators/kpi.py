@@ -53,13 +53,16 @@ def kpi_rollup(
     """Sums per grain and the KPIs on them. Grain columns may come from ``dims`` (see ``sum_through``).
 
     ``dedup`` names columns on which equal rows are counted once before they are summed, as some dashboards do;
-    it is off by default because it also removes genuine equal rows.
+    it is off by default because it also removes genuine equal rows. Rows that agree in a dim's key agree in its
+    columns, so a dim whose key is among ``dedup`` is met by the sums; others are joined before.
     """
     measures = list(measures or measures_for(kpis))
     if dedup is not None:
-        if dims:
-            raise ValueError("join the dims before equal rows are dropped")
-        fact = fact.select(*dict.fromkeys([*grain, *measures, *dedup])).dropDuplicates()
+        keys = [key for _, key, _ in dims]
+        if not set(keys) <= set(dedup):
+            raise ValueError("join the dims whose key is not compared before equal rows are dropped")
+        own = [g for g in grain if g in fact.columns]
+        fact = fact.select(*dict.fromkeys([*own, *measures, *dedup])).dropDuplicates()
     return sum_through(fact, dims, grain, measures).select("*", *kpi_columns(kpis))
 
 

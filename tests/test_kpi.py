@@ -118,3 +118,13 @@ def test_sums_meet_their_dim_once_per_key(fact, spark, rows):
     through = kpi.measures_by(dated, ["country"], "date", ["clicks"], (dim, "campaign_id", "inner"))
     joined = kpi.measures_by(dated.join(dim, "campaign_id"), ["country"], "date", ["clicks"])
     assert rows(through) == rows(joined)
+
+
+def test_dims_by_a_compared_key_are_met_by_the_sums(spark, rows):
+    data = [(1, 5, 10, 100), (1, 5, 10, 100), (2, 5, 10, 100), (2, 6, 10, 100), (3, 5, 10, 100), (None, 5, 10, 100)]
+    fact = spark.createDataFrame(data, "campaign int, day int, clicks long, impressions long")
+    dim = spark.createDataFrame([(1, "US"), (2, "US"), (3, "DE")], "campaign int, country string")
+    for how, want in (("inner", [("DE", 10), ("US", 30)]), ("left", [(None, 10), ("DE", 10), ("US", 30)])):
+        got = kpi.kpi_rollup(fact, ["country"], ["ctr"], dedup=["campaign", "day"], dims=[(dim, "campaign", how)])
+        joined = kpi.kpi_rollup(fact.join(dim, "campaign", how), ["country"], ["ctr"], dedup=["campaign", "day"])
+        assert rows(got, "country", "clicks") == want and rows(got) == rows(joined.select(*got.columns))

@@ -7,11 +7,10 @@ document) has a Jaccard similarity of ``SIMILARITY`` or more with it.
    of words gives exact results, so sharing a bucket costs speed only.
 2. Each line lists its words from rare to common. Similar lines share a word in their prefixes, the first
    n - ceil(0.8 n) + 1 words; words that occur once in the corpus are left out. Lines that share a prefix word are
-   compared by length, by the positions of the word, and by 64 parity bits of their words, none of which drops a
-   similar pair. Of two similar sets the smaller has the word even in its first n - ceil(8 n / 9) + 1 words, so only
-   words that are there for some line bring lines together. Such words, if two lines or more have them in their prefixes,
-   are marked in a bitmap of fixed size, so that the others are not shuffled. Sets of up to 3 words are similar only if
-   they are equal; they have no prefix.
+   sorted by length in the shuffle, so that each meets only those that are long enough, and compared by the positions of
+   the word and by 128 parity bits of their words, none of which drops a similar pair. Of two similar sets the smaller has
+   the word even in its first n - ceil(8 n / 9) + 1 words, so only words that are there for some line bring lines
+   together. Sets of up to 3 words are similar only if they are equal; they have no prefix.
 3. What is left is verified on the words themselves.
 
 Lines with equal sets are one set with an earliest place. In a group of more than ``GROUP`` sets with one prefix word,
@@ -42,16 +41,16 @@ BUCKETS = 1 << 22
 #: Tables that are added up at a time, and the largest count.
 FAN_IN, MOST = 8, 2**16 - 1
 #: Sets with a prefix word up to which all are compared, and earliest sets that the members of larger groups meet first.
-GROUP, HUBS = 64, 8
+GROUP, HUBS = 256, 8
+#: Prefix words that a task compares at a time, and pairs at a time.
+ROWS, PAIRS = 1 << 17, 1 << 20
 #: Occurrences of a word (by the table) from which its group is not brought together in one task.
 HOT = 1 << 14
-#: Bits by which texts are chosen before they are shuffled for verification.
-BITMAP = 1 << 24
-#: Bits by which earliest lines and prefix words are chosen before they are shuffled (16 MB).
-WORD_BITS = 1 << 27
+#: Bits by which lines are chosen before they are shuffled (16 MB).
+LINE_BITS = 1 << 27
 
-
-MEMBER = "struct<id: bigint, parity: bigint, size: bigint, at: bigint>"
+MEMBER = ["id", "parity", "more", "size", "at"]
+FOUND = "a long, b long, word int, id long, parity long, more long, size int, at int"
 
 
 def _flat(held: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -122,15 +121,18 @@ class Sets:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.h, key))])
         return mixed(total[self.first + self.size] - total[self.first], key)
 
-    def parity(self) -> np.ndarray:
-        """64 bits; each is the parity of the line's words that fall on it."""
-        total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (mixed(self.h, 53) & np.uint64(63)))])
+    def parity(self, half: int = 0) -> np.ndarray:
+        """64 of 128 bits; each is the parity of the line's words that fall on it."""
+        at = mixed(self.h, 53)
+        one = ((at >> np.uint64(6) & np.uint64(1)) == half).astype(np.uint64) << (at & np.uint64(63))
+        total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(one)])
         return total[self.first + self.size] ^ total[self.first]
 
 
 def _lines(rows: DataFrame, rare) -> DataFrame:
-    """(doc, tie, line, id, check, size, parity, keys): every line with a word; ``keys`` (prefix words, with their
-    positions, and marked if hot) only for sets of LEAST_WORDS or more, and the earliest line with a set in a slice."""
+    """(doc, tie, line, id, check, size, parity, more, lead, cold, keys): every line with a word; ``keys`` (32 bits of the
+    prefix words from place ``lead`` on, the first ``cold`` of them not hot) only for sets of LEAST_WORDS or more, and
+    the earliest line with a set in a slice."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -138,17 +140,18 @@ def _lines(rows: DataFrame, rare) -> DataFrame:
             column, owner, number = _flat(held)
             s = Sets(column, rare.value)
             judged = np.flatnonzero(s.size)
-            id_, check, parity = s.sums(51), s.sums(52), s.parity()
+            id_, check = s.sums(51), s.sums(52)
             row = begin + owner[judged]
             # Of equal sets, the earliest line.
             place = judged[np.lexsort((number[judged], tie[row], doc[row]))]
             one = np.zeros(len(column), bool)
             one[place[np.unique(id_[place], return_index=True)[1]]] = True
             prefix = np.where(s.size < LEAST_WORDS, 0, s.size - (4 * s.size + 4) // 5 + 1)
-            use = np.flatnonzero(one[s.line] & (s.place < prefix[s.line]) & (s.rank > 0))
-            # 32 bits of the word, then 20 of the position; bit 63 marks hot words.
-            key = (s.h[use] >> np.uint64(32)).astype(np.int64) << 20 | np.minimum(s.place[use], (1 << 20) - 1)
-            key |= np.where(s.rank[use] >= 12 * np.log2(HOT), np.int64(1) << np.int64(62), 0)
+            # Words are in order of rank, so those that are left out come first and hot ones last.
+            within = one[s.line] & (s.place < prefix[s.line])
+            lead = np.bincount(s.line[within & (s.rank == 0)], minlength=len(column))
+            use = np.flatnonzero(within & (s.rank > 0))
+            cold = np.bincount(s.line[use[s.rank[use] < 12 * np.log2(HOT)]], minlength=len(column))
             ends = np.cumsum(np.bincount(s.line[use], minlength=len(column))[judged])
             yield {
                 "doc": doc[row],
@@ -157,20 +160,21 @@ def _lines(rows: DataFrame, rare) -> DataFrame:
                 "id": id_[judged].view(np.int64),
                 "check": (check[judged] >> np.uint64(32)).astype(np.uint32).view(np.int32),
                 "size": s.size[judged].astype(np.int32),
-                "parity": parity[judged].view(np.int64),
-                "keys": pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), key),
+                "parity": s.parity(0)[judged].view(np.int64),
+                "more": s.parity(1)[judged].view(np.int64),
+                "lead": lead[judged].astype(np.int32),
+                "cold": cold[judged].astype(np.int32),
+                "keys": pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), (s.h[use] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
             }
 
-    return by_batch(rows, work, "doc long, tie long, line int, id long, check int, size int, parity long, keys array<bigint>")
-
+    return by_batch(rows, work, "doc long, tie long, line int, id long, check int, size int, parity long, more long, lead int, cold int, keys array<int>")
 
-def _early_places(size: Column) -> Column:
-    """The length of the shorter prefix that suffices for the smaller of two similar sets: n - ceil(8 n / 9) + 1 words."""
-    return size - F.floor((size * 8 + 8) / 9) + 1
 
-
-def _early(meta: str) -> Column:
-    return F.col(meta).bitwiseAND(F.lit((1 << 20) - 1)) < _early_places(F.shiftright(meta, 20))
+def _early(at, size):
+    """Whether a word is in the shorter prefix that suffices for the smaller of two similar sets, its first
+    n - ceil(8 n / 9) + 1 words. The one rule for columns and for numpy arrays."""
+    ninths = size * 8 + 8
+    return at < size - (F.floor(ninths / 9) if isinstance(size, Column) else ninths // 9) + 1
 
 
 def _passes(a: str, b: str) -> Column:
@@ -180,16 +184,83 @@ def _passes(a: str, b: str) -> Column:
     # Similar sets have at least ceil(4/9 (x + y)) words in common and at most floor((x + y) / 9) that are not.
     least = F.expr(f"({a}.size + {b}.size) * 4 div 9") + F.when(both * 4 % 9 > 0, 1).otherwise(0)
     ahead = F.least(x - F.col(f"{a}.at"), y - F.col(f"{b}.at"))
-    apart = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    apart = sum(F.bit_count(F.col(f"{a}.{half}").bitwiseXOR(F.col(f"{b}.{half}"))) for half in ("parity", "more"))
     return (F.least(x, y) * 5 >= F.greatest(x, y) * 4) & (ahead >= least - F.least(F.col(f"{a}.at"), F.col(f"{b}.at"))) & (apart * 9 <= both)
 
 
-def _pairing(keyed: DataFrame) -> DataFrame:
-    """Those of (word, meta, ...) whose word is in two prefixes or more, and early in one; and few others, as long as a
-    bitmap of ``WORD_BITS`` bits has room for the words that are. The bitmap is broadcast, whatever the corpus."""
-    place = F.pmod(F.xxhash64("word"), F.lit(WORD_BITS))
-    seen = keyed.groupBy("word").agg(F.count("*").alias("n"), F.bool_or(_early("meta")).alias("early")).filter("n > 1 and early")
-    return _marked(keyed, place, seen.select(place.alias("place")))
+def _compared(c: dict[str, np.ndarray], most: int) -> Iterator[dict]:
+    """Of rows (word, id, parity, more, size, at) sorted by word and size: the pairs that pass all filters (a, b), and the
+    members of groups with more than ``most`` early rows. The numpy form of ``_passes``."""
+    start = np.flatnonzero(np.concatenate([[True], c["word"][1:] != c["word"][:-1]]))
+    count = np.diff(np.append(start, len(c["word"])))
+    group = np.repeat(np.arange(len(start)), count)
+    size, at = c["size"].astype(np.int64), c["at"].astype(np.int64)
+    early = _early(at, size)
+    large = (np.add.reduceat(early.astype(np.int64), start) > most)[group]
+    if large.any():
+        yield {k: c[k][large] for k in ("word", *MEMBER)}
+    # The smaller of two sets is the one in front; it is early.
+    i = np.flatnonzero(early & ~large)
+    order = group.astype(np.int64) << 32 | size
+    many = np.searchsorted(order, group[i].astype(np.int64) << 32 | size[i] * 5 // 4, side="right") - i - 1
+    i, many = i[many > 0], many[many > 0]
+    ends = np.cumsum(many)
+    begin = 0
+    while begin < len(i):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        x = np.repeat(i[begin:end], many[begin:end])
+        y = x + 1 + np.arange(len(x)) - np.repeat(ends[begin:end] - many[begin:end] - done, many[begin:end])
+        both = size[x] + size[y]
+        least = (both * 4 + 8) // 9
+        ok = np.minimum(size[x] - at[x], size[y] - at[y]) >= least - np.minimum(at[x], at[y])
+        x, y, both = x[ok], y[ok], both[ok]
+        apart = sum(np.bitwise_count(c[half][x] ^ c[half][y]).astype(np.int64) for half in ("parity", "more"))
+        ok = (apart * 9 <= both) & (c["id"][x] != c["id"][y])
+        a, b = c["id"][x[ok]].view(np.int64), c["id"][y[ok]].view(np.int64)
+        yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+        begin = end
+
+
+def _met(spread: DataFrame) -> DataFrame:
+    """FOUND: pairs (a, b), or members of large groups, of the rows (word, id, parity, more, size, at).
+
+    A task reads its words one after the other, in sorted order, and holds ROWS rows and one word's at most.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(FOUND))
+
+    def batch_of(columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name].view(f.type.to_pandas_dtype()), f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        rows, most = 0, GROUP
+
+        def joined() -> dict[str, np.ndarray]:
+            return {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = {k: batch.column(k).to_numpy() for k in ("word", *MEMBER)}
+            for half in ("parity", "more"):
+                part[half] = part[half].view(np.uint64)
+            held.append(part)
+            rows += batch.num_rows
+            if rows >= ROWS:
+                c = joined()
+                cut = int(np.searchsorted(c["word"], c["word"][-1]))
+                if cut:
+                    yield from map(batch_of, _compared({k: v[:cut] for k, v in c.items()}, most))
+                held, rows = [{k: v[cut:] for k, v in c.items()}], len(c["word"]) - cut
+        if rows:
+            yield from map(batch_of, _compared(joined(), most))
+
+    return spread.repartition("word").sortWithinPartitions("word", "size").mapInArrow(work, FOUND)
 
 
 def _marked(rows: DataFrame, place: Column, set_: DataFrame) -> DataFrame:
@@ -202,37 +273,33 @@ def _marked(rows: DataFrame, place: Column, set_: DataFrame) -> DataFrame:
     return marked.filter(F.getbit(byte, F.pmod(F.col("bit"), F.lit(8)).cast("int")) == 1).drop("bucket", "bit", "bits")
 
 
-def _perhaps(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """The rows whose (doc, tie) may be among those of ``held``: all that are, and few others as long as the bitmap has room.
-
-    The bitmap has ``BITMAP`` bits, whatever the tables, so it can be broadcast; texts that it rules out are not shuffled.
-    """
-    place = F.pmod(F.xxhash64("doc", "tie"), F.lit(BITMAP))
-    return _marked(rows, place, held.select(place.alias("place")))
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("doc", "tie", "line"), F.lit(LINE_BITS))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose sets have the similarity."""
+    """The pairs (a, b) of ids whose sets have the similarity. Only lines that are in a pair (and few others, as long as
+    the bitmap of ``LINE_BITS`` bits has room, which is broadcast whatever the corpus) leave their texts."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    held = staged(places.join(wanted, "id").groupBy("doc", "tie").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "wanted")
+    held = staged(places.join(wanted, "id"), "wanted")
+    cut = rows.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    cut = _marked(cut, _bit(), held.select(_bit().alias("place"))).join(held, ["doc", "tie", "line"]).select("id", "value")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        column, ids = [], []
-        for value, wanted in zip(batch.column(0), batch.column(1)):
-            lines = (value.as_py() or "").encode().lower().split(b"\n")
-            for x in wanted.as_py():
-                column.append(lines[x["line"]])
-                ids.append(x["id"])
-        w = Words(column, 1)
-        words = [np.unique(x).view(np.int64) for x in np.split(w.hash[0], np.cumsum(w.count)[:-1])] if column else []
-        yield {"id": ids, "words": words}
-
-    words = by_batch(_perhaps(rows, held).join(held, ["doc", "tie"]).select("text", "wanted"), work, "id long, words array<bigint>")
-    words = staged(words, "words")
+        ids = batch.column(0).to_numpy()
+        for begin, lines in slices(batch.column(1)):
+            w = Words([x.lower() for x in lines], 1)
+            words = [np.unique(x).view(np.int64) for x in np.split(w.hash[0], np.cumsum(w.count)[:-1])]
+            yield {"id": ids[begin : begin + len(lines)], "words": words}
+
+    words = staged(by_batch(cut, work, "id long, words array<bigint>"), "words")
+    discard(held)
     both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
     both = both.join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * 5 >= (F.size("x") + F.size("y") - common) * 4).select("a", "b")
+    similar = staged(both.filter(common * 5 >= (F.size("x") + F.size("y") - common) * 4).select("a", "b"), "similar")
+    discard(words)
+    return similar
 
 
 def _later(edges: DataFrame, earliest: DataFrame) -> DataFrame:
@@ -250,47 +317,28 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     earliest = staged(lines.groupBy("id", "check").agg(F.min(place).alias("place")), "earliest")
     places = earliest.select("id", "place.*")
 
-    place_bits = F.lit((1 << 20) - 1)
     # Of the lines with one set only the earliest brings its words (and few others, as long as the bitmap has room).
-    first = F.pmod(F.xxhash64("doc", "tie", "line"), F.lit(WORD_BITS))
-    keyed_lines = _marked(lines, first, places.select(first.alias("place"))).select("id", "size", "parity", F.explode("keys").alias("key"))
-    meta = F.shiftleft(F.col("size").cast("long"), 20).bitwiseOR(F.col("key").bitwiseAND(place_bits))
-    spread = keyed_lines.select(F.shiftright("key", 20).alias("word"), "id", "parity", meta.alias("meta"))
-    spread = _pairing(spread)
-    member = F.struct("id", "parity", F.shiftright("meta", 20).alias("size"), F.col("meta").bitwiseAND(place_bits).alias("at")).alias("m")
-    hot_word = F.col("word") >= F.lit(1 << 42)
-    by_word = Window.partitionBy("word")
-    cold = spread.filter(~hot_word).repartition("word")
-    cold = cold.select("word", member, F.min("id").over(by_word).alias("lo"), F.max("id").over(by_word).alias("hi"), F.count_if(_early("meta")).over(by_word).alias("n"))
-    hot = spread.filter(hot_word)
-    seen = hot.groupBy("word").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if(_early("meta")).alias("n"))
-    hot = hot.join(seen, "word").select("word", member, "lo", "hi", "n").filter("lo != hi and n > 0")
-    cold = cold.filter("lo != hi and n > 0").select("word", "m", "n")
-
-    # Pairs of small groups and members of large ones come out of one pass, as both read the same shuffle.
-    small = cold.filter(F.col("n") <= GROUP)
-    first_part = small.select("word", F.col("m").alias("x")).filter(F.col("x.at") < _early_places(F.col("x.size")))
-    pairs = first_part.join(small.select("word", F.col("m").alias("y")), "word")
-    larger = (F.col("y.size") > F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.id") != F.col("x.id")))
-    pairs = pairs.filter(larger & _passes("x", "y"))
-    none = F.lit(None)
-    found = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), none.cast("long").alias("word"), none.cast(MEMBER).alias("m"))
-    for rest in (cold.filter(F.col("n") > GROUP), hot):
-        found = found.union(rest.select(none.cast("long").alias("a"), none.cast("long").alias("b"), "word", F.col("m").cast(MEMBER).alias("m")))
-    found = staged(found, "groups")
-    groups = found
-    pairs, members = found.filter("word is null").select("a", "b"), found.filter("word is not null").select("word", "m")
-    ids = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
+    keyed_lines = _marked(lines.filter(F.size("keys") > 0), _bit(), places.select(_bit().alias("place")))
+    keyed_lines = keyed_lines.select("id", "parity", "more", "size", "lead", "cold", F.posexplode("keys").alias("at", "word"))
+    spread = keyed_lines.select("word", "id", "parity", "more", "size", (F.col("lead") + F.col("at")).alias("at"), (F.col("at") >= F.col("cold")).alias("hot"))
+    hot = spread.filter("hot")
+    early = F.count_if(_early(F.col("at"), F.col("size")))
+    seen = hot.groupBy("word").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), early.alias("n")).filter("lo != hi and n > 0")
+    hot = hot.join(seen.select("word"), "word").select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "word", *MEMBER)
+    found = staged(_met(spread.filter("not hot").drop("hot")).union(hot), "found")
 
-    large = members.distinct()
+    ids = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
+    large = found.filter("word is not null").select("word", F.struct(*MEMBER).alias("m")).distinct()
     large = staged(large.join(earliest.select(F.col("id").alias("of"), "place"), F.col("m.id") == F.col("of")).select("word", "m", "place"), "large")
-    pairs = staged(pairs.distinct(), "pairs")
-    discard(groups)
+    pairs = staged(found.filter("word is null").select("a", "b").distinct(), "pairs")
+    discard(found)
     rank = F.row_number().over(Window.partitionBy("word").orderBy("place"))
     hubs = large.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("word", F.col("m").alias("y"), F.col("place").alias("before"))
     met = large.select("word", F.col("m").alias("x"), "place").join(hubs, "word").filter((F.col("before") < F.col("place")) & _passes("x", "y"))
-    edges = staged(_verified(staged(pairs.union(met.select(*ids)).distinct(), "pairs"), rows, places), "similar")
-    settled = staged(_later(edges, earliest), "settled")
+    first_pairs = staged(pairs.union(met.select(*ids)).distinct(), "pairs")
+    discard(pairs)
+    settled = staged(_later(_verified(first_pairs, rows, places), earliest), "settled")
+    discard(first_pairs)
 
     open_ = large.join(settled, F.col("m.id") == F.col("id"), "left_anti").select("word", F.col("m").alias("x"), "place")
     rest = open_.join(large.select("word", F.col("m").alias("y"), F.col("place").alias("before")), "word")

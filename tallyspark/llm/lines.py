@@ -43,7 +43,7 @@ FAN_IN, MOST = 8, 2**16 - 1
 #: Sets with a prefix word up to which all are compared, and earliest sets that the members of larger groups meet first.
 GROUP, HUBS = 256, 8
 #: Prefix words that a task compares at a time, and pairs at a time.
-ROWS, PAIRS = 1 << 17, 1 << 20
+ROWS, PAIRS = 1 << 17, 1 << 17
 #: Occurrences of a word (by the table) from which its group is not brought together in one task.
 HOT = 1 << 14
 #: Bits by which lines are chosen before they are shuffled (16 MB).
@@ -65,23 +65,29 @@ def _flat(held: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 def rarity(rows: DataFrame) -> np.ndarray:
     """For each bucket, 12 times the binary logarithm of its words' occurrences (0: one or none; counts end at MOST).
 
-    Each task counts into a table of its own; tables are added up by tasks, FAN_IN at a time, until one is left.
+    Each task counts into a table of its own, which travels compressed, as most of it is empty; tables are added up by
+    tasks, FAN_IN at a time, until one is left.
     """
 
+    def packed(table: np.ndarray) -> bytes:
+        return pa.compress(np.minimum(table, MOST).astype(np.uint16), codec="zstd", asbytes=True)
+
+    def unpacked(counts: bytes | pa.Buffer) -> np.ndarray:
+        return np.frombuffer(pa.decompress(counts, 2 * BUCKETS, codec="zstd"), np.uint16)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for _, held in slices(batch.column(0)):
                 h = Words([t.lower() for t in held], 1).hash[0]
                 np.add.at(table, (h >> np.uint64(42)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.minimum(table, MOST).astype(np.uint16).tobytes()])], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([packed(table)])], names=["part", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(BUCKETS, np.uint32)
         for x in group.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.uint16)
-        total = np.minimum(total, MOST).astype(np.uint16)
-        return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int32()), "counts": pa.array([total.tobytes()])})
+            total += unpacked(x.as_buffer())
+        return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int32()), "counts": pa.array([packed(total)])})
 
     schema = "part int, counts binary"
     tables = staged(rows.select("text").mapInArrow(count, schema), "rarity")
@@ -92,7 +98,7 @@ def rarity(rows: DataFrame) -> np.ndarray:
         discard(before)
     found = tables.first()
     discard(tables)
-    counts = np.frombuffer(found.counts, np.uint16) if found else np.zeros(BUCKETS, np.uint16)
+    counts = unpacked(bytes(found.counts)) if found else np.zeros(BUCKETS, np.uint16)
     return np.round(12 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 

@@ -90,3 +90,29 @@ def test_sets_are_in_one_order():
     s = lines.Sets([b"b a b c", b"", b"c b a"], rare)
     assert s.size.tolist() == [3, 0, 3] and s.h[:3].tolist() == s.h[3:].tolist()
     assert s.sums(1)[0] == s.sums(1)[2] != s.sums(1)[1] and s.parity()[0] == s.parity()[2]
+
+
+@pytest.mark.parametrize("most,pairs", [(1000, 1 << 17), (1000, 1), (3, 50)])
+def test_compared_loses_no_similar_pair(monkeypatch, most, pairs):
+    """Every pair of similar sets meets under some word, or both are members of a group that is too large."""
+    monkeypatch.setattr(lines, "PAIRS", pairs)
+    r = random.Random(most + pairs)
+    base = [[f"w{r.randrange(200)}" for _ in range(r.randrange(4, 40))] for _ in range(12)]
+    texts = sorted({" ".join(sorted(set(r.sample(b, len(b) - r.randrange(2)) + [f"w{r.randrange(200)}"]))) for b in base for _ in range(8)})
+    rare = np.ones(lines.BUCKETS, np.uint8)
+    s = lines.Sets([t.encode() for t in texts], rare)
+    use = np.flatnonzero(s.place < (s.size - (4 * s.size + 4) // 5 + 1)[s.line])
+    line = s.line[use]
+    c = {"word": (s.h[use] >> np.uint64(32)).astype(np.int64), "id": line.astype(np.int64), "parity": s.parity(0)[line], "more": s.parity(1)[line], "size": s.size[line], "at": s.place[use]}
+    order = np.lexsort((c["size"], c["word"]))
+    met, large = set(), {}
+    for found in lines._compared({k: v[order] for k, v in c.items()}, most):
+        if "a" in found:
+            met |= set(zip(found["a"].tolist(), found["b"].tolist()))
+        else:
+            for w, i in zip(found["word"].tolist(), found["id"].tolist()):
+                large.setdefault(w, set()).add(i)
+    words = [set(t.split()) for t in texts]
+    similar = [(i, j) for j in range(len(texts)) for i in range(j) if len(words[i] & words[j]) * 5 >= len(words[i] | words[j]) * 4]
+    assert similar and all(i < j for i, j in met) and bool(large) == (most == 3)
+    assert all(p in met or any(p[0] in g and p[1] in g for g in large.values()) for p in similar)

@@ -127,6 +127,21 @@ def _(t: Views) -> DataFrame:
     return complete.calendar_gaps(t.events, ["user_id"], "ts", dt.date(2023, 12, 30), dt.date(2024, 2, 2))
 
 
+# Gaps of a campaign's order days over several years: days in a row that are missing fall together.
+SPAN = dt.date(1994, 11, 5), dt.date(1998, 3, 17)
+
+
+@query(
+    "c09_calendar_gap_spans",
+    f"""WITH days AS (SELECT CAST(unnest(generate_series(DATE '{SPAN[0]}', DATE '{SPAN[1]}', INTERVAL 1 DAY)) AS DATE) AS d),
+            gaps AS (SELECT o_custkey, d FROM (SELECT DISTINCT o_custkey FROM orders), days EXCEPT SELECT o_custkey, CAST(o_orderdate AS DATE) FROM orders),
+            runs AS (SELECT *, d - CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY d) AS INTEGER) AS run FROM gaps)
+       SELECT o_custkey, min(d) AS gap_start, max(d) AS gap_end, count(*) AS n_days FROM runs GROUP BY o_custkey, run""",
+)
+def _(t: Views) -> DataFrame:
+    return complete.calendar_gap_spans(t.orders, ["o_custkey"], "o_orderdate", *SPAN)
+
+
 @query(
     "c10_freshness",
     f"""SELECT 'lineitem' AS table_name, l_returnflag || l_linestatus AS key, min({day('l_shipdate')}) AS first_date,

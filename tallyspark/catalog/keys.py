@@ -144,6 +144,20 @@ def _(t: Views) -> DataFrame:
     return keys.keep_one_per_key(orders, ["o_custkey"], [newest, F.col("o_orderkey")])
 
 
+@query(
+    "k11_keep_one_located",
+    """SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+       CAST(l_shipdate AS DATE) AS ship_date
+       FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(l_shipdate AS DATE) DESC, l_orderkey, l_linenumber) AS rn FROM lineitem)
+       WHERE rn = 1""",
+)
+def _(t: Views) -> DataFrame:
+    newest = -F.unix_date(F.col("l_shipdate").cast("date"))
+    last = keys.keep_one_located(t.lineitem, ["l_partkey"], [newest, F.col("l_orderkey"), F.col("l_linenumber")])
+    columns = "l_partkey l_orderkey l_linenumber l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus".split()
+    return last.select(*columns, F.col("l_shipdate").cast("date").alias("ship_date"))
+
+
 @query(
     "k12_keys_per_name",
     "SELECT c_mktsegment, c_nationkey, count(DISTINCT c_custkey) AS n_keys FROM customer GROUP BY 1, 2",

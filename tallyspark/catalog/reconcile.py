@@ -224,6 +224,30 @@ def _(t: Views) -> DataFrame:
     return rec.compare_sums(a, b, ["segment", "cal_year", "fiscal_period"], {"usd_ratio": ("spend_usd", "budget_usd")}, "full")
 
 
+@query(
+    "x11_cross_domain_brand",
+    f"""{with_views('perf', 'products', 'planned', 'calendar')},
+        firsts AS (SELECT l_orderkey AS plan_line_id, min({{'n': l_linenumber, 'p': l_partkey}}).p AS product_id FROM lineitem GROUP BY 1),
+        a AS (SELECT brand, cal_year, fiscal_period, sum(spend_usd) AS spend_usd FROM perf JOIN products USING (product_id)
+              JOIN calendar ON date = calendar_date GROUP BY ALL),
+        b AS (SELECT brand, cal_year, fiscal_period, sum(budget_usd) AS budget_usd FROM planned JOIN firsts USING (plan_line_id)
+              JOIN products USING (product_id) JOIN calendar ON plan_start = calendar_date GROUP BY ALL)
+        SELECT brand, cal_year, fiscal_period, {dbl('spend_usd')} AS spend_usd, {dbl('budget_usd')} AS budget_usd, {rat('spend_usd', 'budget_usd')} AS usd_ratio
+        FROM a FULL JOIN b USING (brand, cal_year, fiscal_period)""",
+)
+def _(t: Views) -> DataFrame:
+    """Spend by the brand of the product, budgets by the brand of the plan line's first product."""
+    days = t.calendar.select("calendar_date", "cal_year", "fiscal_period")
+    leading = t.delivery.groupBy("plan_line_id").agg(F.min(F.struct("creative_id", "product_id")).alias("first"))
+    planned = t.planned.join(leading.select("plan_line_id", "first.product_id"), "plan_line_id")
+    # Both sides are added up by product and day before they meet the dims.
+    spent = sum_by(t.perf, ["product_id", "date"], ["spend_usd"]).join(t.brand_dim, "product_id")
+    budget = sum_by(planned, ["product_id", "plan_start"], ["budget_usd"]).join(t.brand_dim, "product_id")
+    a = spent.join(days, F.col("date") == F.col("calendar_date"))
+    b = budget.join(days, F.col("plan_start") == F.col("calendar_date"))
+    return rec.compare_sums(a, b, ["brand", "cal_year", "fiscal_period"], {"usd_ratio": ("spend_usd", "budget_usd")}, "full")
+
+
 VERSION_SQL = "year(o_orderdate) || 'H' || CASE WHEN month(o_orderdate) <= 6 THEN 1 ELSE 2 END"
 
 

@@ -116,6 +116,28 @@ def keep_one_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column])
     return first.select(*[F.col(k) if k in key else F.col(f"__first.{k}").alias(k) for k in df.columns])
 
 
+#: Files up to which a second read is limited to the files that hold a chosen row, by their names.
+NAMED_FILES = 10_000
+
+
+def keep_one_located(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """As ``keep_one_per_key`` for a frame read from files, with whole rows fetched last (late materialisation).
+
+    The first pass reads the key and the order alone and finds the address of each key's first row: its file and its
+    number there, to which remaining ties fall. The second pass reads whole rows only from files that hold a chosen
+    one, and takes those whose address is among the chosen ones. ``df`` may filter the files but not join or group.
+    """
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    ranks = [f"__o{i}" for i in range(len(order))]
+    narrow = df.select(*key, *[o.alias(r) for o, r in zip(order, ranks)], *place)
+    first = narrow.groupBy(*key).agg(F.min(F.struct(*ranks, "__file", "__row")).alias("__first"))
+    chosen = measured(first.select("__first.__file", "__first.__row"))
+    files = [r[0] for r in chosen.select("__file").distinct().limit(NAMED_FILES + 1).collect()]  # names of files only
+    if len(files) <= NAMED_FILES:
+        df = df.filter(F.col("_metadata.file_path").isin(files))
+    return df.select("*", *place).join(chosen, ["__file", "__row"], "left_semi").select(*df.columns)
+
+
 def keys_per_name(df: DataFrame, name: Sequence[str], key: str, out: str = "n_keys") -> DataFrame:
     """Number of distinct keys under each name."""
     return df.groupBy(*name).agg(F.countDistinct(key).alias(out))

@@ -43,6 +43,29 @@ def test_calendar_gaps(dated, rows):
     assert len([r for r in got if r[0] == "c"]) == 5
 
 
+def test_gap_spans_are_the_gaps_by_day_in_runs(spark, rows):
+    import random
+
+    rng, first = random.Random(5), dt.date(2023, 12, 20)
+    day = [first + dt.timedelta(i) for i in range(200)]
+    # "a" holds most rows, "b" the ends and the ends of words, "c" all days, "d" none in the range, None is a key.
+    data = [("a", rng.choice(day)) for _ in range(3000) if rng.random() < 0.1] + [("b", day[i]) for i in (0, 63, 64, 127, 199)]
+    data += [("c", d) for d in day] * 2 + [("d", dt.date(2023, 12, 19)), ("d", None), (None, day[100])]
+    df = spark.createDataFrame(data, "k string, d date")
+    want, spans = [], []
+    for k in sorted({k for k, _ in data}, key=lambda k: (k is not None, k)):
+        have = {d for j, d in data if j == k}
+        for d in (d for d in day if d not in have):
+            new = not spans or spans[-1][0] != k or spans[-1][2] + dt.timedelta(1) != d
+            want.append((k, d))
+            spans = [*spans, (k, d, d, 1)] if new else [*spans[:-1], (k, spans[-1][1], d, spans[-1][3] + 1)]
+    assert rows(complete.calendar_gaps(df, ["k"], "d", day[0], day[-1])) == want
+    assert rows(complete.calendar_gap_spans(df, ["k"], "d", day[0], day[-1])) == spans
+    assert complete.calendar_gap_spans(df.limit(0), ["k"], "d", day[0], day[-1]).count() == 0
+    one_day = rows(complete.calendar_gap_spans(df, ["k"], "d", day[0], day[0]))
+    assert ("d", day[0], day[0], 1) in one_day and not any(r[0] in ("b", "c") for r in one_day)
+
+
 def test_freshness_year_bounds_and_missing(dated, rows):
     d = dt.date
     assert rows(complete.freshness(dated, ["k"], "d"))[0] == ("a", d(2022, 1, 1), d(2024, 3, 1), 3)

@@ -80,6 +80,27 @@ def test_keep_one_per_key_follows_the_total_order(spark, rows):
     assert rows(got) == [(None, 1, "n"), ("k", 3, "a"), ("m", 2, "only")]
 
 
+def test_keep_one_located_fetches_whole_rows_last(spark, rows, tmp_path):
+    wide = F.concat(F.lit("w"), "id").alias("wide")
+    # A third of the rows has one key; ties in d fall to the order's second column; one key is null.
+    k = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 != 1, F.col("id") % 97).alias("k")
+    spark.range(5000).select(k, (F.col("id") * 7 % 40).alias("d"), "id", wide).repartition(6).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    order = [-F.col("d"), F.col("id")]
+    got = keys.keep_one_located(df, ["k"], order)
+    assert got.columns == df.columns
+    assert rows(got) == rows(keys.keep_one_per_key(df, ["k"], order))
+    assert rows(keys.keep_one_located(df.filter("id < 10"), ["k"], order)) == rows(keys.keep_one_per_key(df.filter("id < 10"), ["k"], order))
+    assert keys.keep_one_located(df.filter("id < 0"), ["k"], order).count() == 0
+    # Without an order that tells rows apart, one row of each key stays.
+    assert keys.keep_one_located(df, ["k"], [F.col("d") * 0]).count() == df.select("k").distinct().count()
+    # The wide column is read by the scan that fetches rows and is not in the plan that finds their addresses.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    found = plan[plan.index("InMemoryRelation") :]
+    assert "Join LeftSemi" in plan and "wide" not in found
+    spark.catalog.clearCache()
+
+
 def test_grain_duplicates_sql_equals_the_dataframe_form(planted, spark, rows):
     planted.createOrReplaceTempView("planted")
     assert rows(spark.sql(keys.grain_duplicates_sql("planted", ["id"]))) == rows(keys.grain_duplicates(planted, ["id"]))

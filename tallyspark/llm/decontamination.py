@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import fresh, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -92,6 +92,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     id are left out, as no result can name them; rows that share an id are taken as parts of one document, and
     texts that share an item_id as versions of one item. Items with equal texts are all reported. Empty tables give no rows.
     """
+    alike = _alike(docs.filter("doc_id is not null").select("doc_id", "text"), benchmark, similarity)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n")).alias("best")
+    return alike.groupBy("doc_id", "item.item_id").agg(best).select(
+        "doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"), F.col("best.n").alias("n_words")
+    )
+
+
+def _alike(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, row, start, n, item, similarity): all windows like an item; ``row`` is a hash of the text."""
     version = F.struct("item_id", F.xxhash64("text").alias("version")).alias("item")
     items = benchmark.filter("item_id is not null").select(version, "text").dropDuplicates(["item"])
     items = _shingled(items, "text", "words", "shingles").withColumn("fp", _simhash("shingles"))
@@ -100,7 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     places = staged(items.select("n", F.posexplode("shingles").alias("at", "h")).distinct(), "places")
     few = places.count() <= BROADCAST_SHINGLES
 
-    hashed = _shingled(docs.filter("doc_id is not null").select("doc_id", "text"), "text", "words", "shingles")
+    hashed = _shingled(docs, "text", "words", "shingles")
     hashed = hashed.select("doc_id", F.xxhash64("text").alias("row"), F.size("words").alias("size"), "shingles")
     window = F.slice("shingles", F.col("start") + 1, F.col("n") - (SHINGLE - 1)).alias("shingles")
     start = F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")
@@ -141,14 +150,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     theirs = pairs.join(items.select("item", "shingles"), "item").select(*key, F.explode("shingles").alias("h"), F.lit(0).alias("a"), F.lit(1).alias("b"))
     weights = mine.union(theirs).groupBy(*key, "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     likeness = (F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))).alias("similarity")
-    alike = weights.groupBy(*key).agg(likeness).filter(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n")).alias("best")
-    return alike.groupBy("doc_id", "item.item_id").agg(best).select(
-        "doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("start"), F.col("best.n").alias("n_words")
-    )
+    return weights.groupBy(*key).agg(likeness).filter(F.col("similarity") >= similarity)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark; rows without an id stay."""
-    bad = leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("leaked"), "left_anti")
+    """The rows of ``docs`` whose text holds no item of the benchmark.
+
+    Every row is judged by its own text, also where ids repeat or are null. Empty tables: no rows, or all rows.
+    """
+    no_id = F.lit(-(1 << 63))
+    held = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc_id"), "text")
+    id_, text = fresh(docs.columns, "leaked"), fresh(docs.columns, "leaked_text")
+    bad = _alike(held, benchmark, similarity).select(F.col("doc_id").alias(id_), F.col("row").alias(text)).distinct()
+    same = (F.coalesce(docs["doc_id"].cast("long"), no_id) == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(text))
+    return docs.join(bad, same, "left_anti")

@@ -52,12 +52,18 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each row."""
+    return _fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
+
+
+def _fingerprints(rows: DataFrame, words: int) -> DataFrame:
+    """The columns of ``rows`` (longs, the text last) with fp in place of the text."""
+    names = rows.columns[:-1]
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        fps = np.array([fingerprint(t, words) for t in texts(batch.column(1))], np.uint64)
-        yield {"doc_id": batch.column(0), "fp": fps.view(np.int64)}
+        fps = np.array([fingerprint(t, words) for t in texts(batch.column(len(names)))], np.uint64)
+        yield {n: batch.column(i) for i, n in enumerate(names)} | {"fp": fps.view(np.int64)}
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, fp long")
+    return by_batch(rows, work, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def _filed(fps: DataFrame) -> DataFrame:
@@ -95,6 +101,12 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.select("a", "b").union(stars)
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """fp, least, root: a name of the component of each distinct fingerprint."""
+    roots = components(links(nodes)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links) of each row of ``docs`` (doc_id, text).
 
@@ -103,8 +115,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     marked = staged(fingerprints(docs, words), "fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _rooted(nodes)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id"
@@ -118,14 +129,20 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group of near-duplicates.
+    """One row of each group of near-duplicates: the first by doc_id, rows without an id last.
 
-    Of repeated ids one row stays, the least by its columns. Rows without an id stay, as no component bears their name.
+    Every row is judged by its own text, also where ids repeat or are null: rows of one id are told apart by a hash of
+    their texts, and of rows equal in both one stays, the least by its columns. An empty table gives no rows.
     """
-    found = near_duplicates(docs, words)
-    key = fresh(docs.columns, "kept")
-    ids = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(ids, docs["doc_id"] == F.col(key), "left_semi")
+    tie, kept = fresh(docs.columns, "tie"), fresh(docs.columns, "kept")
+    keyed = docs.withColumn(tie, F.xxhash64("text"))
+    marked = staged(_fingerprints(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tie).alias("tie"), "text"), words), "marked")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
+    nodes = staged(marked.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
+    firsts = _rooted(nodes).groupBy("root").agg(F.min("least").alias("least"))
+    id_, text = fresh(keyed.columns, "first_id"), fresh(keyed.columns, "first_text")
+    firsts = firsts.select(F.col("least.doc_id").alias(id_), F.col("least.tie").alias(text))
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (keyed[tie] == F.col(text))
     ranked = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    first = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*ranked)).alias(key)).select(f"{key}.*")
-    return first.union(docs.filter(F.col("doc_id").isNull()))
+    first = keyed.join(firsts, same, "left_semi").groupBy("doc_id", tie).agg(F.min_by(F.struct(*docs.columns), F.struct(*ranked)).alias(kept))
+    return first.select(f"{kept}.*")

@@ -81,7 +81,9 @@ def test_edges(spark, monkeypatch, limit):
     got = {(x.doc_id, x.item_id): (x.similarity, x.start) for x in d.leaks(sd, si).collect()}
     assert got == {(1, 1): (1.0, 3000), (1, 2): (1.0, 3000), (8, 1): (1.0, 0), (8, 2): (1.0, 0), (6, 6): (1.0, 0), (7, 6): (1.0, 0)}
     kept = d.drop_leaks(sd, si)
-    assert kept.columns == sd.columns and sorted(x.doc_id or 0 for x in kept.collect()) == [0, 2, 3, 4, 5, 9]
+    assert kept.columns == sd.columns and sorted((x.doc_id, x.text[:5] if x.text else x.text) for x in kept.collect()) == [
+        (2, None), (3, ""), (4, "alpha"), (5, "too s"), (8, "other"), (8, "other"), (9, "x x x")
+    ]
     assert d.leaks(sd.limit(0), si).count() == 0 and d.leaks(sd, si.limit(0)).count() == 0
 
 

@@ -13,6 +13,8 @@ from ..operators import kpi
 from ..operators.scope import drill
 from ..plans.bindings import MEASURES, QUARTILES, Views, with_views
 from ..sources import extracts
+from ..sources.scratch import scratch_path
+from ..sources.sinks import split_hot, write_bucketed
 from .registry import big, counts, dbl, query, rat, raw_ratio, sums, unsigned_zero, yr
 from .sources import EXTRACT_HEADING, write_extracts
 
@@ -447,14 +449,17 @@ def _(t: Views) -> DataFrame:
     return rolled.join(kpi.reach_per_campaign(t.reach).drop("avg_reach"), "campaign_id", "left")
 
 
+WIDE_SQL = f"""{with_views('perf', 'campaigns', 'products', 'reach', 'planned', 'calendar')},
+    r AS (SELECT campaign_id, {rat('sum(value)', 'count(value)')} AS avg_reach FROM reach GROUP BY 1),
+    b AS (SELECT campaign_id, {sums('budget_usd')} FROM planned GROUP BY 1)
+    SELECT campaign_id, product_id, date, clicks, {dbl('spend_usd')} AS spend_usd, brand, country_id, avg_reach, budget_usd, cal_week_of_year
+    FROM perf LEFT JOIN products USING (product_id) LEFT JOIN campaigns USING (campaign_id)
+    LEFT JOIN r USING (campaign_id) LEFT JOIN b USING (campaign_id) JOIN calendar ON date = calendar_date"""
+
+
 @query(
     "m27_wide_join",
-    f"""{with_views('perf', 'campaigns', 'products', 'reach', 'planned', 'calendar')},
-        r AS (SELECT campaign_id, {rat('sum(value)', 'count(value)')} AS avg_reach FROM reach GROUP BY 1),
-        b AS (SELECT campaign_id, {sums('budget_usd')} FROM planned GROUP BY 1)
-        SELECT campaign_id, product_id, date, clicks, {dbl('spend_usd')} AS spend_usd, brand, country_id, avg_reach, budget_usd, cal_week_of_year
-        FROM perf LEFT JOIN products USING (product_id) LEFT JOIN campaigns USING (campaign_id)
-        LEFT JOIN r USING (campaign_id) LEFT JOIN b USING (campaign_id) JOIN calendar ON date = calendar_date""",
+    WIDE_SQL,
 )
 def _(t: Views) -> DataFrame:
     dims = [
@@ -465,6 +470,30 @@ def _(t: Views) -> DataFrame:
     return kpi.wide_join(fact, dims, t.reach, t.planned, t.calendar.select("calendar_date", "cal_week_of_year"), "date")
 
 
+@query("m27_wide_join_bucketed", WIDE_SQL)
+def _(t: Views) -> DataFrame:
+    """The same rows from tables stored in buckets of the campaign: only the joins by product and day shuffle."""
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    fact = t.perf.select("campaign_id", "product_id", "date", "clicks", "spend_usd")
+    rest, hot = split_hot(fact, "campaign_id", buckets)
+    frames = {"fact": rest, "campaigns": t.campaigns.select("campaign_id", "country_id"), "reach": t.reach, "planned": t.planned}
+
+    def stored(label: str) -> DataFrame:
+        path = scratch_path(t.spark, f"wide_{label}")
+        return write_bucketed(frames[label], path.rsplit("/", 1)[1].replace("-", "_"), path, "campaign_id", buckets)
+
+    rest, campaigns, reach, planned = [stored(label) for label in frames]
+    days = t.calendar.select("calendar_date", "cal_week_of_year")
+    dims = [(campaigns, "campaign_id", "left")]
+    # Hot campaigns are few: what belongs to them is looked up by a join that adaptive execution can split.
+    keys = F.broadcast(hot.select("campaign_id").distinct())
+    few = [df.join(keys, "campaign_id", "left_semi") for df in (campaigns, reach, planned)]
+    wide = kpi.wide_join(rest, dims, reach, planned, days, "date").unionByName(
+        kpi.wide_join(hot, [(few[0], "campaign_id", "left")], few[1], few[2], days, "date")
+    )
+    return wide.join(t.brand_dim, "product_id", "left")
+
+
 @query(
     "m28_audience_impressions",
     f"{with_views('perf', 'campaigns')} SELECT campaign_desc, segment, {counts('impressions')} FROM perf JOIN campaigns USING (campaign_id) GROUP BY 1, 2",

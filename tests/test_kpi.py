@@ -74,6 +74,44 @@ def test_wide_join_keeps_one_row_per_fact_row(spark, fact, plan):
     assert wide.count() == dated.count()
 
 
+def test_stored_buckets_join_without_a_shuffle(spark, rows, tmp_path):
+    from tallyspark.sources.sinks import split_hot, write_bucketed
+
+    # Campaign 7 and null hold a third of the rows each.
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 40).alias("campaign_id")
+    day = F.lit("2024-01-01").cast("date")
+    fact = spark.range(3000).select(key, "id", F.date_add(day, (F.col("id") % 9).cast("int")).alias("date"))
+    reach = spark.range(500).select((F.col("id") % 30).cast("int").alias("campaign_id"), F.col("id").cast("decimal(18,4)").alias("value"))
+    plan = spark.range(300).select(
+        (F.col("id") % 50).cast("int").alias("campaign_id"), (F.col("id") % 200).alias("plan_line_id"), F.lit(2).cast("decimal(18,4)").alias("budget_usd")
+    )
+    calendar = fact.select(F.col("date").alias("calendar_date")).distinct().withColumn("cal_week_of_year", F.weekofyear("calendar_date"))
+    dims = spark.range(45).select(F.col("id").cast("int").alias("campaign_id"), F.col("id").alias("country_id"))
+    rest, hot = split_hot(fact, "campaign_id", 8)
+    assert {r[0] for r in hot.select("campaign_id").distinct().collect()} == {7, None}
+    assert rows(rest.union(hot)) == rows(fact)
+
+    def stored(df, name):
+        return write_bucketed(df, f"buckets_{name}", str(tmp_path / name), "campaign_id", 8)
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(campaign_id")
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = kpi.wide_join(rest, [(dims, "campaign_id", "left")], reach, plan, calendar, "date")
+        a, b, c, d = stored(rest, "fact"), stored(dims, "dims"), stored(reach, "reach"), stored(plan, "plan")
+        wide = kpi.wide_join(a, [(b, "campaign_id", "left")], c, d, calendar, "date")
+        assert shuffles(plain) > 0 and shuffles(wide) == 0
+        assert rows(wide, *plain.columns) == rows(plain)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("fact", "dims", "reach", "plan"):
+            spark.sql(f"DROP TABLE IF EXISTS buckets_{name}")
+        spark.catalog.clearCache()
+
+
 def test_creative_tables(spark, rows):
     data = [("pre", "t1", 1, 1.0, Decimal(5)), ("pre", "t1", 1, 0.0, Decimal(5)), ("in", "t1", 1, 1.0, Decimal(5)), ("in", "t2", 2, 1.0, Decimal(7))]
     base = spark.createDataFrame(data, "status string, tier string, creative int, v double, spend decimal(18,4)")

@@ -134,15 +134,15 @@ def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
     Every row is judged by its own text, also where ids repeat or are null: rows of one id are told apart by a hash of
     their texts, and of rows equal in both one stays, the least by its columns. An empty table gives no rows.
     """
-    tie, kept = fresh(docs.columns, "tie"), fresh(docs.columns, "kept")
-    keyed = docs.withColumn(tie, F.xxhash64("text"))
-    marked = staged(_fingerprints(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tie).alias("tie"), "text"), words), "marked")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
-    nodes = staged(marked.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
+    key, tie, kept = (fresh(docs.columns, n) for n in ("key", "tie", "kept"))
+    no_id = F.lit((1 << 63) - 1)  # after all ids
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), no_id), tie: F.xxhash64("text")})
+    marked = keyed.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), "text")
+    marked = staged(_fingerprints(marked, words), "marked")
+    nodes = staged(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "tie")).alias("least")), "nodes")
     firsts = _rooted(nodes).groupBy("root").agg(F.min("least").alias("least"))
-    id_, text = fresh(keyed.columns, "first_id"), fresh(keyed.columns, "first_text")
-    firsts = firsts.select(F.col("least.doc_id").alias(id_), F.col("least.tie").alias(text))
-    same = keyed["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (keyed[tie] == F.col(text))
+    firsts = firsts.select(F.col("least.doc_id").alias(key), F.col("least.tie").alias(tie))
     ranked = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    first = keyed.join(firsts, same, "left_semi").groupBy("doc_id", tie).agg(F.min_by(F.struct(*docs.columns), F.struct(*ranked)).alias(kept))
+    # Joined and grouped by the same two columns, so whole rows are shuffled once.
+    first = keyed.join(firsts, [key, tie], "left_semi").groupBy(key, tie).agg(F.min_by(F.struct(*docs.columns), F.struct(*ranked)).alias(kept))
     return first.select(f"{kept}.*")

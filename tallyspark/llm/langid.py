@@ -3,7 +3,8 @@
 Each language is a distribution over letter trigrams (hashed to ``BUCKETS``), learned from labelled texts. A text's
 trigrams are taken as drawn from a mixture of languages, whose proportions are found by expectation-maximisation.
 Languages enter the text's set one by one, in the order of their proportions, as long as the likelihood of the refitted
-mixture gains more than a penalty for each. The prediction is the largest part of the chosen mixture.
+mixture gains more than a penalty for each. The prediction is the largest part of the chosen mixture. Equal trigrams of a
+text are one row with a count, so a text of any length takes BUCKETS rows at most.
 """
 
 from __future__ import annotations
@@ -36,17 +37,47 @@ SLICE = 1 << 20
 LETTER = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
 
 
-def trigrams(column: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket for each letter (the letter and its neighbours, which count as blank if they are no letters), and the number of letters of each text."""
-    low = [(t or "").lower() for t in column]
-    code = np.frombuffer(" ".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _hashed(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where letters are, and a bucket for each (the letter and its neighbours, which count as blank if they are no letters).
+
+    The first and the last code are neighbours only.
+    """
     letter = LETTER[code]
     code = np.where(letter, code, np.uint32(0))
-    at = np.flatnonzero(letter)
+    at = np.flatnonzero(letter[1:-1]) + 1
     h = code[at - 1] * np.uint32(0x9E3779B1) ^ code[at] * np.uint32(0x85EBCA77) ^ code[at + 1] * np.uint32(0xC2B2AE3D)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return at, (h >> np.uint32(16)).astype(np.int32) & (BUCKETS - 1)
+
+
+def _code(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def trigrams(column: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket for each letter, and the number of letters of each text."""
+    low = [(t or "").lower() for t in column]
+    at, buckets = _hashed(_code(" ".join(["", *low, ""])))
     ends = np.cumsum([1] + [len(t) + 1 for t in low])
-    return (h >> np.uint32(16)).astype(np.int32) & (BUCKETS - 1), np.diff(np.searchsorted(at, ends))
+    return buckets, np.diff(np.searchsorted(at, ends))
+
+
+def profiles(column: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The different buckets of each text, and how many letters have each.
+
+    Texts of more than SLICE characters are counted piece by piece, so their letters are never laid out at once.
+    """
+    buckets, counts = trigrams([t if t and len(t) <= SLICE else None for t in column])
+    for text, own in zip(column, np.split(buckets, np.cumsum(counts)[:-1])):
+        if text and len(text) > SLICE:
+            low = f" {text.lower()} "
+            seen = np.zeros(BUCKETS, np.int64)
+            for begin in range(0, len(low) - 2, SLICE):
+                seen += np.bincount(_hashed(_code(low[begin : begin + SLICE + 2]))[1], minlength=BUCKETS)
+            found = np.flatnonzero(seen)
+            yield found.astype(np.int32), seen[found]
+        else:
+            yield np.unique(own, return_counts=True)
 
 
 class Model:
@@ -58,30 +89,32 @@ class Model:
         self.log = np.log(self.p)
 
     @staticmethod
-    def fitted(p: np.ndarray) -> tuple[np.ndarray, float]:
-        """Proportions of the mixture, and its log-likelihood."""
-        part = np.full(p.shape[1], 1 / p.shape[1], np.float32)
+    def fitted(p: np.ndarray, times: np.ndarray | int = 1) -> tuple[np.ndarray, float]:
+        """Proportions of the mixture, and its log-likelihood; ``times`` says how often each row of ``p`` was seen."""
+        times = np.full(len(p), times, np.float32)
+        part, n = np.full(p.shape[1], 1 / p.shape[1], np.float32), np.float32(times.sum(dtype=np.float64))
         for _ in range(ROUNDS):
-            part = part * ((1 / (p @ part)) @ p) / np.float32(len(p))
-        return part / part.sum(), float(np.log(p @ part).sum(dtype=np.float64))
+            part = part * ((times / (p @ part)) @ p) / n
+        return part / part.sum(), float((np.log(p @ part) * times).sum(dtype=np.float64))
 
-    def text(self, buckets: np.ndarray) -> tuple[str, float, list[str], bool]:
+    def text(self, buckets: np.ndarray, counts: np.ndarray | int = 1) -> tuple[str, float, list[str], bool]:
         """Language, its share, the chosen set, and whether chance does not explain the text far better than the set."""
-        n = len(buckets)
+        times = np.full(len(buckets), counts, np.float32)
+        n = int(times.sum(dtype=np.float64))
         if not n:
             return UNKNOWN, 0.0, [], False
         if not self.languages:
             return UNKNOWN, 0.0, [], True
-        single = self.log[buckets].sum(axis=0, dtype=np.float64)
+        single = (self.log[buckets] * times[:, None]).sum(axis=0, dtype=np.float64)
         p = self.p[buckets]
-        share, bound = self.fitted(p)
+        share, bound = self.fitted(p, times)
         chosen, part, like = [int(single.argmax())], share, float(single.max())
         cost = PENALTY * 0.5 * np.log(max(n, 2)) + LEAST_GAIN * n
         # No set's likelihood exceeds that of all languages together.
         if bound - like > cost:
             order = np.argsort(-share, kind="stable")
             for k in range(2, len(order) + 1):
-                more, gained = self.fitted(p[:, order[:k]])
+                more, gained = self.fitted(p[:, order[:k]], times)
                 if gained - like <= cost * (k - len(chosen)):
                     break
                 chosen, like = order[:k].tolist(), gained
@@ -91,8 +124,7 @@ class Model:
         return self.languages[best], float(min(1.0, part[best])), [self.languages[i] for i in chosen], bool(like > -n * np.log(BUCKETS) - FOREIGN)
 
     def texts(self, column: list[str | None]) -> list[tuple[str, float, list[str], bool]]:
-        buckets, counts = trigrams(column)
-        return [self.text(b) for b in np.split(buckets, np.cumsum(counts)[:-1])]
+        return [self.text(*profile) for profile in profiles(column)]
 
 
 def _slices(column: pa.Array | pd.Series) -> Iterator[list[str | None]]:
@@ -119,16 +151,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter("lang is not null and text is not null")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        languages = batch.column(1).to_pylist()
-        at = 0
+        languages, seen = iter(batch.column(1).to_pylist()), {}
         for held in _slices(batch.column(0)):
-            buckets, counts = trigrams(held)
-            owner = np.repeat(np.array(languages[at : at + len(held)], object), counts)
-            at += len(held)
-            for lang in dict.fromkeys(owner):
-                seen = np.bincount(buckets[owner == lang], minlength=BUCKETS)
-                found = np.flatnonzero(seen)
-                yield {"lang": [lang] * len(found), "bucket": found.astype(np.int32), "n": seen[found]}
+            for (buckets, counts), lang in zip(profiles(held), languages):
+                seen.setdefault(lang, np.zeros(BUCKETS, np.int64))[buckets] += counts
+        for lang, counts in seen.items():
+            found = np.flatnonzero(counts)
+            yield {"lang": [lang] * len(found), "bucket": found.astype(np.int32), "n": counts[found]}
 
     counted = by_batch(texts.select("text", "lang"), work, "lang string, bucket int, n long")
     # Languages x BUCKETS rows at most, whatever the corpus.

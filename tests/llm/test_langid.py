@@ -32,6 +32,16 @@ def test_trigrams_are_the_letters_and_their_neighbours():
     assert [x for t in alone for x in t] == buckets.tolist()
 
 
+def test_profiles_count_equal_trigrams_of_whole_texts(monkeypatch):
+    odd = "ΟΔΥΣΣΕΥΣ İstanbul ß, naïve 漢字 a1b \n\tΣ"
+    column = [odd * 40, None, "", odd, "x", "a" * 700, " " * 300, "word " * 200]
+    want = [np.bincount(langid.trigrams([t])[0], minlength=langid.BUCKETS) for t in column]
+    for size in (1 << 20, 500, 7, 1):
+        monkeypatch.setattr(langid, "SLICE", size)
+        for (buckets, counts), w in zip(langid.profiles(column), want, strict=True):
+            assert np.array_equal(np.flatnonzero(w), buckets) and np.array_equal(w[w > 0], counts)
+
+
 def test_held_out_accuracy(docs):
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
     out = langid.language_table(docs).collect()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,55 +92,44 @@ def coverage_matrix(df: DataFrame, key: str, date: str, years: Sequence[int]) ->
     )
 
 
-WORD_DAYS = 64
-
-
 def _days_present(df: DataFrame, key: Sequence[str], date: str, first: dt.date, last: dt.date) -> DataFrame:
-    """Key and ``words``: the days of the closed range on which it has a row, as bits, ``WORD_DAYS`` days to a long.
+    """Key and ``days``: the days of the closed range on which it has a row, in order, as numbers from 0.
 
-    A word is 8 bytes of a hash aggregate and is combined before the shuffle, so a key with a large part of all rows
-    brings one row per task and word. A key without a row in the range has an empty map.
+    Equal days are combined before the shuffle, so a key with a large part of all rows brings one row per task and day.
+    A key without a row in the range has no days.
     """
     at = F.datediff(F.col(date).cast("date"), F.lit(first))
     at = F.when(at.between(0, (last - first).days), at)
-    word = F.floor(at / WORD_DAYS).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at % WORD_DAYS)
-    words = df.select(*key, word.alias("__word"), bit.alias("__bit")).groupBy(*key, "__word").agg(F.bit_or("__bit").alias("__bits"))
-    entry = F.when(F.col("__word").isNotNull(), F.struct("__word", "__bits"))
-    return words.groupBy(*key).agg(F.map_from_entries(F.collect_list(entry)).alias("words"))
+    found = df.select(*key, at.alias("__at")).distinct()
+    return found.groupBy(*key).agg(F.array_sort(F.collect_list("__at")).alias("days"))
 
 
-def _missing(n: int) -> Callable[[Column], Column]:
-    """Whether day ``i`` of a range of ``n`` days is without a bit; days outside of the range are not missing."""
+def _spans(df: DataFrame, key: Sequence[str], date: str, first: dt.date, last: dt.date) -> DataFrame:
+    """Key and ``__span``: the numbers ``a`` and ``b`` of two days with no row between them and some day.
 
-    def test(i: Column) -> Column:
-        word = F.coalesce(F.try_element_at("words", F.floor(i / WORD_DAYS).cast("int")), F.lit(0).cast("long"))
-        return i.between(0, n - 1) & (F.getbit(word, F.pmod(i, F.lit(WORD_DAYS))) == 0)
-
-    return test
+    A gap lies between neighbouring days of a key (or the ends of the range), so the work follows the days that are
+    there, not the length of the range.
+    """
+    before = F.concat(F.array(F.lit(-1)), F.col("days"))
+    after = F.concat(F.col("days"), F.array(F.lit((last - first).days + 1)))
+    pairs = F.explode(F.arrays_zip(before.alias("a"), after.alias("b"))).alias("__span")
+    return _days_present(df, key, date, first, last).select(*key, pairs).filter("__span.b - __span.a > 1")
 
 
 def calendar_gaps(df: DataFrame, key: Sequence[str], date: str, first: dt.date, last: dt.date) -> DataFrame:
     """Days of a closed range on which a key has no row, one row per day."""
-    n = (last - first).days + 1
-    days = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), _missing(n))
-    rows = _days_present(df, key, date, first, last).select(*key, F.explode(days).alias("__at"))
+    days = F.explode(F.sequence(F.col("__span.a") + 1, F.col("__span.b") - 1)).alias("__at")
+    rows = _spans(df, key, date, first, last).select(*key, days)
     return rows.select(*key, F.date_add(F.lit(first), F.col("__at")).alias("missing_day"))
 
 
 def calendar_gap_spans(df: DataFrame, key: Sequence[str], date: str, first: dt.date, last: dt.date) -> DataFrame:
     """The same gaps as closed intervals: key, gap_start, gap_end, n_days; as many rows as gaps, however long they are."""
-    n = (last - first).days + 1
-    missing, days = _missing(n), F.sequence(F.lit(0), F.lit(n - 1))
-    starts = F.filter(days, lambda i: missing(i) & ~missing(i - 1))
-    ends = F.filter(days, lambda i: missing(i) & ~missing(i + 1))
-    spans = F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("__span")
-    rows = _days_present(df, key, date, first, last).select(*key, spans)
-    return rows.select(
+    return _spans(df, key, date, first, last).select(
         *key,
-        F.date_add(F.lit(first), F.col("__span.a")).alias("gap_start"),
-        F.date_add(F.lit(first), F.col("__span.b")).alias("gap_end"),
-        (F.col("__span.b") - F.col("__span.a") + 1).cast("bigint").alias("n_days"),
+        F.date_add(F.lit(first), F.col("__span.a") + 1).alias("gap_start"),
+        F.date_add(F.lit(first), F.col("__span.b") - 1).alias("gap_end"),
+        (F.col("__span.b") - F.col("__span.a") - 1).cast("bigint").alias("n_days"),
     )
 
 

@@ -66,6 +66,19 @@ def test_gap_spans_are_the_gaps_by_day_in_runs(spark, rows):
     assert ("d", day[0], day[0], 1) in one_day and not any(r[0] in ("b", "c") for r in one_day)
 
 
+def test_gap_spans_do_not_walk_the_range(spark, rows):
+    """Work follows the days that are there: no function runs over all days of the range."""
+    d = dt.date
+    df = spark.createDataFrame([("a", d(2000, 1, 2)), ("a", d(2000, 1, 2)), ("a", d(2000, 1, 4)), ("b", None)], "k string, d date")
+    got = complete.calendar_gap_spans(df, ["k"], "d", d(1000, 1, 1), d(3000, 1, 1))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(__" not in plan and "getbit" not in plan and "sequence(" not in plan
+    n = [(b - a).days + 1 for a, b in ((d(1000, 1, 1), d(2000, 1, 1)), (d(2000, 1, 5), d(3000, 1, 1)), (d(1000, 1, 1), d(3000, 1, 1)))]
+    assert rows(got) == [
+        ("a", d(1000, 1, 1), d(2000, 1, 1), n[0]), ("a", d(2000, 1, 3), d(2000, 1, 3), 1), ("a", d(2000, 1, 5), d(3000, 1, 1), n[1]), ("b", d(1000, 1, 1), d(3000, 1, 1), n[2]),
+    ]
+
+
 def test_freshness_year_bounds_and_missing(dated, rows):
     d = dt.date
     assert rows(complete.freshness(dated, ["k"], "d"))[0] == ("a", d(2022, 1, 1), d(2024, 3, 1), 3)

@@ -11,11 +11,12 @@ document) has a Jaccard similarity of ``SIMILARITY`` or more with it.
    the word and by 128 parity bits of their words, none of which drops a similar pair. Of two similar sets the smaller has
    the word even in its first n - ceil(8 n / 9) + 1 words, so only words that are there for some line bring lines
    together. Sets of up to 3 words are similar only if they are equal; they have no prefix.
-3. What is left is verified on the words themselves.
+3. What is left is verified on the words themselves. A set needs one earlier set that is similar, so each is first verified
+   with the earliest of those it is left with; only sets that this does not settle are verified with all the others.
 
 Lines with equal sets are one set with an earliest place. In a group of more than ``GROUP`` sets with one prefix word,
-(counting those that have it so early) each is first compared with the group's earliest sets only; sets that resemble one of them are settled, and the others
-are compared with the whole group.
+(counting those that have it so early) each is first compared with the group's earliest sets only; sets that are not settled then are compared with the
+whole group.
 """
 
 from __future__ import annotations
@@ -308,11 +309,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame
     return similar
 
 
-def _later(edges: DataFrame, earliest: DataFrame) -> DataFrame:
-    """Ids with a similar set that occurs earlier."""
-    first = edges.join(earliest.select(F.col("id").alias("a"), F.col("place").alias("at_a")), "a")
+def _in_order(pairs: DataFrame, earliest: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids with ``a`` as the set that occurs earlier, and its place ``before``."""
+    first = pairs.join(earliest.select(F.col("id").alias("a"), F.col("place").alias("at_a")), "a")
     first = first.join(earliest.select(F.col("id").alias("b"), F.col("place").alias("at_b")), "b")
-    return first.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    swap = F.col("at_a") > F.col("at_b")
+    ends = [F.when(swap, F.col(x)).otherwise(F.col(y)) for x, y in (("b", "a"), ("a", "b"), ("at_b", "at_a"))]
+    return first.select(ends[0].alias("a"), ends[1].alias("b"), ends[2].alias("before"))
+
+
+def _earliest_of(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, before), one for each ``b``: that with its earliest set."""
+    return pairs.groupBy("b").agg(F.min(F.struct("before", "a")).alias("first")).select("first.a", "b")
 
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
@@ -333,7 +341,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     hot = hot.join(seen.select("word"), "word").select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "word", *MEMBER)
     found = staged(_met(spread.filter("not hot").drop("hot")).union(hot), "found")
 
-    ids = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
+    ids = [F.col("y.id").alias("a"), F.col("x.id").alias("b")]  # y is the earlier set
     large = found.filter("word is not null").select("word", F.struct(*MEMBER).alias("m")).distinct()
     large = staged(large.join(earliest.select(F.col("id").alias("of"), "place"), F.col("m.id") == F.col("of")).select("word", "m", "place"), "large")
     pairs = staged(found.filter("word is null").select("a", "b").distinct(), "pairs")
@@ -341,15 +349,16 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("word").orderBy("place"))
     hubs = large.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("word", F.col("m").alias("y"), F.col("place").alias("before"))
     met = large.select("word", F.col("m").alias("x"), "place").join(hubs, "word").filter((F.col("before") < F.col("place")) & _passes("x", "y"))
-    first_pairs = staged(pairs.union(met.select(*ids)).distinct(), "pairs")
+    ordered = staged(_in_order(pairs, earliest).union(met.select(*ids, "before")), "ordered")
     discard(pairs)
-    settled = staged(_later(_verified(first_pairs, rows, places), earliest), "settled")
-    discard(first_pairs)
+    tried = staged(_earliest_of(ordered), "tried")
+    settled = staged(_verified(tried, rows, places).select(F.col("b").alias("id")), "settled")
 
     open_ = large.join(settled, F.col("m.id") == F.col("id"), "left_anti").select("word", F.col("m").alias("x"), "place")
     rest = open_.join(large.select("word", F.col("m").alias("y"), F.col("place").alias("before")), "word")
-    rest = rest.filter((F.col("before") < F.col("place")) & _passes("x", "y"))
-    late = settled.union(_later(_verified(staged(rest.select(*ids).distinct(), "pairs"), rows, places), earliest)).distinct()
+    rest = rest.filter((F.col("before") < F.col("place")) & _passes("x", "y")).select(*ids)
+    others = ordered.join(settled, F.col("b") == F.col("id"), "left_anti").select("a", "b").union(rest).join(tried, ["a", "b"], "left_anti")
+    late = settled.union(_verified(staged(others.distinct(), "pairs"), rows, places).select(F.col("b").alias("id"))).distinct()
 
     # All lines of a late set go, and of the others all but the earliest.
     first = earliest.join(late, "id", "left_anti").select("id", "check", F.col("place").alias("stays"))

@@ -116,3 +116,18 @@ def test_compared_loses_no_similar_pair(monkeypatch, most, pairs):
     similar = [(i, j) for j in range(len(texts)) for i in range(j) if len(words[i] & words[j]) * 5 >= len(words[i] | words[j]) * 4]
     assert similar and all(i < j for i, j in met) and bool(large) == (most == 3)
     assert all(p in met or any(p[0] in g and p[1] in g for g in large.values()) for p in similar)
+
+
+def test_near_copies_are_not_verified_pair_by_pair(spark, monkeypatch):
+    """Of n lines that all resemble each other, n - 1 pairs are verified, and all but the first line go."""
+    seen, verified = [], lines._verified
+
+    def count(pairs, rows, places):
+        seen.append(pairs.count())
+        return verified(pairs, rows, places)
+
+    monkeypatch.setattr(lines, "_verified", count)
+    common = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, f"{common} own{i}") for i in range(30)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.removed) for r in lines.line_table(df).collect()) == [(i, [0] if i else []) for i in range(30)]
+    assert seen == [29, 0]

@@ -131,3 +131,35 @@ def test_near_copies_are_not_verified_pair_by_pair(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"{common} own{i}") for i in range(30)], "doc_id long, text string")
     assert sorted((r.doc_id, r.removed) for r in lines.line_table(df).collect()) == [(i, [0] if i else []) for i in range(30)]
     assert seen == [29, 0]
+
+
+def test_near_copies_are_not_sent_pair_by_pair(spark, monkeypatch):
+    """Of n lines that all resemble each other no step writes more rows than there are lines, hot words included."""
+    staged = lines.staged
+    for hot in (1 << 14, 4):
+        sizes = {}
+
+        def count(df, label):
+            out = staged(df, label)
+            sizes[label] = max(sizes.get(label, 0), out.count())
+            return out
+
+        monkeypatch.setattr(lines, "staged", count)
+        monkeypatch.setattr(lines, "HOT", hot)
+        common = " ".join(f"w{i}" for i in range(40))
+        df = spark.createDataFrame([(i, f"{common} own{i}") for i in range(60)], "doc_id long, text string")
+        assert sorted((r.doc_id, r.removed) for r in lines.line_table(df).collect()) == [(i, [0] if i else []) for i in range(60)]
+        assert max(n for label, n in sizes.items() if label not in ("rarity", "hot")) <= 60
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_sets_that_are_not_settled_meet_all_others(spark, monkeypatch, most):
+    """The earliest candidate shares the filters' view but not enough words; a later one does."""
+    monkeypatch.setattr(lines, "GROUP", most)
+    monkeypatch.setattr(lines, "HUBS", 1)
+    monkeypatch.setattr(lines.Sets, "parity", lambda self, half=0: np.zeros(len(self.size), np.uint64))
+    base = [f"w{i}" for i in range(30)]
+    near = lambda out, into: " ".join([w for w in base if w not in out] + into)
+    rows = [(i, near(base[20 + i : 24 + i], [f"a{i}{k}" for k in range(4)])) for i in range(6)]
+    rows += [(10, near(base[:2], ["x", "y"])), (11, near(base[:2], ["x", "z"])), (12, near(base[:3], ["x", "z"]))]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), rows)

@@ -13,7 +13,7 @@ from ..operators.kpi import sum_by, sum_through
 from ..operators.scope import filter_years
 from ..plans.bindings import Views, with_views
 from ..sources import extracts
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, tasks_for
 from .registry import big, counts, day, dbl, query, rat, raw_ratio, rounded, sums, yr
 from .sources import write_with_preamble
 
@@ -96,12 +96,14 @@ CHANNEL = "country_id, year, channel_id, campaign_id"
         SELECT {CHANNEL}, {AMOUNTS}, {VARIANCE} FROM a JOIN p USING ({CHANNEL})""",
 )
 def _(t: Views) -> DataFrame:
-    # A plan line counts once for each channel that its lines have.
-    channels = t.delivery.select("plan_line_id", "channel_id").distinct()
+    # A plan line counts once for each channel that its lines have. Groups are nearly as many as the lines.
+    tasks = tasks_for(t.lineitem)
+    lines = with_year(t.delivery, "date").select("plan_line_id", "channel_id", "year", *rec.SPENDS).repartition(tasks, "plan_line_id")
+    channels = lines.select("plan_line_id", "channel_id").distinct()
     plan = with_year(t.planned_country, "plan_start").join(channels, "plan_line_id")
-    spent = with_year(t.perf, "date").select("campaign_id", "year", "channel_id", *rec.SPENDS)
+    spent = lines.join(t.planned.select("plan_line_id", "campaign_id"), "plan_line_id").repartition(tasks, "campaign_id")
     actual = sum_by(spent, ["campaign_id", "year", "channel_id"], rec.SPENDS).join(t.country_dim, "campaign_id")
-    return rec.plan_vs_actual(plan, actual, CHANNEL.split(", "))
+    return rec.plan_vs_actual(plan, actual, CHANNEL.split(", "), tasks)
 
 
 @query(

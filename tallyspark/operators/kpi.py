@@ -70,10 +70,13 @@ def grand_total(rollup: DataFrame, measures: Sequence[str]) -> DataFrame:
     return rollup.agg(*[F.sum(m).alias(f"total_{m}") for m in measures])
 
 
+def distinct_lines(plan: DataFrame, grain: Sequence[str], amounts: Sequence[str], line: str = "plan_line_id") -> DataFrame:
+    return plan.select(*dict.fromkeys([*grain, line, *amounts])).dropDuplicates()
+
+
 def planned_summary(plan: DataFrame, grain: Sequence[str], amounts: Sequence[str], line: str = "plan_line_id") -> DataFrame:
     """Budgets per grain, each distinct plan line (with its amounts) once."""
-    lines = plan.select(*dict.fromkeys([*grain, line, *amounts])).dropDuplicates()
-    return sum_by(lines, grain, amounts)
+    return sum_by(distinct_lines(plan, grain, amounts, line), grain, amounts)
 
 
 def measures_by(

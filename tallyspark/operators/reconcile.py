@@ -17,7 +17,7 @@ from ..functions.columns import all_of, any_of, col, days_inclusive, ratio
 from ..sources.scratch import measured, scratch_path
 from ..sources.tables import union_all
 from .keys import duplicate_row_count
-from .kpi import planned_summary, sum_by
+from .kpi import distinct_lines, planned_summary, sum_by
 
 BUDGETS = ("budget_usd", "budget_lc")
 SPENDS = ("spend_usd", "spend_lc")
@@ -49,10 +49,21 @@ def fx_vs_reference(ratios: DataFrame, fx: DataFrame, country: str, rate: str =
     return join_groups(ratios, fx, [country], "left").withColumn("vs_reference", ratio("actual_ratio", rate))
 
 
-def plan_vs_actual(plan: DataFrame, actual: DataFrame, grain: Sequence[str]) -> DataFrame:
-    """Actual in percent of plan, in both currencies."""
-    planned = planned_summary(plan, grain, BUDGETS)
-    return join_groups(sum_by(actual, grain, SPENDS), planned, grain).withColumns(
+def plan_vs_actual(plan: DataFrame, actual: DataFrame, grain: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """Actual in percent of plan, in both currencies.
+
+    With ``tasks`` both sides are dealt by the grain to so many tasks and added up there together, so that groups that are
+    nearly as many as the rows are held once, and by as many tasks as that takes.
+    """
+    if tasks is None:
+        both = join_groups(sum_by(actual, grain, SPENDS), planned_summary(plan, grain, BUDGETS), grain)
+    else:
+        lines = distinct_lines(plan, grain, BUDGETS).withColumn("__plan", F.lit(True))
+        sides = actual.select(*grain, *SPENDS, F.lit(False).alias("__plan")).unionByName(lines.drop("plan_line_id"), allowMissingColumns=True)
+        sums = [F.sum(c).alias(c) for c in (*SPENDS, *BUDGETS)]
+        both = sides.repartition(tasks, *grain).groupBy(*grain).agg(*sums, F.bool_or("__plan").alias("__any"), F.bool_and("__plan").alias("__all"))
+        both = both.filter("__any and not __all").drop("__any", "__all")
+    return both.withColumns(
         {"variance_usd": ratio("spend_usd", "budget_usd", 100), "variance_lc": ratio("spend_lc", "budget_lc", 100)}
     )
 

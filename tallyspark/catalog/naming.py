@@ -10,7 +10,7 @@ from ..operators import naming
 from ..operators.scope import match_text
 from ..plans.bindings import Views, with_views
 from ..sources.extracts import clean_codebook
-from ..sources.scratch import measured
+from ..sources.scratch import measured, tasks_for
 from ..sources.tables import union_all
 from .registry import query, yr
 
@@ -88,8 +88,17 @@ def used(t: Views) -> DataFrame:
 MARKET = ["region_desc", "country_desc", "platform", "year"]
 
 
+def markets(t: Views, rows: DataFrame, attributes: list[str]) -> DataFrame:
+    """Distinct markets of each part. They may be nearly as many as the rows, which are dealt by the key of later joins."""
+    return rows.select("part_id", *attributes).repartition(tasks_for(t.lineitem), "part_id").distinct()
+
+
 def scoped(t: Views, attributes: list[str] = MARKET) -> DataFrame:
-    return flagged(t).join(used(t).select("part_id", *attributes).distinct(), "part_id")
+    return flagged(t).join(markets(t, used(t), attributes), "part_id")
+
+
+def rollup(t: Views, df: DataFrame, grain: list[str], pct: bool = False) -> DataFrame:
+    return naming.compliance_rollup(df, grain, "name", pct=pct, tasks=tasks_for(t.lineitem))
 
 
 def rollup_sql(grain: str, source: str, flag: str = "calculated_flag", pct: bool = False, extra: str = "") -> str:
@@ -201,23 +210,23 @@ def _(t: Views) -> DataFrame:
 @query("n09_compliance_rollup", SCOPED + rollup_sql("region_desc", f"(SELECT * FROM scoped WHERE {NOT_EXCEPTION})", pct=True))
 def _(t: Views) -> DataFrame:
     kept = naming.exclude_exceptions(scoped(t, ["region_desc"]), exceptions(t), "part", "name")
-    return naming.compliance_rollup(kept, ["region_desc"], "name", pct=True)
+    return rollup(t, kept, ["region_desc"], pct=True)
 
 
 @query("n10_rollup_market_platform", SCOPED + rollup_sql("region_desc, country_desc, platform", "scoped"))
 def _(t: Views) -> DataFrame:
     grain = ["region_desc", "country_desc", "platform"]
-    return naming.compliance_rollup(scoped(t, grain), grain, "name")
+    return rollup(t, scoped(t, grain), grain)
 
 
 @query("n11_rollup_country", SCOPED + rollup_sql("country_desc", "scoped"))
 def _(t: Views) -> DataFrame:
-    return naming.compliance_rollup(scoped(t, ["country_desc"]), ["country_desc"], "name")
+    return rollup(t, scoped(t, ["country_desc"]), ["country_desc"])
 
 
 @query("n12_rollup_year_brand", SCOPED + rollup_sql("region_desc, country_desc, year, brand, platform", "scoped"))
 def _(t: Views) -> DataFrame:
-    return naming.compliance_rollup(scoped(t), ["region_desc", "country_desc", "year", "brand", "platform"], "name")
+    return rollup(t, scoped(t), ["region_desc", "country_desc", "year", "brand", "platform"])
 
 
 @query(
@@ -231,7 +240,7 @@ def _(t: Views) -> DataFrame:
     ),
 )
 def _(t: Views) -> DataFrame:
-    return naming.staged_compliance(scoped(t, ["region_desc"]), exceptions(t), "part", "name", "stored_flag", ["region_desc"])
+    return naming.staged_compliance(scoped(t, ["region_desc"]), exceptions(t), "part", "name", "stored_flag", ["region_desc"], tasks=tasks_for(t.lineitem))
 
 
 @query(
@@ -239,7 +248,7 @@ def _(t: Views) -> DataFrame:
     SCOPED + rollup_sql("country_desc", "(SELECT * FROM scoped WHERE contains(name, 'red') OR contains(name, 'bolt'))", pct=True),
 )
 def _(t: Views) -> DataFrame:
-    return naming.compliance_rollup(match_text(scoped(t, ["country_desc"]), "name", ["red", "bolt"]), ["country_desc"], "name", pct=True)
+    return rollup(t, match_text(scoped(t, ["country_desc"]), "name", ["red", "bolt"]), ["country_desc"], pct=True)
 
 
 @query(
@@ -249,14 +258,14 @@ def _(t: Views) -> DataFrame:
 )
 def _(t: Views) -> DataFrame:
     grain = ["region_desc", "country_desc", "platform"]
-    dim = named(t).join(used(t).select("part_id", *grain).distinct(), "part_id")
+    dim = named(t).join(markets(t, used(t), grain), "part_id")
     return naming.exception_summary(dim, exceptions(t), "part", "name", grain)
 
 
 @query("n15_exception_compliance", SCOPED + rollup_sql("region_desc", f"(SELECT * FROM scoped WHERE NOT ({NOT_EXCEPTION}))", pct=True))
 def _(t: Views) -> DataFrame:
     found = naming.only_exceptions(scoped(t, ["region_desc"]), exceptions(t), "part", "name")
-    return naming.compliance_rollup(found, ["region_desc"], "name", pct=True)
+    return rollup(t, found, ["region_desc"], pct=True)
 
 
 @query(
@@ -290,8 +299,8 @@ def _(t: Views) -> DataFrame:
     SCOPED + rollup_sql("country_desc", "(SELECT * FROM scoped WHERE region_desc = 'ASIA' AND platform = 'R')", pct=True),
 )
 def _(t: Views) -> DataFrame:
-    markets = used(t).filter("region_desc = 'ASIA' AND platform = 'R'").select("part_id", "country_desc").distinct()
-    return naming.compliance_rollup(flagged(t).join(markets, "part_id"), ["country_desc"], "name", pct=True)
+    found = markets(t, used(t).filter("region_desc = 'ASIA' AND platform = 'R'"), ["country_desc"])
+    return rollup(t, flagged(t).join(found, "part_id"), ["country_desc"], pct=True)
 
 
 def _wide(name: str, entity: str, n: int, mode: str) -> None:

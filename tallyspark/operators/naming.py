@@ -100,9 +100,15 @@ def unknown_codes(df: DataFrame, codebook: DataFrame, entity: str, attributes: S
     return cells.join(own, same, "left_anti")
 
 
-def compliance_rollup(df: DataFrame, grain: Sequence[str], name: str, flag: str = FLAG, pct: bool = False) -> DataFrame:
-    """Distinct (grain, name, flag): total, following, not following, and whole percentages."""
-    names = df.select(*grain, name, flag).distinct()
+def compliance_rollup(
+    df: DataFrame, grain: Sequence[str], name: str, flag: str = FLAG, pct: bool = False, tasks: int | None = None
+) -> DataFrame:
+    """Distinct (grain, name, flag): total, following, not following, and whole percentages.
+
+    With ``tasks`` the rows are dealt by name to so many tasks before they are made distinct.
+    """
+    names = df.select(*grain, name, flag)
+    names = (names.repartition(tasks, name) if tasks else names).distinct()
     out = names.groupBy(*grain).agg(
         F.count(name).alias("total_count"),
         F.count_if(F.col(flag) == 0).alias("following"),
@@ -116,7 +122,8 @@ def compliance_rollup(df: DataFrame, grain: Sequence[str], name: str, flag: str
 
 
 def staged_compliance(
-    flagged: DataFrame, exceptions: DataFrame, entity: str, name: str, stored: str, grain: Sequence[str], calculated: str = FLAG
+    flagged: DataFrame, exceptions: DataFrame, entity: str, name: str, stored: str, grain: Sequence[str], calculated: str = FLAG,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Rollups by the stored flag (stage 1), the calculated flag (2), and the calculated flag without exceptions (3).
 
@@ -130,7 +137,7 @@ def staged_compliance(
         F.struct(F.when(F.col("__name").isNull(), 3).alias("stage"), F.col(calculated).alias("__flag")),
     )
     rows = marked.select(*grain, name, F.inline(stages)).filter(F.col("stage").isNotNull())
-    return compliance_rollup(rows, ["stage", *grain], name, "__flag", pct=True)
+    return compliance_rollup(rows, ["stage", *grain], name, "__flag", pct=True, tasks=tasks)
 
 
 def exception_summary(

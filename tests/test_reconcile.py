@@ -372,3 +372,28 @@ def test_snapshots_are_compared_from_the_top(spark, rows, tmp_path):
     # The order of rows and files does not count, and folders without a difference are not read.
     assert rec.changed_folders(spark, paths[0], paths[2], ["c", "y"]).count() == 0
     assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_vs_actual_dealt_by_grain(spark, rows):
+    """Both sides added up together: the same rows, null groups and repeated plan lines included."""
+    plan = [(1, "a", 5, 10, 1), (1, "a", 5, 10, 1), (2, "a", 5, 20, 2), (3, None, 5, 30, 3), (4, "b", 5, 40, 4), (5, "d", None, None, 0)]
+    actual = [("a", 5, 7, 1), ("a", 5, 8, 2), (None, 5, 9, 3), ("c", 5, 4, 4), ("d", None, None, 5)]
+    p = spark.createDataFrame(plan, "plan_line_id long, g string, y int, budget_usd int, budget_lc int")
+    a = spark.createDataFrame(actual, "g string, y int, spend_usd int, spend_lc int")
+    want, got = rec.plan_vs_actual(p, a, ["g", "y"]), rec.plan_vs_actual(p, a, ["g", "y"], tasks=7)
+    assert got.schema == want.schema and rows(got) == rows(want) and len(rows(got)) == 3
+
+
+@pytest.mark.parametrize("name,steps", [("x03_plan_vs_actual_channel", 3), ("n12_rollup_year_brand", 2), ("n10_rollup_market_platform", 2)])
+def test_tasks_follow_the_rows(spark, monkeypatch, name, steps):
+    """What grows with the fact is dealt to more tasks than a shuffle has when the fact has more rows than these hold."""
+    from tallyspark.catalog import QUERIES
+    from tallyspark.sources import scratch
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(scratch, "TASK_ROWS", 500)
+    n = -(-spark.read.parquet(f"{folder}/lineitem.parquet").count() // 500)
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len([x for x in plan.split("\n") if "hashpartitioning" in x and f", {n}), REPARTITION_BY_NUM" in x]) >= steps
+    spark.catalog.clearCache()

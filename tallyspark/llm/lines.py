@@ -12,9 +12,10 @@ document) has a Jaccard similarity of ``SIMILARITY`` or more with it.
    the word even in its first n - ceil(8 n / 9) + 1 words, so only words that are there for some line bring lines
    together. Sets of up to 3 words are similar only if they are equal; they have no prefix.
 3. What is left is verified on the words themselves. A set needs one earlier set that is similar, so a task sends on the
-   closest (by the parity bits) of the earlier sets that each set is left with, and whether there are others: what is sent
-   grows with the sets, not with their pairs. Only sets that the closest one does not settle bring their prefix words once
-   more, to meet all others, by 128 more bits.
+   ``NEAREST`` closest (by the parity bits) of the earlier sets that each set is left with, and whether there are others:
+   what is sent grows with the sets, not with their pairs. The closest one is verified first, and the next ones of sets
+   that it does not settle. Only sets with still others bring their prefix words once more, to meet all of them, by 128
+   more bits.
 
 Lines with equal sets are one set; a set goes by the place (doc, tie, line) of its earliest line. In a group of more than
 ``GROUP`` sets with one prefix word (counting those that have it so early) each is first compared with the group's
@@ -44,20 +45,23 @@ BUCKETS = 1 << 22
 #: Tables that are added up at a time, and the largest count.
 FAN_IN, MOST = 8, 2**16 - 1
 #: Sets with a prefix word up to which all are compared, and earliest sets that the members of larger groups meet first.
-GROUP, HUBS = 256, 8
+GROUP, HUBS = 1024, 8
+#: Closest earlier sets that a task sends for each set.
+NEAREST = 8
 #: Prefix words that a task compares at a time, and pairs at a time.
 ROWS, PAIRS = 1 << 17, 1 << 17
-#: Occurrences of a word (by the table) from which its group is not brought together in one task.
+#: Occurrences of a word (by the table) from which its group is not brought together in one task, unless as few sets have
+#: it in their prefixes.
 HOT = 1 << 14
-#: Bits by which lines are chosen before they are shuffled (16 MB).
-LINE_BITS = 1 << 27
+#: Bits by which lines are chosen before they are shuffled (16 MB at most; as many for each place, if there is room).
+LINE_BITS, BITS_EACH = 1 << 27, 64
 #: Classes of words by which prefix words are chosen for the sets that are left (a broadcast of as many rows at most).
 CLASSES = 1 << 20
 
 PLACE = ["doc", "tie", "line"]
 MEMBER = ["id", "parity", "more", "size", "at"]
-#: A set, the closest earlier set that it may resemble (null: none is known), by how many of FAR parts of their words they
-#: are known to differ, and whether there may be others.
+#: A set, a close earlier set that it may resemble (null: none is known), by how many of FAR parts of their words they
+#: are known to differ, and whether there may be others than the rows of the set name.
 FOUND = "doc long, tie long, line int, far int, a_doc long, a_tie long, a_line int, others boolean"
 FAR = 4096
 
@@ -286,23 +290,35 @@ def _with_hubs(c: dict[str, np.ndarray], rank: np.ndarray, rows: np.ndarray) ->
         yield x[ok], y[ok]
 
 
-def _closest_met(c: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
-    """Of rows (word, doc, tie, line, parity, more, size, at) sorted by word and size: the columns of FOUND, one row for
-    each set that may resemble an earlier one or is in a group with more than ``most`` early rows."""
+def _nearest_met(c: dict[str, np.ndarray], most: int, nearest: int) -> dict[str, np.ndarray]:
+    """Of rows (word, doc, tie, line, parity, more, size, at) sorted by word and size: the columns of FOUND, up to ``nearest``
+    rows for each set that may resemble an earlier one, and one at least if it is in a group with more than ``most`` early
+    rows."""
     rank = _ranks(c)
     n = int(rank.max()) + 1
     held = np.zeros(n, np.int64)
     held[rank] = np.arange(len(rank))  # a row of each place
-    none = np.iinfo(np.int64).max
-    first, last, crowded = np.full(n, none), np.full(n, -1), np.zeros(n, bool)
+    crowded, others = np.zeros(n, bool), np.zeros(n, bool)
+    # Pairs as one number each, in order of the later set, how far they are apart, and the earlier set.
+    best, new, waiting = np.empty(0, np.int64), [], 0
 
     def take(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal waiting
         early, late = np.minimum(rank[x], rank[y]), np.maximum(rank[x], rank[y])
         apart = sum(np.bitwise_count(c[half][x] ^ c[half][y]).astype(np.int64) for half in ("parity", "more"))
-        far = apart * FAR // (c["size"][x].astype(np.int64) + c["size"][y]) << 32 | early
-        far, late = far[early < late], late[early < late]
-        np.minimum.at(first, late, far)
-        np.maximum.at(last, late, far)
+        far = apart * FAR // (c["size"][x].astype(np.int64) + c["size"][y])
+        new.append(((late * (FAR + 1) + far) * n + early)[early < late])
+        waiting += len(new[-1])
+        if waiting > PAIRS:
+            keep()
+
+    def keep() -> None:
+        nonlocal best, new, waiting
+        best = np.unique(np.concatenate([best, *new]))
+        late = best // ((FAR + 1) * n)
+        far_down = np.arange(len(best)) - np.searchsorted(late, late) >= nearest
+        others[late[far_down]] = True
+        best, new, waiting = best[~far_down], [], 0
 
     for found in _compared(c | {"id": np.arange(len(rank))}, most):
         if "a" in found:
@@ -311,12 +327,15 @@ def _closest_met(c: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
             crowded[rank[found["id"]]] = True
             for x, y in _with_hubs(c, rank, found["id"]):
                 take(x, y)
-    met = np.flatnonzero((last >= 0) | crowded)
-    known = last[met] >= 0
-    earlier = held[np.where(known, first[met] & (1 << 32) - 1, 0)]
-    out = {k: c[k][held[met]] for k in PLACE} | {"far": np.where(known, first[met] >> 32, 0).astype(np.int32)}
+    keep()
+    late, rest = np.divmod(best, (FAR + 1) * n)
+    far, early = np.divmod(rest, n)
+    alone = np.setdiff1d(np.flatnonzero(crowded), late)
+    met, none = np.concatenate([late, alone]), np.zeros(len(alone), np.int64)
+    known, earlier = np.arange(len(met)) < len(late), held[np.concatenate([early, none])]
+    out = {k: c[k][held[met]] for k in PLACE} | {"far": np.concatenate([far, none]).astype(np.int32)}
     out |= {f"a_{k}": np.ma.array(c[k][earlier], mask=~known) for k in PLACE}
-    return out | {"others": crowded[met] | (first[met] < last[met])}
+    return out | {"others": (crowded | others)[met]}
 
 
 def _met(spread: DataFrame) -> DataFrame:
@@ -335,7 +354,7 @@ def _met(spread: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        rows, most = 0, GROUP
+        rows, most, nearest = 0, GROUP, NEAREST
 
         def joined() -> dict[str, np.ndarray]:
             return {k: np.concatenate([x[k] for x in held]) for k in held[0]}
@@ -355,30 +374,28 @@ def _met(spread: DataFrame) -> DataFrame:
                 c = joined()
                 cut = int(np.searchsorted(c["word"], c["word"][-1]))
                 if cut:
-                    yield batch_of(_closest_met({k: v[:cut] for k, v in c.items()}, most))
+                    yield batch_of(_nearest_met({k: v[:cut] for k, v in c.items()}, most, nearest))
                 held, rows = [{k: v[cut:] for k, v in c.items()}], len(c["word"]) - cut
         if rows:
-            yield batch_of(_closest_met(joined(), most))
+            yield batch_of(_nearest_met(joined(), most, nearest))
 
     packed = [F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long")).alias(a) for a, b in (("word", "size"), ("line", "at"))]
     sent = spread.select("doc", "tie", "parity", "more", *packed)
     return sent.repartition(F.shiftright("word", 32)).sortWithinPartitions("word").mapInArrow(work, FOUND)
 
 
-def _marked(rows: DataFrame, place: Column, set_: DataFrame) -> DataFrame:
-    """The rows whose place (from 0) is set by a row of ``set_`` (place)."""
+def _marked(rows: DataFrame, set_: DataFrame, columns: list[str] = PLACE) -> DataFrame:
+    """The rows with ``columns`` of a row of ``set_``, and few others, as long as the bitmap has room. It has BITS_EACH bits
+    for each row of ``set_`` (a staged frame, which is counted by its footers), and LINE_BITS at most."""
+    bits = min(LINE_BITS, max(1 << 15, 1 << (BITS_EACH * set_.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
     number, bit = (F.call_function(f, place) for f in ("bitmap_bucket_number", "bitmap_bit_position"))
-    of = [F.call_function(f, F.col("place")) for f in ("bitmap_bucket_number", "bitmap_bit_position")]
-    maps = set_.select(of[0].alias("bucket"), of[1].alias("bit")).groupBy("bucket").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
+    maps = set_.select(number.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits"))
     byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     marked = rows.withColumns({"bucket": number, "bit": bit}).join(F.broadcast(maps), "bucket")
     return marked.filter(F.getbit(byte, F.pmod(F.col("bit"), F.lit(8)).cast("int")) == 1).drop("bucket", "bit", "bits")
 
 
-def _bit() -> Column:
-    return F.pmod(F.xxhash64(*PLACE), F.lit(LINE_BITS))
-
-
 def _class() -> Column:
     return F.pmod("word", F.lit(CLASSES))
 
@@ -390,12 +407,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame:
     """The sets (doc, tie, line) of the pairs (doc, tie, line, a_doc, a_tie, a_line) that have the similarity. Only the
-    lines at ``places``, those in a pair (and few others, as long as the bitmap of ``LINE_BITS`` bits has room, which is
-    broadcast whatever the corpus), leave their texts."""
-    doc = F.pmod(F.xxhash64("doc", "tie"), F.lit(LINE_BITS))
-    cut = _marked(rows, doc, places.select(doc.alias("place")))
-    cut = cut.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    cut = _marked(cut, _bit(), places.select(_bit().alias("place"))).join(places, PLACE).select(*PLACE, "value")
+    lines at ``places``, those in a pair (and few others), leave their texts."""
+    cut = _marked(rows, places, ["doc", "tie"]).select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    cut = _marked(cut, places).join(places, PLACE).select(*PLACE, "value")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         place = {k: batch.column(k).to_numpy() for k in PLACE}
@@ -425,10 +439,8 @@ def _of(member: str, prefix: str = "") -> list[Column]:
 
 def _met_hot(hot: DataFrame) -> DataFrame:
     """FOUND for the rows of hot words, which no task brings together: each set with the earliest ones of the word."""
-    hot = staged(hot, "hot")
-    place, early = F.struct(*PLACE), F.count_if(_early(F.col("at"), F.col("size")))
-    seen = hot.groupBy("word").agg(F.count("*").alias("all"), early.alias("n")).filter("all > 1 and n > 0")
-    hot = hot.join(seen.select("word"), "word").select("word", place.alias("place"), F.struct(*PLACE, *MEMBER[1:]).alias("x"))
+    place = F.struct(*PLACE)
+    hot = hot.select("word", place.alias("place"), F.struct(*PLACE, *MEMBER[1:]).alias("x"))
     rank = F.row_number().over(Window.partitionBy("word").orderBy("place"))
     hubs = hot.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("word", F.col("x").alias("y"), F.col("place").alias("before"))
     far = F.floor(_apart("x", "y") * FAR / (F.col("x.size") + F.col("y.size"))).cast("int").alias("far")
@@ -436,11 +448,10 @@ def _met_hot(hot: DataFrame) -> DataFrame:
     return met.union(hot.select(*_of("x"), F.lit(0), *[F.lit(None).alias(f"a_{k}") for k in PLACE], F.lit(True)))
 
 
-def _closest_of(found: DataFrame) -> DataFrame:
-    """FOUND with one row for each set."""
+def _nearest_of(found: DataFrame) -> DataFrame:
+    """(doc, tie, line, near, others): the sets of FOUND, each once with all earlier sets that are named, closest first."""
     a = F.when(F.col("a_doc").isNotNull(), F.struct("far", *[F.col(f"a_{k}").alias(k) for k in PLACE]))
-    one = found.groupBy(*PLACE).agg(F.min(a).alias("first"), F.max(a).alias("last"), F.bool_or("others").alias("others"))
-    return one.select(*PLACE, *_of("first", "a_"), (F.col("others") | F.coalesce(F.col("first") < F.col("last"), F.lit(False))).alias("others"))
+    return found.groupBy(*PLACE).agg(F.array_sort(F.collect_set(a)).alias("near"), F.bool_or("others").alias("others"))
 
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
@@ -450,31 +461,39 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     place = F.struct(*PLACE)
     earliest = staged(lines.groupBy("id", "check").agg(F.min(place).alias("place")).select("id", "check", "place.*"), "earliest")
 
-    # Of the lines with one set only the earliest brings its words (and few others, as long as the bitmap has room).
+    # Of the lines with one set only the earliest brings its words (and few others).
     worded = lines.filter(F.size("keys") > 0)
-    keyed_lines = _marked(worded, _bit(), earliest.select(_bit().alias("place")))
-    spread = _spread(keyed_lines)
-    cold = _met(spread.filter("not hot").drop("hot"))
-    hot = _met_hot(_spread(keyed_lines.filter(F.size("keys") > F.col("cold"))).filter("hot").drop("hot"))
-    found = staged(_closest_of(cold.union(hot)), "found")
-    tried = found.filter("a_doc is not null").drop("others")
+    keyed_lines = _marked(worded, earliest)
+    # Of the words that are hot in the corpus, those that few sets have in their prefixes are compared as others are.
+    hot = staged(_spread(keyed_lines.filter(F.size("keys") > F.col("cold"))).filter("hot").drop("hot"), "hot")
+    early = F.count_if(_early(F.col("at"), F.col("size")))
+    seen = hot.groupBy("word").agg(F.count("*").alias("all"), early.alias("n")).filter("all > 1 and n > 0")
+    few = (F.col("all") <= HOT) & (F.col("n") <= GROUP)
+    cold = _spread(keyed_lines).filter("not hot").drop("hot")
+    met = _met(cold.union(hot.join(seen.filter(few).select("word"), "word").select(cold.columns)))
+    found = staged(_nearest_of(met.union(_met_hot(hot.join(seen.filter(~few).select("word"), "word")))), "found")
+    tried = found.filter(F.size("near") > 0).select(*PLACE, *[F.col("near")[0][k].alias(f"a_{k}") for k in PLACE])
     settled = _verified(tried, rows, _ends(tried))
 
-    # Sets that the closest one does not settle meet all with one of their prefix words.
-    unsettled = staged(found.filter("others").select(*PLACE).join(settled, PLACE, "left_anti"), "unsettled")
-    mine = _marked(worded, _bit(), unsettled.select(_bit().alias("place"))).join(unsettled, PLACE, "left_semi")
+    # Sets that the closest one does not settle meet the others that are known, or all with one of their prefix words.
+    unsettled = staged(found.filter("others or size(near) > 1").join(settled, PLACE, "left_anti"), "unsettled")
+    known = unsettled.filter("not others").select(*PLACE, F.explode(F.slice("near", 2, F.size("near"))).alias("y")).select(*PLACE, *_of("y", "a_"))
+    wide = staged(unsettled.filter("others").select(*PLACE), "wide")
+    mine = _marked(worded, wide).join(wide, PLACE, "left_semi")
     bits = ["third", "fourth"]
     mine = staged(_spread(mine, *bits).select("word", F.struct(*PLACE, *MEMBER[1:], *bits).alias("x")), "mine")
     near = F.broadcast(mine.select(_class().alias("class")).distinct())
     theirs = _spread(keyed_lines, *bits).withColumn("class", _class()).join(near, "class", "left_semi")
     theirs = theirs.select("word", F.struct(*PLACE, *MEMBER[1:], *bits).alias("y"))
     before = F.struct(*_of("y")) < F.struct(*_of("x"))
-    rest = staged(mine.join(theirs, "word").filter(before & _passes_all("x", "y")).select(*_of("x"), *_of("y", "a_")).distinct(), "rest")
-    late = settled.union(_verified(rest, rows, _ends(rest))).distinct()
+    met = mine.join(theirs, "word").filter(before & _passes_all("x", "y")).select(*_of("x"), *_of("y", "a_"))
+    rest = staged(known.union(met).distinct(), "rest")
+    late = staged(settled.union(_verified(rest, rows, _ends(rest))).distinct(), "late")
 
     # All lines of a late set go, and of the others all but the earliest.
-    first = earliest.join(late, PLACE, "left_anti").select("id", "check", place.alias("stays"))
-    gone = lines.select("id", "check", *PLACE).join(first, ["id", "check"], "left").filter(F.col("stays").isNull() | (place != F.col("stays")))
+    goes = _marked(earliest, late).join(late, PLACE).select("id", "check", F.lit(True).alias("goes"))
+    sets = earliest.select("id", "check", place.alias("stays")).join(goes, ["id", "check"], "left")
+    gone = lines.select("id", "check", *PLACE).join(sets, ["id", "check"]).filter(F.col("goes") | (place != F.col("stays")))
     return gone.groupBy("doc", "tie").agg(F.collect_set("line").alias("gone"))
 
 

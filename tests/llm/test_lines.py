@@ -163,3 +163,57 @@ def test_sets_that_are_not_settled_meet_all_others(spark, monkeypatch, most):
     rows = [(i, near(base[20 + i : 24 + i], [f"a{i}{k}" for k in range(4)])) for i in range(6)]
     rows += [(10, near(base[:2], ["x", "y"])), (11, near(base[:2], ["x", "z"])), (12, near(base[:3], ["x", "z"]))]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), rows)
+
+
+def sizes_of(monkeypatch):
+    """The rows of each frame that ``lines`` stages, by label."""
+    staged, sizes = lines.staged, {}
+
+    def count(df, label):
+        out = staged(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(lines, "staged", count)
+    return sizes
+
+
+@pytest.mark.parametrize("most", [8, 1])
+def test_next_candidates_are_at_hand(spark, monkeypatch, most):
+    """The closest candidate does not settle a set, the next one does: prefix words are brought once more only if there are
+    more candidates than a task sends."""
+    sizes = sizes_of(monkeypatch)
+    monkeypatch.setattr(lines, "NEAREST", most)
+    base = [f"w{i}" for i in range(90)]
+
+    def near(begin, n, apart):
+        """``base`` with n words replaced, so that the parity bits tell 2 n words apart but for collisions."""
+        for seed in range(1000):
+            text = " ".join([*base[:begin], *(f"own{seed}n{i}" for i in range(n)), *base[begin + n :]])
+            s = lines.Sets([text.encode(), " ".join(base).encode()], np.ones(lines.BUCKETS, np.uint8))
+            if sum(int(x[0] ^ x[1]).bit_count() for x in (s.parity(0), s.parity(1))) == apart:
+                return text
+
+    rows = [(0, near(0, 12, 16)), (1, near(40, 10, 20)), (2, " ".join(base))]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), rows)
+    assert plain(rows) == [(0, []), (1, []), (2, [0])] and sizes["unsettled"] == 1 and (sizes["mine"] == 0) == (most == 8)
+
+
+def test_hot_words_of_few_sets_are_compared_at_once(spark, monkeypatch):
+    """Two lines that are not similar, each in many documents: their words are hot in the corpus, but two sets have them."""
+    sizes = sizes_of(monkeypatch)
+    monkeypatch.setattr(lines, "HOT", 4)
+    common = " ".join(f"w{i}" for i in range(10))
+    rows = [(i, " ".join([common, *(f"own{i % 2}{k}" for k in range(4))])) for i in range(12)] + [(20, f"{common} own00 own01 own02")]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+    assert sizes["hot"] > 0 and sizes["mine"] == 0
+
+
+def test_bitmaps_follow_the_rows(spark):
+    """No row of the set is lost, few others pass, and a few rows do not take a bitmap of the largest size."""
+    rows = spark.range(20_000).selectExpr("id AS doc", "0L AS tie", "1 AS line")
+    few = lines.staged(rows.filter("doc % 1000 = 0"), "few")
+    marked = lines._marked(rows, few)
+    assert marked.join(few, lines.PLACE).count() == 20 and marked.count() < 1500
+    assert marked.select("doc").distinct().count() == marked.count()
+    assert str(lines.LINE_BITS) not in marked._jdf.queryExecution().toString()

@@ -27,12 +27,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import WORD, by_batch, discard, mixed, staged
@@ -497,17 +495,12 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     return gone.groupBy("doc", "tie").agg(F.collect_set("line").alias("gone"))
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    """The texts without the lines of these numbers."""
-
-    def cut(t: str | None, numbers: np.ndarray | None) -> str | None:
-        if t is None or numbers is None:
-            return t
-        drop = set(numbers.tolist())
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-
-    return pd.Series([cut(t, g) for t, g in zip(text, gone)], dtype=object)
+def _without(rows: DataFrame) -> DataFrame:
+    """The rows (text, gone, ...), the texts without the lines of the numbers ``gone``, null if none go."""
+    cut = rows.withColumn("held", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("held") - 1), "gone")
+    text = F.array_join(F.transform(stay, lambda i: F.col("held")[i]), "\n")
+    return cut.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(text)).drop("held")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -519,7 +512,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     rows = keyed(docs, F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
     out = rows.join(repeated_lines(rows.select("doc", "tie", "text")), ["doc", "tie"], "left")
-    out = out.select("rest", "gone", _without("text", "gone").alias("text")).filter(F.col("gone").isNull() | F.col("text").rlike(WORD))
+    out = _without(out.select("rest", "gone", "text")).filter(F.col("gone").isNull() | F.col("text").rlike(WORD))
     columns = [F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns]
     for i, (name, kind) in enumerate(docs.dtypes):
         if name == "n_chars":

@@ -217,3 +217,12 @@ def test_bitmaps_follow_the_rows(spark):
     assert marked.join(few, lines.PLACE).count() == 20 and marked.count() < 1500
     assert marked.select("doc").distinct().count() == marked.count()
     assert str(lines.LINE_BITS) not in marked._jdf.queryExecution().toString()
+
+
+def test_lines_are_cut_without_python(spark):
+    """No worker holds a batch of texts to cut lines out of them; trailing and empty lines stay as they are."""
+    rows = [(1, "a\n\nb\n", [0]), (2, "a\nb", [0, 1]), (3, None, None), (4, "x\r\ny", [1]), (5, "\nz\n\n", None), (6, "\n\nq r", [2])]
+    out = lines._without(spark.createDataFrame(rows, "doc long, text string, gone array<int>"))
+    assert [r.text for r in out.orderBy("doc").collect()] == ["\nb\n", "", None, "x\r", "\nz\n\n", "\n"]
+    kept = lines.dedup_lines(spark.createDataFrame([(1, "p q r s"), (2, "s r q p\nt u")], "doc_id long, text string"))
+    assert [r.text for r in kept.orderBy("doc_id").collect()] == ["p q r s", "t u"] and "Python" not in kept._jdf.queryExecution().executedPlan().toString()
